@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from plinth.llm import quality_rules
+from plinth.llm import neardup, packing, quality_model, quality_rules
 
 QUERIES = {
+    "op4_packing": packing.query,
+    "op6_minhash_near_dedup": neardup.query,
     "op7_quality_rules": quality_rules.query,
+    "op9_quality_classifier": quality_model.query,
 }
 
 ORACLES: dict[str, str] = {}
