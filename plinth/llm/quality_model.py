@@ -28,7 +28,7 @@ from plinth.llm.common import cut, table, text_batches
 FOLDS, HELD_OUT = 4, 2
 ACCEPT = 0.7
 #: Shares of the pooled covariance and of the diagonal in a class covariance, and a ridge.
-POOLED, DIAGONAL, RIDGE = 0.1, 0.1, 1e-4
+POOLED, DIAGONAL, RIDGE = 0.3, 0.1, 1e-4
 TEMPERATURE = 4.0
 MIN_ROWS = 20
 NAMES = (

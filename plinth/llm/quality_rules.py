@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import SPACE, bound, int_array, table
+from plinth.llm.common import SPACE, bound, cut, int_array, table
 
 GAP = r"[ \t-\r]+"
 WINDOW = 8
@@ -29,6 +29,9 @@ SMOOTHING = 1.0
 THRESHOLD = -0.25
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Labels up to which their ids (8 MB for a million) go to every executor; beyond it the
+#: labelled texts are shuffled to their labels.
+BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -119,8 +122,9 @@ def judge(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD) ->
 
 
 def trusted_part(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+    good = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
+    few = good.count() <= BROADCAST_ROWS
+    return docs.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left_semi")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
