@@ -133,7 +133,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Signs as bits, the Hamming distance of every query to every row, ties by id.
 ORACLE_SQL = f"""
-with c as (select distinct vec_id, list_transform(embedding, x -> case when x > 0 then 1 else 0 end) as b
+with c as (select distinct vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as b
            from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0),
 s as (select vec_id, array_to_string(b, '')::bit as b from c),
 p as (select q.vec_id as query_id, r.vec_id as neighbor_id, bit_count(xor(q.b, r.b))::bigint as distance

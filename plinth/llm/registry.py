@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from plinth.llm import neardup, packing, quality_model, quality_rules
+from plinth.llm import hamming, language, licenses, neardup, packing, pieces, quality_model, quality_rules, urls, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
+    "op2_license_scan": licenses.query,
+    "op3_exact_top_k": hamming.query,
     "op4_packing": packing.query,
+    "op5_url_filter": urls.query,
     "op6_minhash_near_dedup": neardup.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_sentencepiece": pieces.query,
     "op9_quality_classifier": quality_model.query,
+    "op10_language_id": language.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_warc": warc.ORACLE_SQL, "op3_exact_top_k": hamming.ORACLE_SQL}
