@@ -87,7 +87,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).collect()[0]
         if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = e.select(F.col("v").alias("node")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
