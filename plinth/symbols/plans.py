@@ -7,7 +7,7 @@ import math
 import re
 from statistics import median
 
-from plinth.functions.planar import Point, Seg, fold_gap, heading, length, point_seg_distance, project_param, spread
+from plinth.functions.planar import Point, Seg, fold_gap, heading, length, point_seg_distance, project_param, ring_corners, spread
 from plinth.functions.words import fold_text
 from plinth.symbols.base import Arc, Label, Loop, Match, PlanContext, arcs_of, gaps, named, parallel_groups, positive, symbol, within
 
@@ -53,7 +53,9 @@ def structural_grid(c: PlanContext) -> Match | None:
         for axis, extent in ((0.0, x1 - x0), (math.pi / 2, y1 - y0)):
             if extent <= 0 or fold_gap(heading(s), axis) > math.radians(3) or length(s) < 0.55 * extent:
                 continue
-            hit = next(((a, t) for a, t in bubbles if min(abs(p - a.centre) for p in s) <= 1.6 * a.radius), None)
+            near = [(a, t) for a, t in bubbles if min(abs(p - a.centre) for p in s) <= 1.6 * a.radius]
+            d = cmath.rect(1, -heading(s))
+            hit = min(near, key=lambda x, s=s, d=d: abs(((x[0].centre - s[0]) * d).imag), default=None)
             if hit:
                 lines[axis].append(((s[0].imag + s[1].imag) / 2 if axis == 0 else (s[0].real + s[1].real) / 2, *hit))
     found = [x for axis in lines.values() for x in axis]
@@ -118,7 +120,7 @@ def elevation_mark(c: PlanContext) -> Match | None:
 def north_arrow(c: PlanContext) -> Match | None:
     best = None
     labels = [t for t in c.texts if re.fullmatch(NORTH, fold_text(t.text).strip())]
-    for pts in c.strokes if labels else ():
+    for pts in map(ring_corners, c.strokes) if labels else ():
         if len(pts) < 3:
             continue
         middle = sum(pts) / len(pts)
