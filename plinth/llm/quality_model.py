@@ -31,6 +31,8 @@ ACCEPT = 0.7
 POOLED, DIAGONAL, RIDGE = 0.3, 0.1, 1e-4
 TEMPERATURE = 4.0
 MIN_ROWS = 20
+#: Labels up to which their ids go to every executor; beyond it labelled texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 NAMES = (
     "log_chars", "log_words", "word_length", "symbols", "pipes", "digits", "marks", "line_length",
     "repeated_lines", "distinct_words", "distinct_pairs", "upper", "short_words", "packed",
@@ -158,10 +160,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, table(spark, sf_dir, "labels"))
 
 
+def labelled_part(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have a label."""
+    ids = cut(labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "labelled")
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents predicted to be of quality 1.  The model is fitted on the stage's own
-    labelled documents; texts are judged where they are, so none is shuffled."""
-    model = train(cut(features(docs.select("doc_id", "text")), "statistics"), table(spark, sf_dir, "labels"))
+    """The documents predicted to be of quality 1.  The model is fitted on the labelled rows of
+    the whole ``documents`` table, since earlier stages have taken most rows labelled 0 away;
+    with too few of a class every document stays.  Texts are judged where they are."""
+    labels = table(spark, sf_dir, "labels")
+    model = train(cut(features(labelled_part(table(spark, sf_dir, "documents"), labels)), "statistics"), labels)
+    if not len(model.means):
+        return docs
     text_batches(spark)
 
     @F.pandas_udf("double")
