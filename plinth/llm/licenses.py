@@ -71,27 +71,42 @@ def ordered_templates(frequency: dict[str, int]) -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(t.split()), key=lambda w: (frequency.get(w, 0), w))) for label, t in TEMPLATES]
 
 
+def global_order(templates: list[tuple[str, list[str]]]) -> list[str]:
+    """All template words in one order in which every template's own words stand."""
+    place: dict[str, int] = {}
+    left = [list(words) for _, words in templates]
+    while left := [w for w in left if w]:
+        # the templates are sorted by one key, so some first word is in no other's tail
+        first = next(w[0] for w in left if not any(w[0] in other[1:] for other in left))
+        place[first] = len(place)
+        left = [w[1:] if w[0] == first else w for w in left]
+    return list(place)
+
+
 def needed(size: int, threshold: float = THRESHOLD) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
 def _overlap(block: Column, words: list[str], threshold: float) -> Column:
-    """Words of the template in the block (an array of distinct words), 0 where a filter or the
-    threshold fails."""
+    """Words of the template in the block, 0 where a filter or the threshold fails.  ``block``
+    holds the block's template words (of any template), in the global order."""
     n, need = len(words), needed(len(words), threshold)
     has = [F.array_contains(block, w) for w in words]
     total = sum((h.cast("int") for h in has[1:]), has[0].cast("int"))
-    # the first shared prefix word at place i leaves at most n - i words
-    prefix = F.lit(False)
-    for h in has[: n - need + 1]:
-        prefix = prefix | h
-    return F.when((F.size(block) >= need) & prefix & (total >= need), total).otherwise(0)
+    # a match shares a prefix word, and from it on the block still has enough words
+    shared = F.lit(False)
+    for w in words[: n - need + 1]:
+        at = F.array_position(block, w)
+        shared = shared | ((at > 0) & (F.size(block) - at + 1 >= need))
+    return F.when((F.size(block) >= need) & shared & (total >= need), total).otherwise(0)
 
 
 def block_matches(text: Column, templates: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> Column:
     """array<struct<label, score>> of the templates that some line of the raw text matches."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
-    blocks = F.transform(lines, lambda x: F.array_distinct(F.split(F.btrim(normal(x)), " ")))
+    order = F.split(F.lit(" ".join(global_order(templates))), " ")
+    words_of = lambda x: F.split(F.btrim(normal(x)), " ")
+    blocks = F.transform(F.transform(lines, words_of), lambda b: F.filter(order, lambda w: F.array_contains(b, w)))
 
     def best(b: Column, words: list[str]) -> Column:
         return F.array_max(F.transform(b, lambda x: _overlap(x, words, threshold)))
@@ -152,3 +167,34 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """The same scan in DuckDB: every line against every template, without filters."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    base = []
+    for phrase, label in PHRASES:
+        here = " and ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+        base.append(f"list_transform(list_filter(range(len(ws)), lambda i: {here}), lambda i: {{'at': i, 'label': '{label}'}})")
+    joined = base[0]
+    for b in base[1:]:
+        joined = f"list_concat({joined}, {b})"
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES)
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, {words.format(low.format("t"))} as ws from d),
+b as (select r, doc_id, t, len(ws)::bigint as n_words, {joined} as base from w),
+t(label, words) as (values {templates}),
+l as (select r, list_distinct({words.format(low.format("x"))}) as block from (select r, unnest(string_split(t, chr(10))) as x from d)),
+m as (select r, label, max(len(list_intersect(block, words)) / len(words)) as share from l, t where len(list_intersect(block, words)) >= {THRESHOLD} * len(words) - 1e-9 group by r, label),
+f as (select r, list(label) as found, max(share) as share from m group by r)
+select doc_id, n_words, len(base)::bigint as n_base, list_min([x.at for x in base])::bigint as first_word, list_max([x.at for x in base])::bigint as last_word,
+       coalesce(array_to_string(list_sort(list_distinct([x.label for x in base])), ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat([x.label for x in base], coalesce(found, [])))), ','), '') as labels,
+       case when len(base) > 0 then 1.0 else coalesce(share, 0.0) end::double as score
+from b left join f using (r)
+"""
+
+
+ORACLE_SQL = _oracle()

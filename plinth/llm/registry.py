@@ -17,4 +17,9 @@ QUERIES = {
     "op10_language_id": language.query,
 }
 
-ORACLES = {"op1_warc": warc.ORACLE_SQL, "op3_exact_top_k": hamming.ORACLE_SQL}
+ORACLES = {
+    "op1_warc": warc.ORACLE_SQL,
+    "op2_license_scan": licenses.ORACLE_SQL,
+    "op3_exact_top_k": hamming.ORACLE_SQL,
+    "op5_url_filter": urls.ORACLE_SQL,
+}

@@ -126,3 +126,35 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
+
+
+def _oracle() -> str:
+    """The same verdicts in DuckDB: reachability by a recursive query."""
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = f"coalesce({low.format('regexp_extract(rest, ' + q('^[^/?#]*') + ')')}, '')"
+    path = "coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '')"
+    query_part = rf"rtrim(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), {q(TRACKING)}, '', 'g'), '&')"
+    key = f"case when {host} <> '' then {host} || rtrim({path}, '/') || case when {query_part} <> '' then '?' || {query_part} else '' end end"
+    fits = [(f"({host} = '{h}' or ends_with({host}, '.{h}')) and starts_with({path}, '{p}')", h + p, v) for v, h, p in ranked(RULES)]
+    rule = "case " + " ".join(f"when {c} then '{name}'" for c, name, _ in fits) + " end"
+    verdict = "case " + " ".join(f"when {c} then '{v}'" for c, _, v in fits) + " end"
+    after = "case when strpos({0}, '://') > 0 then substr({0}, strpos({0}, '://') + 3) end"
+    target = f"case when strpos(g, '://') > 0 then {after.format('g')} when starts_with(g, '//') then substr(g, 3) when starts_with(g, '/') then regexp_extract(prest, '^[^/?#]*') || g end"
+    return f"""
+with recursive p as (select page_id, html, {after.format("url")} as rest from pages),
+k as (select *, {host} as host, {path} as path, {rule} as rule, {verdict} as told, {key} as node from p),
+x as (select node as src, rest as prest, unnest(list_concat(
+        [regexp_extract(e, {q(HREF)}, 1) for e in regexp_extract_all(html, {q(CANONICAL)})],
+        [regexp_extract(e, {q(TARGET)}, 1) for e in regexp_extract_all(html, {q(REFRESH)})])) as g from k where html is not null),
+y as (select src, {target} as rest from x),
+e as (select src, {key} as dst, {verdict} as told from y),
+pair as (select src as a, dst as b from e where src is not null and dst is not null union select dst, src from e where src is not null and dst is not null),
+reach(a, b) as (select a, a from pair union select r.a, s.b from reach r join pair s on s.a = r.b),
+told as (select dst as node, told from e where told is not null union select node, told from k where told is not null and node is not null),
+c as (select r.a as node, bool_or(t.told = 'allow') as ok from reach r join told t on t.node = r.b group by r.a)
+select page_id, host, path, rule, coalesce(told, case when c.ok = false then 'block' else 'allow' end) as verdict from k left join c on c.node = k.node
+"""
+
+
+ORACLE_SQL = _oracle()
