@@ -15,6 +15,8 @@ def _settled(df: DataFrame) -> DataFrame:
     if not base:
         return df.persist()
     path = f"{base.rstrip('/')}/plinth-graph/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -160,7 +160,9 @@ def extract(pages: DataFrame, scale: str | None = None, min_room_area: float = M
 def nest(primitives: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Pages from tables of primitives (and texts) with plan_id, in the order of their numbers."""
     row = F.struct("prim_id", "points", "closed", "stroked", "filled", "width", "layer", "color")
-    pages = primitives.groupBy("plan_id").agg(F.sort_array(F.collect_list(row)).alias("primitives"))
+    # a plan is few bytes and much work, so its partitions must not be merged by their size
+    n = int(primitives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = primitives.repartition(n, "plan_id").groupBy("plan_id").agg(F.sort_array(F.collect_list(row)).alias("primitives"))
     empty = F.array().cast("array<struct<text_id:int,text:string,x:double,y:double,height:double,angle:double,layer:string>>")
     if texts is None:
         return pages.withColumn("texts", empty)

@@ -200,9 +200,11 @@ def storyboard(model: dict, size: int = 120, steps: int = 2) -> list:
             for e in model["edges"]:
                 if not e["exterior"] and e["kind"] != "wall" and level("graph"):
                     c.line(centre[e["a"]], centre[e["b"]], mix(PAPER, MUTED, level("graph")), 1.5)
-            for x, y in centre.values():
-                if level("labels"):
-                    c.ring(x, y, 4, mix(PAPER, INK, level("labels")))
+            for r in model["rooms"] if level("labels") else ():
+                x, y = centre[r["id"]]
+                c.ring(x, y - 8, 3, mix(PAPER, INK, level("labels")))
+                c.text(x, y, r["id"], mix(PAPER, INK, level("labels")))
+                c.text(x, y + 9, f"{r['area_gross_m2']:.1f}", mix(PAPER, INK, level("labels")))
             frames.append((c.pixels, 80 if step == steps - 1 else 8))
     return frames
 

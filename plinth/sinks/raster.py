@@ -16,6 +16,13 @@ MATERIAL_COLOURS = ((198, 122, 96), (146, 152, 168), (206, 178, 118), (128, 168,
 KIND_COLOURS = {"door": (196, 90, 60), "window": (70, 130, 190), "opening": (120, 120, 120)}
 INK, PAPER, MUTED = (40, 42, 48), (250, 250, 247), (150, 150, 150)
 Colour = tuple[int, int, int]
+# Glyphs of ids and areas, five columns by seven rows, a row's bits from left to right.
+GLYPHS = {
+    "0": (14, 17, 19, 21, 25, 17, 14), "1": (4, 12, 4, 4, 4, 4, 14), "2": (14, 17, 1, 2, 4, 8, 31), "3": (31, 2, 4, 2, 1, 17, 14),
+    "4": (2, 6, 10, 18, 31, 2, 2), "5": (31, 16, 30, 1, 1, 17, 14), "6": (6, 8, 16, 30, 17, 17, 14), "7": (31, 1, 2, 4, 8, 8, 8),
+    "8": (14, 17, 17, 14, 17, 17, 14), "9": (14, 17, 17, 15, 1, 2, 12), ".": (0, 0, 0, 0, 0, 12, 12), "-": (0, 0, 0, 31, 0, 0, 0),
+    "R": (30, 17, 17, 30, 20, 18, 17), "O": (14, 17, 17, 17, 17, 17, 14), "W": (17, 17, 17, 21, 21, 21, 10), "M": (17, 27, 21, 21, 17, 17, 17),
+}
 
 
 def colour_for(category: str) -> Colour:
@@ -70,6 +77,17 @@ class Canvas:
         part = self.pixels[y0:y1, x0:x1]
         part[:] = np.rint(part * (1 - cover) + np.array(colour) * cover)
 
+    def text(self, x: float, y: float, said: str, colour: Colour, size: int = 1) -> None:
+        """Centred at (x, y); characters without a glyph leave a blank."""
+        left, top = int(x - 3 * size * len(said)), int(y - 3.5 * size)
+        for k, c in enumerate(said.upper()):
+            for row, bits in enumerate(GLYPHS.get(c, ())):
+                for col in range(5):
+                    if bits >> (4 - col) & 1:
+                        px, py = left + (6 * k + col) * size, top + row * size
+                        if px >= 0 and py >= 0:
+                            self.pixels[py : py + size, px : px + size] = colour
+
     def ring(self, x: float, y: float, radius: float, colour: Colour, width: float = 1.5) -> None:
         self._blend(np.clip(width / 2 + 0.5 - np.abs(np.hypot(self.xs - x, self.ys - y) - radius), 0, 1), colour)
 
