@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +73,11 @@ def geojson_documents(models: DataFrame, origin: tuple[float, float] | None = No
     """(plan_id, document): a FeatureCollection; metres, or longitude and latitude about
     ``origin`` (latitude, longitude)."""
 
+    cos, sin = math.cos(math.radians(rotation_deg)), math.sin(math.radians(rotation_deg))
+
     def at(p: Column) -> Column:
         if origin is None:
-            return F.array(F.round(p["x"] / 1000, 4), F.round(p["y"] / 1000, 4))
+            return F.array(F.round((p["x"] * cos - p["y"] * sin) / 1000, 4), F.round((p["x"] * sin + p["y"] * cos) / 1000, 4))
         where = to_lon_lat(p["x"], p["y"], *origin, rotation_deg)
         return F.array(where["lon"], where["lat"])
 

@@ -53,6 +53,16 @@ def test_read_and_extract(spark, drawings, models):
     assert one(again) == one(models)
 
 
+def test_data_source(spark, drawings, models):
+    from plinth.sources.datasource import register
+
+    register(spark)
+    pages = spark.read.format("plan_pdf").load(drawings)
+    assert pages.count() == 3 and pages.where("error is not null").count() == 1
+    rooms = ex.child(ex.extract(pages.where("error is null"), "1:50"), "rooms")
+    assert sorted(r["area_gross_m2"] for r in rooms.collect()) == sorted(r["area_gross_m2"] for r in ex.child(models, "rooms").collect())
+
+
 def test_json_document(models):
     docs = {r["plan_id"]: json.loads(r["document"]) for r in json_documents(models).collect()}
     d = next(v for k, v in docs.items() if "apartment" in k)
