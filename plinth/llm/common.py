@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as the word rules of the corpus operators see it.
 SPACE = " \t\n\x0b\f\r"
 #: Rows of one Arrow batch where whole texts go to Python, so that a batch of long texts stays small.
-TEXT_BATCH = 1000
+TEXT_BATCH = 256
 
 _local_shared: dict[str, str] = {}
 
