@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import cut, table, text_batches
-from plinth.llm.wordcache import WordEncoder
+from plinth.llm.wordcache import word_encoder
 
 CAPACITY = 4096
 QUANTUM = 8
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of each piece of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = WordEncoder(path), np.uint32(END_ID).astype("<u4").tobytes()
+        encoder, end = word_encoder(path), np.uint32(END_ID).astype("<u4").tobytes()
         for rows in batches:
             out = []
             for i, ids in enumerate(encoder.encode([x or "" for x in rows["text"]])):

@@ -8,16 +8,31 @@ batch; ids are kept as little-endian unsigned 32-bit bytes, so a text's ids are
 from __future__ import annotations
 
 import re
+import struct
+from functools import lru_cache
 
 import numpy as np
 
-#: Parts whose ids a worker keeps (about 150 MB); beyond it the cache starts anew.
-CACHE_PARTS = 500_000
+#: Parts of one generation that a worker keeps (about 30 MB).  A full generation becomes the old
+#: one, from which parts that are met again move on; so common words stay known.
+CACHE_PARTS = 120_000
 #: str.split() also splits at these, which the tokenizer takes for ordinary characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
+
+def _byte_letters() -> list[str]:
+    """The letter for each byte in byte-level vocabularies: itself if printable, else the next
+    of those from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """For tokenizers whose pre-tokenizer removes white space (word_bpe_49k.json is one)."""
 
@@ -25,8 +40,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_parts = cache_parts
+        self.model, self.cache_parts = self.tokenizer.model, cache_parts
+        self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,"}
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -34,26 +51,48 @@ class WordEncoder:
             return [x for x in _WHITE.split(text) if x]
         return text.split()
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a lower-case Latin word straight from the tokenizer's model: such a word is one
+        pre-token that the normaliser leaves alone, and the model reads its bytes as letters."""
+        if not word.isalpha() or max(word) >= "\u0250":
+            return None
+        tokens = self.model.tokenize(word if word.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, word.encode())))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
     def _learn(self, missing: set[str]) -> None:
-        # "Word," is "word" and ",": ASCII letters and a closing mark are separate pre-tokens
-        plain: dict[str, tuple[str, str]] = {}
+        ids, old, hard = self.ids, self.old, []
         for part in missing:
-            core, mark = (part[:-1], part[-1]) if part[-1] in ".," else (part, "")
-            plain[part] = (core.lower(), mark) if core.isascii() and core.isalpha() else (part, "")
-        fresh = list({x for pair in plain.values() for x in pair if x and x not in self.ids})
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(found.ids, "<u4").tobytes()
-        for part, (core, mark) in plain.items():
-            self.ids[part] = self.ids[core] + (self.ids[mark] if mark else b"")
+            found = old.get(part)
+            if found is None:
+                # "Word," is "word" and ",": letters and a closing mark are separate pre-tokens
+                mark = part[-1] if part[-1] in self.marks else ""
+                word = (part[:-1] if mark else part).lower()
+                found = ids.get(word) or old.get(word) or self._word(word)
+                if found is None:
+                    hard.append(part)
+                    continue
+                if word != part:
+                    ids[word] = found
+                    if mark:
+                        found += self.marks[mark]
+            ids[part] = found
+        for part, found in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False) if hard else (), strict=True):
+            ids[part] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         split = [self.parts(x) for x in texts]
         if len(self.ids) > self.cache_parts:
-            self.ids = {}
+            self.ids, self.old = {}, self.ids
         known = self.ids
         missing = {p for parts in split for p in parts if p not in known}
         if missing:
             self._learn(missing)
         known = self.ids
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder: its words stay known from task to task."""
+    return WordEncoder(path)
