@@ -83,16 +83,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"), F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     e = cut(pairs.where(pairs[pairs.columns[2]]).select("u", "v").distinct(), "edges")
-    before = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).collect()[0]
-        if now == before or not now[0]:
+        # done when every node has one edge and none is both an end and a root
+        n, nodes = e.agg(F.count("*"), F.count_distinct("u")).collect()[0]
+        if n == nodes and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             roots = e.select(F.col("v").alias("node")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
-        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
