@@ -6,9 +6,10 @@ of each, so HALVES * HALVES tables cost only 2 * HALVES * TUPLE min-hashes.  A d
 tuples nobody shares has no bucket, which is found on the small collections before any key is
 formed.  Buckets give pairs of a member and the bucket's leader; a pair is linked only after
 its similarity is confirmed on the full sets.  The first rounds look at a few tables only,
-which joins most of a large group; later rounds look at all tables, pair only members that are
-still apart, and with other leaders, so a link that the first leaders did not show is not lost
-and a member of a large group is compared with few others.
+which joins most of a large group; later rounds look at all tables and pair only members that are
+still apart, with other leaders.  These rounds only save work: the last step takes every pair of
+a bucket whose members are then in different components, so no candidate is left out.  Buckets
+with the same members count once, and large ones are dealt out as pairs of blocks.
 
 Documents with equal sets are one class: only classes go through buckets, and copies are
 attached to them by one equi-join, so a group of copies of any size costs one row there.
@@ -44,8 +45,12 @@ LEAST_AGREEING = 36
 BROADCAST_ROWS = 500_000
 #: Tables of the first rounds; the rounds after them use all tables.
 FIRST_TABLES = (4, HALVES)
-#: Rounds over all tables without a new link after which the search ends.
-QUIET_ROUNDS = 2
+#: Leader rounds over all tables go on while one pair in so many gives a link; then all pairs follow.
+FRUITFUL = 4
+#: Members of one block of a large bucket; each pair of blocks is one unit of work.
+BLOCK_MEMBERS = 256
+#: Members that one step of the pair search compares with all others of its unit.
+STEP_MEMBERS = 64
 #: Distinct words whose hashes a worker keeps.
 WORD_CACHE = 150_000
 BLOCK = 8192
@@ -139,6 +144,50 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows.loc[(a == b).sum(axis=1) >= LEAST_AGREEING, ["a", "b"]]
 
 
+def _unit_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """The pairs of one unit that are apart and pass the length and the sketch test."""
+    lo, hi = rows["lo"].iat[0], rows["hi"].iat[0]
+    node, part, block, n = (rows[c].to_numpy() for c in ("node", "part", "block", "n_shingles"))
+    part = pd.factorize(part)[0]
+    sketch = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(-1, HASHES)
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    for at in range(0, len(left), STEP_MEMBERS):
+        i = left[at : at + STEP_MEMBERS]
+        near = (part[i, None] != part[right]) & (100 * np.minimum(n[i, None], n[right]) >= percent * np.maximum(n[i, None], n[right]))
+        if lo == hi:
+            near &= i[:, None] < right
+        x, y = np.nonzero(near)
+        x, y = i[x], right[y]
+        good = (sketch[x] == sketch[y]).sum(axis=1) >= LEAST_AGREEING
+        if good.any():
+            a, b = node[x[good]], node[y[good]]
+            yield pd.DataFrame({"a": [min(p, q) for p, q in zip(a, b, strict=True)], "b": [max(p, q) for p, q in zip(a, b, strict=True)]})
+
+
+def _every_pair(percent: int):
+    """Pairs of each unit (bucket, lo, hi); a unit's rows follow one another, maybe over batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if not len(rows):
+                continue
+            key = rows[["bucket", "lo", "hi"]].to_numpy()
+            if held and (held[-1][["bucket", "lo", "hi"]].to_numpy()[-1] != key[0]).any():
+                yield from _unit_pairs(pd.concat(held, ignore_index=True), percent)
+                held = []
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(rows)]
+            for k, (x, y) in enumerate(zip(starts, starts[1:], strict=False)):
+                if k:
+                    yield from _unit_pairs(pd.concat(held, ignore_index=True), percent)
+                    held = []
+                held.append(rows.iloc[x:y])
+        if held:
+            yield from _unit_pairs(pd.concat(held, ignore_index=True), percent)
+
+    return run
+
+
 def _own_set(width: int):
     """Drops a row whose text is not that of its class (a doc_id may have several texts)."""
 
@@ -191,8 +240,11 @@ def buckets(classes: DataFrame) -> DataFrame:
     pairs = mine.select("node", F.explode(first).alias("x"), second.alias("second")).select("node", "x", F.explode("second").alias("y"))
     number = F.when(F.col("y.at") - F.col("x.at") == HALVES, F.col("x.at")).otherwise(HALVES)
     keyed = cut(pairs.select(F.xxhash64("x.at", "x.value", "y.at", "y.value").alias("bucket"), number.alias("number"), "node"), "keys")
-    many = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return keyed.join(many, "bucket", "left_semi")
+    # buckets with the same members (two 64-bit sums of them agree) hold the same pairs
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"sum{i}") for i in (0, 1)]
+    many = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("number").alias("number"), *sums).where("n > 1")
+    once = many.groupBy("n", "sum0", "sum1").agg(F.min("bucket").alias("bucket"), F.min("number").alias("number")).select("bucket", "number")
+    return keyed.select("bucket", "node").join(once, "bucket").select("bucket", "number", "node")
 
 
 def _pairs(members: DataFrame, leader) -> DataFrame:
@@ -202,6 +254,18 @@ def _pairs(members: DataFrame, leader) -> DataFrame:
     return both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
+def _all_pairs(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of a bucket that are in different components and may be similar enough."""
+    spread = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+    k = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("k")
+    mine = members.join(spread.select("bucket", k), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    # a member of block i belongs to the units (i, j) and (j, i) of all blocks j, the smaller one first
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    units = mine.select("bucket", "node", "part", "block", other).select("bucket", "node", "part", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    units = units.join(sketch, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return units.mapInPandas(_every_pair(percent), "a binary, b binary").distinct()
+
+
 def _joined(parts: DataFrame | None, new: DataFrame) -> DataFrame:
     """Components with the new links; only links between components go through the search."""
     edges = new.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -216,37 +280,43 @@ def _joined(parts: DataFrame | None, new: DataFrame) -> DataFrame:
     return moved.unionByName(fresh)
 
 
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
 def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Components (node, component) of the classes that have a link."""
     held = cut(buckets(classes), "buckets")
-    sketch = classes.select("node", "sketch")
+    sketch = classes.select("node", "n_shingles", "sketch")
 
     def close(pairs: DataFrame) -> DataFrame:
-        a = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-        b = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-        return cut(pairs.join(a, "a").join(b, "b").mapInPandas(_agreeing, "a binary, b binary"), "pairs")
+        a = sketch.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        b = sketch.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        both = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        return cut(both.select("a", "b", "sketch_a", "sketch_b").mapInPandas(_agreeing, "a binary, b binary"), "pairs")
 
     tried = parts = None
-    quiet, turn = 0, 0
-    while quiet < QUIET_ROUNDS:
+    turn, last = 0, False
+    while not last:
         few = turn < len(FIRST_TABLES)
         members = held.where(F.col("number") < FIRST_TABLES[turn]) if few else held
         members = members.withColumn("component", F.lit(None).cast("binary")) if parts is None else members.join(parts, "node", "left")
         members = members.select("bucket", "node", F.coalesce("component", "node").alias("part"))
-        fresh = _pairs(members, F.min(F.struct(F.xxhash64(F.lit(turn), "bucket" if turn else F.lit(0), "node").alias("o"), "node", "part")))
-        fresh = close(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
+        fresh = close(_untried(_pairs(members, F.min(F.struct(F.xxhash64(F.lit(turn), "bucket" if turn else F.lit(0), "node").alias("o"), "node", "part"))), tried))
+        n = fresh.count()
         turn += 1
-        if fresh.isEmpty():
-            if not few:
-                break
-            continue
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        new = cut(_confirm(fresh, classes, docs, width, percent), "links")
-        if new.isEmpty():
-            quiet += not few
-            continue
-        quiet = 0
-        parts = cut(_joined(parts, new), "parts")
+        if n:
+            tried = fresh if tried is None else tried.unionByName(fresh)
+            new = cut(_confirm(fresh, classes, docs, width, percent), "links")
+            found = new.count()
+            parts = cut(_joined(parts, new), "parts") if found else parts
+        last = not few and not (n and found * FRUITFUL >= n)
+    members = held.join(parts, "node", "left") if parts is not None else held.withColumn("component", F.lit(None).cast("binary"))
+    members = members.select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    rest = cut(_untried(_all_pairs(members, sketch, percent), tried), "rest")
+    if not rest.isEmpty():
+        new = cut(_confirm(rest, classes, docs, width, percent), "links")
+        parts = parts if new.isEmpty() else cut(_joined(parts, new), "parts")
     if parts is None:
         return classes.select("node", F.col("node").alias("component")).limit(0)
     return parts
@@ -256,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """(doc_id, n_shingles, component_id, kept) per row of ``docs(doc_id, text, ...)``."""
     sketched = cut(sketches(docs, width), "sketches")
     named = sketched.where("node is not null and doc_id is not null")
-    classes = cut(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("tuples").alias("tuples"), F.first("sketch").alias("sketch")), "classes")
+    classes = cut(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tuples").alias("tuples"), F.first("sketch").alias("sketch")), "classes")
     parts = links(classes, docs, width, percent)
     placed = classes.select("node", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
