@@ -7,7 +7,9 @@ rebuilt as a ``tokenizers.Tokenizer``.  Texts go through it in multithreaded bat
 A text is encoded in parts that no piece of the vocabulary can join (each run of markers
 starts one, where no piece has a marker after another character), so parts are encoded once
 and kept.  Every part is compared with the sentencepiece library when it is met first; a text
-with a part that differs is reported in ``parity``.
+with a part that differs is reported in ``parity``.  Parts are normalised already, so the library
+reads the model with its normaliser switched off; where the model squeezes spaces or maps
+characters, whole texts are compared instead.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows
 are encoded each on their own; an empty table gives an empty result.
@@ -36,6 +38,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts of one generation that a worker keeps; a full generation becomes the old one.
 CACHE_PARTS = 120_000
 MODEL = "piece_bpe_32k.model"
+#: Appended to a model file, these bytes (a second normaliser spec, which protobuf merges into the
+#: first) take away its character map, dummy prefix and squeezing of spaces.
+AS_IS = bytes([0x1A, 6, 0x12, 0, 0x18, 0, 0x20, 0])
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -148,13 +153,14 @@ class PieceCodec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         with open(path, "rb") as f:
-            self.model = parse(f.read())
+            data = f.read()
+        self.model = parse(data)
         self.tokenizer = build(self.model)
-        self.reference = None
+        self.reference, self.whole = None, bool(self.model.squeeze or self.model.charsmap)
         if check:
             import sentencepiece
 
-            self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.reference = sentencepiece.SentencePieceProcessor(model_proto=data if self.whole else data + AS_IS)
         self.cache_parts, self.ids, self.old, self.differ = cache_parts, {}, {}, set()
         texts = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
         self.apart = not any(MARK in p.lstrip(MARK) for p in texts)
@@ -201,27 +207,27 @@ class PieceCodec:
         self.ids |= {x: self.old[x] for x in needed if x in self.old}
         fresh = sorted(x for x in needed if x not in self.ids)
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        if self.reference:
-            # its own normaliser would add a prefix or squeeze spaces again
-            direct = not (self.model.dummy_prefix or self.model.squeeze or self.model.charsmap)
-            expected = self.reference.encode([x.replace(MARK, " ") for x in fresh], num_threads=1) if direct else encoded
-            self.differ |= {x for x, a, b in zip(fresh, encoded, expected, strict=True) if a != b}
         for x, found in zip(fresh, encoded, strict=True):
             self.ids[x] = np.array(found, "<u4").tobytes()
         for part, xs in plain.items():
             self.ids[part] = b"".join(self.ids[x] for x in xs)
-            if self.differ and not self.differ.isdisjoint(xs):
-                self.differ.add(part)
+        if self.reference and not self.whole:
+            new = sorted({*fresh, *plain})
+            expected = self.reference.encode(new, num_threads=1)
+            self.differ |= {x for x, ids in zip(new, expected, strict=True) if self.ids[x] != np.array(ids, "<u4").tobytes()}
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids as little-endian unsigned 32-bit bytes, and whether every part had parity."""
+        """Ids as little-endian unsigned 32-bit bytes, and whether the text had parity."""
         split = [self.parts(self.normalise(x)) for x in texts]
         if len(self.ids) > self.cache_parts:
             self.ids, self.old = {}, self.ids
         known = self.ids
         if missing := {p for parts in split for p in parts if p not in known}:
             self._learn(missing)
-        return [b"".join(map(known.__getitem__, parts)) for parts in split], [not self.differ or self.differ.isdisjoint(parts) for parts in split]
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        if self.reference and self.whole:
+            return out, [ids == np.array(x, "<u4").tobytes() for ids, x in zip(out, self.reference.encode(texts, num_threads=1), strict=True)]
+        return out, [not self.differ or self.differ.isdisjoint(parts) for parts in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; a dummy prefix is taken away, invalid UTF-8 becomes U+FFFD."""
