@@ -2,7 +2,7 @@
 
 The model is a pair of multinomials over hashed unigrams and bigrams: one of the trusted
 target (documents labelled quality = 1), one of the raw corpus (every document).  Both are
-counted over whole texts.  A document's score is the sum of log(target / raw) over its
+counted over whole texts, each distinct one once, so copies don't move them.  A document's score is the sum of log(target / raw) over its
 n-grams divided by their number; every document is kept or not by one fixed threshold.
 Everything runs on DataFrame functions.
 
@@ -78,15 +78,29 @@ def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, n) over the whole texts of ``docs``; partial sums bound what is shuffled."""
-    all_grams = docs.select(F.explode(bound(hashed(words_of(F.col("text"))), grams)).alias("bucket"))
-    return all_grams.groupBy("bucket").agg(F.count("*").alias("n"))
+def gram_counts(docs: DataFrame, times: str = "1L") -> DataFrame:
+    """(bucket, n) over the whole texts of ``docs``, each counted ``times`` times; partial sums
+    bound what is shuffled."""
+    all_grams = docs.select(F.expr(times).alias("times"), F.explode(bound(hashed(words_of(F.col("text"))), grams)).alias("bucket"))
+    return all_grams.groupBy("bucket").agg(F.sum("times").alias("n"))
+
+
+def distinct_counts(docs: DataFrame) -> dict[int, int]:
+    """n of each bucket over the texts of ``docs`` that differ in their words: the counts of all
+    rows, less those of the copies.  Only texts that have copies are gathered."""
+    keyed = docs.select("text", F.md5(F.array_join(words_of(F.col("text")), " ").cast("binary")).alias("key"))
+    copied = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "copied")
+    few = copied.count() <= BROADCAST_ROWS
+    extra = keyed.join(F.broadcast(copied) if few else copied, "key").groupBy("key", "n").agg(F.any_value("text").alias("text"))
+    found = {r["bucket"]: r["n"] for r in gram_counts(docs).collect()}
+    for r in gram_counts(extra, "n - 1").collect():
+        found[r["bucket"]] -= r["n"]
+    return found
 
 
 def fit_weights(docs: DataFrame, target: DataFrame) -> list[int]:
     """Weight of each bucket in thousandths; ``target`` is the trusted part of ``docs``."""
-    raw, trusted = ({r["bucket"]: r["n"] for r in gram_counts(x).collect()} for x in (docs, target))
+    raw, trusted = distinct_counts(docs), distinct_counts(target)
     raw_all, trusted_all = sum(raw.values()), sum(trusted.values())
     if not trusted_all:
         return [0] * BUCKETS
