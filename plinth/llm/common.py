@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 #: Rows of one Arrow batch where whole texts go to Python, so that a batch of long texts stays small.
 TEXT_BATCH = 256
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _local_shared: dict[str, str] = {}
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,21 +46,49 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends here, and
     a lost executor costs a reread only."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for df in cuts:
+        _, path = _written.pop(id(df))
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Arrow batches of what runs hold so many rows at most."""
+    before = spark.conf.get(ARROW_ROWS, None)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_ROWS)
+        else:
+            spark.conf.set(ARROW_ROWS, before)
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch before whole texts go to Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    """Bounds the rows of an Arrow batch before whole texts go to Python.  Spark reads the setting
+    when a query runs, which may be after an operator has returned it, so it stays set."""
+    now = int(spark.conf.get(ARROW_ROWS, "10000"))
     if now <= 0 or now > TEXT_BATCH:
-        spark.conf.set(key, str(TEXT_BATCH))
+        spark.conf.set(ARROW_ROWS, str(TEXT_BATCH))
 
 
 def bound(value: Column, body) -> Column:
@@ -81,8 +113,8 @@ def components(edges: DataFrame) -> DataFrame:
     never gathered into one row; each step is an aggregate and an equi-join, written to the
     shared folder.
     """
-    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"), F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    e = cut(pairs.where(pairs[pairs.columns[2]]).select("u", "v").distinct(), "edges")
+    pairs = edges.where("src is not null and dst is not null and src <> dst")
+    e = cut(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     while True:
         # done when every node has one edge and none is both an end and a root
         n, nodes = e.agg(F.count("*"), F.count_distinct("u")).collect()[0]
@@ -93,6 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large, "large-star")
+        before = e
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(before, large)

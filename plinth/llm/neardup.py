@@ -2,14 +2,21 @@
 
 A document's set holds the distinct ``width``-word shingles of its lower-cased text.  Two
 small collections of ``HALVES`` min-hash tuples are computed; a table's key joins one tuple
-of each, so HALVES * HALVES tables cost only 2 * HALVES * TUPLE min-hashes.  A document whose
-tuples nobody shares has no bucket, which is found on the small collections before any key is
-formed.  Buckets give pairs of a member and the bucket's leader; a pair is linked only after
-its similarity is confirmed on the full sets.  The first rounds look at a few tables only,
-which joins most of a large group; later rounds look at all tables and pair only members that are
-still apart, with other leaders.  These rounds only save work: the last step takes every pair of
-a bucket whose members are then in different components, so no candidate is left out.  Buckets
-with the same members count once, and large ones are dealt out as pairs of blocks.
+of each, so HALVES * HALVES tables cost only 2 * HALVES * TUPLE min-hashes.
+
+1. Keys.  Every class of equal sets gives one key a table.  One range shuffle by key sorts them;
+   a key that only one class has goes there and then.  The range is over (key, class), so one
+   key of any size is dealt over many tasks.
+2. Leaders.  In each bucket the member that meets the most others (summed over its buckets) is
+   the leader.  The centre of a group of near copies leads nearly all buckets of that group, so
+   n copies give about n pairs (member, leader), not n a table.  Pairs are confirmed on the full
+   sets and joined to components.
+3. The rest.  Pairs of a bucket of which neither was its leader and whose members are in different
+   components are all tested too, as pairs of blocks, by an exact bound: a set's parity bitmap
+   has the parities of the numbers of its shingles in ``PARITY_BITS`` bins, and two sets differ in
+   at least as many shingles as their bitmaps differ in bits.  What the bound and the lengths leave
+   is confirmed on the full sets.  So every pair that shares a bucket is linked, or joined already,
+   or known to be less similar.
 
 Documents with equal sets are one class: only classes go through buckets, and copies are
 attached to them by one equi-join, so a group of copies of any size costs one row there.
@@ -26,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import components, cut, table, text_batches
+from plinth.llm.common import batches_of, components, cut, discard, table, text_batches
 
 WIDTH = 5
 PERCENT = 80
@@ -38,22 +46,24 @@ PERCENT = 80
 #: all HALVES * HALVES tables with probability 2 * (1 - 0.8 ** TUPLE) ** HALVES, under 0.0004.
 HALVES, TUPLE = 12, 3
 HASHES = 2 * HALVES * TUPLE
-#: Pairs whose sketches agree on fewer of the HASHES values are not looked at further; at a
-#: similarity of 0.8 that happens with probability under 1e-8.
-LEAST_AGREEING = 36
+#: Bins of the parity bitmap, a power of two.
+PARITY_BITS = 1024
 #: Ids up to which a set of documents is sent to every executor instead of shuffling all texts.
 BROADCAST_ROWS = 500_000
-#: Tables of the first rounds; the rounds after them use all tables.
-FIRST_TABLES = (4, HALVES)
-#: Leader rounds over all tables go on while one pair in so many gives a link; then all pairs follow.
-FRUITFUL = 4
-#: Members of one block of a large bucket; each pair of blocks is one unit of work.
-BLOCK_MEMBERS = 256
+#: Buckets up to this size are compared one by one.  Members of larger ones meet under the
+#: tuple of the first collection, since a large group fills nearly the same buckets under each.
+SMALL_BUCKET = 32
+#: Members of one block; each pair of blocks is one unit of work.
+BLOCK_MEMBERS = 1024
 #: Members that one step of the pair search compares with all others of its unit.
 STEP_MEMBERS = 64
+#: Members of a leader that are confirmed in one group.
+LED_MEMBERS = 2000
 #: Distinct words whose hashes a worker keeps.
-WORD_CACHE = 150_000
+WORD_CACHE = 100_000
 BLOCK = 8192
+#: Rows of one Arrow batch of numbers.
+NUMBER_BATCH = 1 << 14
 
 _rng = np.random.default_rng(20240607)
 _TIMES = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,11 +111,17 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 
 
 def _tuples(least: np.ndarray) -> np.ndarray:
+    """One 32-bit number a tuple; its place goes into it."""
     parts = least.reshape(2 * HALVES, TUPLE)
     total = np.arange(2 * HALVES, dtype=np.uint64)
     for k in range(TUPLE):
         total = _mix(total * _STEP[k] + parts[:, k])
-    return total.view(np.int64)
+    return (total >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def parities(found: np.ndarray) -> bytes:
+    counts = np.bincount((found & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 def _key(found: np.ndarray) -> bytes:
@@ -121,9 +137,8 @@ def _sketch(width: int):
                 if not len(found):
                     out.append((doc_id, 0, None, None, None))
                     continue
-                least = minhashes(found)
-                out.append((doc_id, len(found), _key(found), _tuples(least).tolist(), (least & np.uint64(0xFFFF)).astype("<u2").tobytes()))
-            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "node", "tuples", "sketch"])
+                out.append((doc_id, len(found), _key(found), _tuples(minhashes(found)).tobytes(), parities(found)))
+            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "key", "tuples", "parity"])
             made["doc_id"] = pd.array(rows["doc_id"], dtype="Int64")
             yield made
 
@@ -131,25 +146,87 @@ def _sketch(width: int):
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, node, tuples, sketch) per row; node names the set."""
+    """(doc_id, n_shingles, key, tuples, parity) per row; key names the set."""
     text_batches(docs.sparkSession)
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return only.mapInPandas(_sketch(width), "doc_id long, n_shingles long, node binary, tuples array<long>, sketch binary")
+    return only.mapInPandas(_sketch(width), "doc_id long, n_shingles long, key binary, tuples binary, parity binary")
+
+
+def classes_of(sketched: DataFrame) -> DataFrame:
+    """(node, key, rep, n_shingles, tuples, parity) per distinct set; node numbers them."""
+    named = sketched.where("key is not null and doc_id is not null")
+    same = [F.first(c).alias(c) for c in ("n_shingles", "tuples", "parity")]  # equal sets have equal ones
+    return named.groupBy("key").agg(F.min("doc_id").alias("rep"), *same).withColumn("node", F.monotonically_increasing_id())
+
 
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
-def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _pairs_of_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, node) for each table: the first collection's tuple above, the second's below."""
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        tuples = np.frombuffer(b"".join(rows.column("tuples").to_pylist()), np.uint32).reshape(-1, 2 * HALVES).astype(np.uint64)
+        bucket = (tuples[:, :HALVES, None] << np.uint64(32)) | tuples[:, None, HALVES:]
+        node = np.repeat(_numbers(rows.column("node")), HALVES * HALVES)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1).view(np.int64)), pa.array(node)], ["bucket", "node"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted (bucket, node) whose bucket the row before or after has too, and the ends
+    of the partition, whose bucket may go on in the next one."""
+    held: tuple[np.ndarray, np.ndarray, bool] | None = None
     for rows in batches:
-        if len(rows):
-            a, b = (np.frombuffer(b"".join(rows[c]), "<u2").reshape(-1, HASHES) for c in ("sketch_a", "sketch_b"))
-            yield rows.loc[(a == b).sum(axis=1) >= LEAST_AGREEING, ["a", "b"]]
+        if not rows.num_rows:
+            continue
+        bucket, node = _numbers(rows.column("bucket")), _numbers(rows.column("node"))
+        known = held is None or held[2]  # the first row of a partition stays
+        if held is not None:
+            bucket, node = np.concatenate((held[0], bucket)), np.concatenate((held[1], node))
+        same = bucket[1:] == bucket[:-1]
+        keep = np.zeros(len(bucket), bool)
+        keep[0] = known
+        keep[1:] |= same
+        keep[:-1] |= same
+        held = bucket[-1:], node[-1:], bool(keep[-1])
+        keep[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(node[keep])], ["bucket", "node"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["bucket", "node"])
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, node) of the buckets with two classes or more, and of few others."""
+    keys = classes.select("node", "tuples").mapInArrow(_pairs_of_tuples, "bucket long, node long")
+    ordered = keys.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
+    return ordered.mapInArrow(_shared, "bucket long, node long")
+
+
+def led(held: DataFrame) -> DataFrame:
+    """(bucket, leader, n) of the buckets with two members or more."""
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = held.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
+    top = held.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("top"), F.count("*").alias("n"))
+    return top.where("n > 1").select("bucket", F.col("top.node").alias("leader"), "n")
+
+
+def _close(percent: int, n_a: str, n_b: str) -> Column:
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+
+
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in at least so many shingles may be similar enough:
+    the intersection is at most (n_a + n_b - differ) / 2, the union at least (n_a + n_b + differ) / 2."""
+    return 100 * (n_a + n_b - differ) >= percent * (n_a + n_b + differ)
 
 
 def _unit_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
-    """The pairs of one unit that are apart and pass the length and the sketch test."""
+    """The pairs of one unit that are apart and that the bounds leave."""
     lo, hi = rows["lo"].iat[0], rows["hi"].iat[0]
     node, part, block, n = (rows[c].to_numpy() for c in ("node", "part", "block", "n_shingles"))
-    part = pd.factorize(part)[0]
-    sketch = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(-1, HASHES)
+    parity = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
     for at in range(0, len(left), STEP_MEMBERS):
         i = left[at : at + STEP_MEMBERS]
@@ -158,22 +235,25 @@ def _unit_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
             near &= i[:, None] < right
         x, y = np.nonzero(near)
         x, y = i[x], right[y]
-        good = (sketch[x] == sketch[y]).sum(axis=1) >= LEAST_AGREEING
+        differ = np.zeros(len(x), np.int64)
+        for w in range(parity.shape[1]):
+            differ += np.bitwise_count(parity[x, w] ^ parity[y, w])
+        good = _may_link(n[x], n[y], differ, percent)
         if good.any():
             a, b = node[x[good]], node[y[good]]
-            yield pd.DataFrame({"a": [min(p, q) for p, q in zip(a, b, strict=True)], "b": [max(p, q) for p, q in zip(a, b, strict=True)]})
+            yield pd.DataFrame({"hub": np.minimum(a, b), "node": np.maximum(a, b)})
 
 
 def _every_pair(percent: int):
-    """Pairs of each unit (bucket, lo, hi); a unit's rows follow one another, maybe over batches."""
+    """Pairs of each unit (unit, lo, hi); a unit's rows follow one another, maybe over batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for rows in batches:
             if not len(rows):
                 continue
-            key = rows[["bucket", "lo", "hi"]].to_numpy()
-            if held and (held[-1][["bucket", "lo", "hi"]].to_numpy()[-1] != key[0]).any():
+            key = rows[["unit", "lo", "hi"]].to_numpy()
+            if held and (held[-1][["unit", "lo", "hi"]].to_numpy()[-1] != key[0]).any():
                 yield from _unit_pairs(pd.concat(held, ignore_index=True), percent)
                 held = []
             starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(rows)]
@@ -188,158 +268,116 @@ def _every_pair(percent: int):
     return run
 
 
+def rest_pairs(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (hub, node) of a bucket that are in different components and may be similar
+    enough; ``members(bucket, n, node, part)`` without the leaders, ``sizes(node, n_shingles, parity)``."""
+    apart = members.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("bucket")
+    unit = F.when(F.col("n") <= SMALL_BUCKET, F.col("bucket")).otherwise(F.shiftright("bucket", 32)).alias("unit")
+    inside = members.join(apart, "bucket", "left_semi").select(unit, "node", "part").distinct()
+    inside = cut(inside, "inside")
+    k = inside.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("k"))
+    mine = inside.join(k, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    # a member of block i belongs to the units (i, j) and (j, i) of all blocks j, the smaller one first
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    units = mine.join(sizes, "node").select("unit", "node", "part", "block", "n_shingles", "parity", other)
+    units = units.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
+    units = units.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi")
+    return units.mapInPandas(_every_pair(percent), "hub long, node long").distinct()
+
+
 def _own_set(width: int):
     """Drops a row whose text is not that of its class (a doc_id may have several texts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows[[_key(shingles(t, width)) == bytes(k) for k, t in zip(rows["node"], rows["text"], strict=True)]]
+            yield rows.loc[[_key(shingles(t, width)) == bytes(k) for k, t in zip(rows["key"], rows["text"], strict=True)], ["node", "text"]]
 
     return run
 
 
 def _confirmed(width: int, percent: int):
+    """Rows come as a hub's text and then the texts of those that are compared with it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, np.empty(0, np.uint64)
+        held = np.empty(0, np.uint64)
         for rows in batches:
             good = []
-            for b, text_a, text_b in zip(rows["b"], rows["text_a"], rows["text_b"], strict=True):
-                if b != last:
-                    last, held = b, shingles(text_b, width)
-                mine = shingles(text_a, width)
+            for node, text in zip(rows["node"], rows["text"], strict=True):
+                mine = shingles(text, width)
+                if pd.isna(node):
+                    held = mine
+                    good.append(False)
+                    continue
                 both = len(np.intersect1d(mine, held, assume_unique=True))
                 good.append(100 * both >= percent * (len(mine) + len(held) - both))
-            yield rows.loc[good, ["a", "b"]]
+            yield rows.loc[good, ["hub", "node"]].astype("int64")
 
     return run
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough on their full sets."""
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (hub, node) of classes that are similar enough on their full sets.  A hub's text is
+    sent once for LED_MEMBERS of its pairs."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id")), "wanted")
+    nodes = pairs.select(F.col("hub").alias("node")).unionByName(pairs.select("node")).distinct()
+    wanted = cut(classes.join(nodes, "node", "left_semi").select("node", "key", F.col("rep").alias("doc_id")), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
-    texts = texts.select("node", "text").mapInPandas(_own_set(width), "node binary, text string").dropDuplicates(["node"])
-    texts = cut(texts, "texts")
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     text_batches(spark)
-    return sides.select("a", "b", "text_a", "text_b").mapInPandas(_confirmed(width, percent), "a binary, b binary")
-
-
-def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, number, node) of the buckets with two classes or more; number is 0 to HALVES - 1
-    for the tables that join a tuple with the one at its own place, HALVES for all others."""
-    single = classes.select("node", F.posexplode("tuples").alias("at", "value"))
-    shared = single.groupBy("at", "value").agg(F.count("*").alias("n")).where("n > 1").select("at", "value")
-    mine = single.join(shared, ["at", "value"], "left_semi").groupBy("node").agg(F.collect_list(F.struct("at", "value")).alias("mine"))
-    first = F.filter("mine", lambda x: x["at"] < HALVES)
-    second = F.filter("mine", lambda x: x["at"] >= HALVES)
-    pairs = mine.select("node", F.explode(first).alias("x"), second.alias("second")).select("node", "x", F.explode("second").alias("y"))
-    number = F.when(F.col("y.at") - F.col("x.at") == HALVES, F.col("x.at")).otherwise(HALVES)
-    keyed = cut(pairs.select(F.xxhash64("x.at", "x.value", "y.at", "y.value").alias("bucket"), number.alias("number"), "node"), "keys")
-    # buckets with the same members (two 64-bit sums of them agree) hold the same pairs
-    sums = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"sum{i}") for i in (0, 1)]
-    many = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("number").alias("number"), *sums).where("n > 1")
-    once = many.groupBy("n", "sum0", "sum1").agg(F.min("bucket").alias("bucket"), F.min("number").alias("number")).select("bucket", "number")
-    return keyed.select("bucket", "node").join(once, "bucket").select("bucket", "number", "node")
-
-
-def _pairs(members: DataFrame, leader) -> DataFrame:
-    """Each member with its bucket's leader, where they are in different components."""
-    led = members.groupBy("bucket").agg(leader.alias("led"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    both = members.join(led.select("bucket", F.col("led.node").alias("b"), F.col("led.part").alias("b_part")), "bucket").where("part <> b_part")
-    return both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-
-
-def _all_pairs(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of a bucket that are in different components and may be similar enough."""
-    spread = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
-    k = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("k")
-    mine = members.join(spread.select("bucket", k), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    # a member of block i belongs to the units (i, j) and (j, i) of all blocks j, the smaller one first
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    units = mine.select("bucket", "node", "part", "block", other).select("bucket", "node", "part", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    units = units.join(sketch, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return units.mapInPandas(_every_pair(percent), "a binary, b binary").distinct()
-
-
-def _joined(parts: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Components with the new links; only links between components go through the search."""
-    edges = new.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    if parts is None:
-        return components(edges)
-    of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
-    placed = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
-    placed = placed.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst"))
-    merged = components(placed).withColumnsRenamed({"node": "old", "component": "new"})
-    fresh = merged.join(parts.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
-    moved = parts.join(merged, parts["component"] == merged["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
-    return moved.unionByName(fresh)
-
-
-def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    texts = texts.select("node", "key", "text").mapInPandas(_own_set(width), "node long, text string")
+    texts = cut(texts.groupBy("node").agg(F.any_value("text").alias("text")), "texts")  # equal sets: any text of them
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / LED_MEMBERS).cast("int").alias("k"))
+    mine = pairs.join(hubs, "hub").join(texts, "node").select("hub", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("salt"), "node", "text")
+    own = hubs.join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(None).cast("long").alias("node"), "text")
+    dealt = own.unionByName(mine).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("node"))
+    return dealt.mapInPandas(_confirmed(width, percent), "hub long, node long")
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Components (node, component) of the classes that have a link."""
-    held = cut(buckets(classes), "buckets")
-    sketch = classes.select("node", "n_shingles", "sketch")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        a = sketch.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        b = sketch.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        both = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return cut(both.select("a", "b", "sketch_a", "sketch_b").mapInPandas(_agreeing, "a binary, b binary"), "pairs")
-
-    tried = parts = None
-    turn, last = 0, False
-    while not last:
-        few = turn < len(FIRST_TABLES)
-        members = held.where(F.col("number") < FIRST_TABLES[turn]) if few else held
-        members = members.withColumn("component", F.lit(None).cast("binary")) if parts is None else members.join(parts, "node", "left")
-        members = members.select("bucket", "node", F.coalesce("component", "node").alias("part"))
-        fresh = close(_untried(_pairs(members, F.min(F.struct(F.xxhash64(F.lit(turn), "bucket" if turn else F.lit(0), "node").alias("o"), "node", "part"))), tried))
-        n = fresh.count()
-        turn += 1
-        if n:
-            tried = fresh if tried is None else tried.unionByName(fresh)
-            new = cut(_confirm(fresh, classes, docs, width, percent), "links")
-            found = new.count()
-            parts = cut(_joined(parts, new), "parts") if found else parts
-        last = not few and not (n and found * FRUITFUL >= n)
-    members = held.join(parts, "node", "left") if parts is not None else held.withColumn("component", F.lit(None).cast("binary"))
-    members = members.select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    rest = cut(_untried(_all_pairs(members, sketch, percent), tried), "rest")
-    if not rest.isEmpty():
-        new = cut(_confirm(rest, classes, docs, width, percent), "links")
-        parts = parts if new.isEmpty() else cut(_joined(parts, new), "parts")
-    if parts is None:
-        return classes.select("node", F.col("node").alias("component")).limit(0)
-    return parts
+    spark = docs.sparkSession
+    with batches_of(spark, NUMBER_BATCH):
+        held = cut(buckets(classes), "buckets")
+    leaders = cut(led(held), "leaders")
+    members = cut(held.join(leaders, "bucket").where("node <> leader"), "members")
+    discard(held, leaders)
+    sizes = classes.select("node", "n_shingles", "parity")
+    n = classes.select("node", "n_shingles")
+    tried = members.select(F.col("leader").alias("hub"), "node").distinct()
+    tried = tried.join(n.select(F.col("node").alias("hub"), F.col("n_shingles").alias("n_hub")), "hub").join(n, "node")
+    tried = cut(tried.where(_close(percent, "n_hub", "n_shingles")).select("hub", "node"), "tried")
+    found = cut(confirm(tried, classes, docs, width, percent), "links")
+    parts = cut(components(found.select(F.col("hub").alias("src"), F.col("node").alias("dst"))), "parts")
+    placed = members.where("n > 2").select("bucket", "n", "node").join(parts, "node", "left")
+    rest = rest_pairs(placed.select("bucket", "n", "node", F.coalesce("component", "node").alias("part")), sizes, percent)
+    flat = tried.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+    with batches_of(spark, NUMBER_BATCH):
+        rest = cut(rest.join(flat, ["hub", "node"], "left_anti"), "rest")
+    discard(members, tried)
+    more = cut(confirm(rest, classes, docs, width, percent), "links")
+    if more.isEmpty():
+        return parts
+    every = found.unionByName(more)
+    return components(every.select(F.col("hub").alias("src"), F.col("node").alias("dst")))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs(doc_id, text, ...)``."""
     sketched = cut(sketches(docs, width), "sketches")
-    named = sketched.where("node is not null and doc_id is not null")
-    classes = cut(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tuples").alias("tuples"), F.first("sketch").alias("sketch")), "classes")
+    classes = cut(classes_of(sketched), "classes")
     parts = links(classes, docs, width, percent)
-    placed = classes.select("node", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = classes.select("node", "key", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = placed.join(least, "component").select("node", "component_id")
+    ids = placed.join(least, "component").select("key", "component_id")
+    named = sketched.where("key is not null and doc_id is not null").select("doc_id", "n_shingles", "key")
     # a doc_id with several texts ties their components together
-    repeated = named.groupBy("doc_id").agg(F.count_distinct("node").alias("n")).where("n > 1").select("doc_id")
+    repeated = cut(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
-        of_doc = named.join(repeated, "doc_id", "left_semi").join(ids, "node")
-        tied = of_doc.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
-        tied = components(tied)
-        ids = ids.join(tied.withColumnRenamed("node", "component_id"), "component_id", "left").select("node", F.coalesce("component", "component_id").alias("component_id"))
-    linked = named.select("doc_id", "n_shingles", "node").join(ids, "node").select("doc_id", "n_shingles", "component_id")
-    alone = sketched.where("node is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        tied = named.join(repeated, "doc_id", "left_semi").select("doc_id", "key").distinct().join(ids, "key")
+        tied = components(tied.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))).withColumnsRenamed({"node": "component_id", "component": "joined"})
+        ids = ids.join(tied, "component_id", "left").select("key", F.coalesce("joined", "component_id").alias("component_id"))
+    linked = named.join(ids, "key").select("doc_id", "n_shingles", "component_id")
+    alone = sketched.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
@@ -348,11 +386,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (a row of it, if repeated)."""
+    """One document of each group: the one with the smallest doc_id.  Of rows that repeat it, the
+    one with the least text stays (a null text last; of equal texts, one by a hash of the row)."""
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
     ids = cut(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     few = ids.count() <= BROADCAST_ROWS
-    chosen = docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
-    if not ids.where("n > 1").isEmpty():
-        chosen = chosen.dropDuplicates(["doc_id"])
-    return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    chosen = docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    many = ids.where("n > 1").select("doc_id")
+    if not many.isEmpty():
+        order = F.struct(F.col("text").isNull().alias("a"), F.col("text").alias("b"), F.xxhash64(*docs.columns).alias("c"))
+        one = chosen.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+        chosen = chosen.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    return chosen.unionByName(docs.where("doc_id is null"))
