@@ -10,16 +10,18 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Parts of one generation that a worker keeps (about 30 MB).  A full generation becomes the old
+#: Parts of one generation that a worker keeps (about 80 MB).  A full generation becomes the old
 #: one, from which parts that are met again move on; so common words stay known.
-CACHE_PARTS = 120_000
+CACHE_PARTS = 320_000
 #: str.split() also splits at these, which the tokenizer takes for ordinary characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile(r"[^\S\x1c-\x1f]+")
-
+#: Words on which the short way for Latin words is compared with the tokenizer before it is used.
+PROBES = ("word", "Word", "WORD.", "Éclair,", "ÑANDÚ", "straße", "łódź", "antidisestablishmentarianism", "x", "Qqzv.", "déjà", "Ąć,")
 
 
 def _byte_letters() -> list[str]:
@@ -44,6 +46,9 @@ class WordEncoder:
         self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,"}
         self.ids: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # whether this tokenizer reads Latin words as _learn takes them; if not, all go to it whole
+        whole = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(PROBES), add_special_tokens=False)]
+        self.plain = all(ids == self._word(x.rstrip(".,").lower()) + self.marks.get(x[-1], b"") for x, ids in zip(PROBES, whole, strict=True))
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -51,11 +56,9 @@ class WordEncoder:
             return [x for x in _WHITE.split(text) if x]
         return text.split()
 
-    def _word(self, word: str) -> bytes | None:
+    def _word(self, word: str) -> bytes:
         """Ids of a lower-case Latin word straight from the tokenizer's model: such a word is one
         pre-token that the normaliser leaves alone, and the model reads its bytes as letters."""
-        if not word.isalpha() or max(word) >= "\u0250":
-            return None
         tokens = self.model.tokenize(word if word.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, word.encode())))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
@@ -67,7 +70,8 @@ class WordEncoder:
                 # "Word," is "word" and ",": letters and a closing mark are separate pre-tokens
                 mark = part[-1] if part[-1] in self.marks else ""
                 word = (part[:-1] if mark else part).lower()
-                found = ids.get(word) or old.get(word) or self._word(word)
+                latin = self.plain and word.isalpha() and max(word) < "\u0250"
+                found = (ids.get(word) or old.get(word) or self._word(word)) if latin else None
                 if found is None:
                     hard.append(part)
                     continue
@@ -84,8 +88,7 @@ class WordEncoder:
         split = [self.parts(x) for x in texts]
         if len(self.ids) > self.cache_parts:
             self.ids, self.old = {}, self.ids
-        known = self.ids
-        missing = {p for parts in split for p in parts if p not in known}
+        missing = set(chain.from_iterable(split)).difference(self.ids)
         if missing:
             self._learn(missing)
         known = self.ids

@@ -19,3 +19,25 @@ def test_wrong_ids_of_the_production_model_are_reported():
     codec.tokenizer = Wrong()
     assert codec.encode(["plain words, and news", "only others", "news", "others"])[1] == [False, True, False, True]
     assert codec.encode(["news, again plain", "plain"])[1] == [False, True]
+
+
+def test_word_encoder_equals_the_tokenizer_and_checks_its_short_way(tmp_path):
+    """Greek capitals, marks, capitals met before and after; a tokenizer that keeps case is read whole."""
+    import json
+
+    import numpy as np
+    from plinth.llm import packing, wordcache
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    texts = ["logos ΛΟΓΟΣ λογος λογοσ ΛΟΓΟΣ. Word word, WORD. Éclair éclair", "ΛΟΓΟΣ \x1c x\x1cy STRASSE straße ﬁn Kelvin K don't 12a", "", "Word,word"]
+    with open(path, encoding="utf-8") as f:
+        other = json.load(f)
+    other["normalizer"]["normalizers"] = [n for n in other["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    for name, plain in ((path, True), (str(tmp_path / "other.json"), False)):
+        encoder, whole = wordcache.WordEncoder(name, cache_parts=5), Tokenizer.from_file(name)
+        assert encoder.plain is plain
+        for _ in range(2):
+            for text in texts:
+                assert encoder.encode([text]) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
