@@ -2,8 +2,9 @@
 
 The model is a pair of multinomials over hashed unigrams and bigrams: one of the trusted
 target (documents labelled quality = 1), one of the raw corpus (every document).  Both are
-counted over whole texts, each distinct one once, so copies don't move them.  A document's score is the sum of log(target / raw) over its
-n-grams divided by their number; every document is kept or not by one fixed threshold.
+counted over whole texts, each distinct one once, so exact copies don't move them.  A document's
+score is the sum of log(target / raw) over its n-grams divided by their number; every document is
+kept or not by one fixed threshold.
 Everything runs on DataFrame functions.
 
 Defined results: a null or empty text (or one of white space only) has counts 0, score 0 and
@@ -29,9 +30,9 @@ SMOOTHING = 1.0
 THRESHOLD = -0.25
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Labels up to which their ids (8 MB for a million) go to every executor; beyond it the
-#: labelled texts are shuffled to their labels.
-BROADCAST_ROWS = 1_000_000
+#: Labels up to which their ids (some 10 MB), or copied texts up to which their digests, go to
+#: every executor; beyond it texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -78,29 +79,35 @@ def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def gram_counts(docs: DataFrame, times: str = "1L") -> DataFrame:
-    """(bucket, n) over the whole texts of ``docs``, each counted ``times`` times; partial sums
-    bound what is shuffled."""
-    all_grams = docs.select(F.expr(times).alias("times"), F.explode(bound(hashed(words_of(F.col("text"))), grams)).alias("bucket"))
-    return all_grams.groupBy("bucket").agg(F.sum("times").alias("n"))
+def gram_counts(docs: DataFrame) -> dict[int, tuple[int, int]]:
+    """(raw, trusted) counts of each bucket over the whole texts of ``docs(text, raw, trusted)``, a
+    text's n-grams counted so many times each; partial sums bound what is shuffled."""
+    each = docs.select("raw", "trusted", F.explode(bound(hashed(words_of(F.col("text"))), grams)).alias("bucket"))
+    sums = each.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    return {r["bucket"]: (r["raw"], r["trusted"]) for r in sums.collect()}
 
 
-def distinct_counts(docs: DataFrame) -> dict[int, int]:
-    """n of each bucket over the texts of ``docs`` that differ in their words: the counts of all
-    rows, less those of the copies.  Only texts that have copies are gathered."""
-    keyed = docs.select("text", F.md5(F.array_join(words_of(F.col("text")), " ").cast("binary")).alias("key"))
-    copied = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "copied")
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, raw, trusted) per row of ``docs``: raw is 1, trusted says that its label is good."""
+    good = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("good")).distinct(), "trusted")
+    few = good.count() <= BROADCAST_ROWS
+    joined = docs.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left")
+    return joined.select("text", F.lit(1).alias("raw"), F.coalesce("good", F.lit(0)).alias("trusted"))
+
+
+def fit_weights(docs: DataFrame, labels: DataFrame) -> list[int]:
+    """Weight of each bucket in thousandths.  Counts are those of all rows, less those of copies:
+    a text whose words n rows have, t of them trusted, counts once in each.  Only texts that have
+    copies are gathered, by a digest of their words."""
+    rows = marked(docs, labels)
+    keyed = rows.select("text", "trusted", F.md5(F.array_join(words_of(F.col("text")), " ").cast("binary")).alias("key"))
+    copied = keyed.groupBy("key").agg((1 - F.count("*")).alias("raw"), F.least(1 - F.sum("trusted"), F.lit(0)).alias("trusted"))
+    copied = cut(copied.where("raw < 0"), "copied")
     few = copied.count() <= BROADCAST_ROWS
-    extra = keyed.join(F.broadcast(copied) if few else copied, "key").groupBy("key", "n").agg(F.any_value("text").alias("text"))
-    found = {r["bucket"]: r["n"] for r in gram_counts(docs).collect()}
-    for r in gram_counts(extra, "n - 1").collect():
-        found[r["bucket"]] -= r["n"]
-    return found
-
-
-def fit_weights(docs: DataFrame, target: DataFrame) -> list[int]:
-    """Weight of each bucket in thousandths; ``target`` is the trusted part of ``docs``."""
-    raw, trusted = distinct_counts(docs), distinct_counts(target)
+    extra = keyed.select("text", "key").join(F.broadcast(copied) if few else copied, "key").groupBy("key", "raw", "trusted").agg(F.any_value("text").alias("text"))
+    found, less = gram_counts(rows), gram_counts(extra)
+    raw = {b: n + less.get(b, (0, 0))[0] for b, (n, _) in found.items()}
+    trusted = {b: n + less.get(b, (0, 0))[1] for b, (_, n) in found.items()}
     raw_all, trusted_all = sum(raw.values()), sum(trusted.values())
     if not trusted_all:
         return [0] * BUCKETS
@@ -135,16 +142,10 @@ def judge(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD) ->
     )
 
 
-def trusted_part(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    good = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
-    few = good.count() <= BROADCAST_ROWS
-    return docs.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left_semi")
-
-
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Each row of ``docs(doc_id, text, ...)`` as struct ``row`` with its counts, score and
     verdict; the trusted target is the part of ``docs`` that ``labels`` marks quality = 1."""
-    return judge(docs, fit_weights(docs, trusted_part(docs, labels)), threshold)
+    return judge(docs, fit_weights(docs, labels), threshold)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

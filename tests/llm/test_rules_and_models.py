@@ -46,7 +46,7 @@ def test_base_counts_match_brute_force(spark, prose, odd):
 def test_likelihood_ratio_matches_brute_force(spark, prose):
     docs = spark.createDataFrame([(i, prose(40, i)) for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 8), 0) for i in range(12)], LABELS)
-    weights = quality_rules.fit_weights(docs, quality_rules.trusted_part(docs, labels))
+    weights = quality_rules.fit_weights(docs, labels)
     buckets = docs.select("doc_id", quality_rules.grams(quality_rules.hashed(quality_rules.words_of(F.col("text")))).alias("g")).collect()
     raw, good = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
     for r in buckets:
