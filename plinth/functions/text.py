@@ -29,7 +29,7 @@ def fold_text(text: Column) -> Column:
 
 
 def fold_words(text: Column) -> Column:
-    return F.trim(F.regexp_replace(fold_text(text), r"[^a-z0-9 ]", " "))
+    return F.trim(F.regexp_replace(fold_text(text), r"[^a-z0-9 ]+", " "))
 
 
 def classify(name: Column) -> Column:

@@ -140,29 +140,44 @@ def _points(value) -> list[complex]:
     return [complex(p["x"], p["y"]) for p in value]
 
 
+COLUMNS = ["plan_id", "scale", "bounds_mm", "rooms", "walls", "openings", "edges", "features", "plan_features", "connected", "warnings"]
+#: Models that are held before they are given back.
+MODELS_HELD = 16
+
+
+def _model(plan_id, primitives, texts, scale: str | None, min_room_area: float) -> dict:
+    """The model of one plan; of one that can't be read, an empty model whose warning says why."""
+    try:
+        shapes = [dict(p) | {"points": _points(p["points"])} for p in ([] if primitives is None else primitives)]
+        return extract_plan(plan_id, [p for p in shapes if p["points"]], [dict(t) for t in ([] if texts is None else texts)], scale, min_room_area)
+    except (ArithmeticError, LookupError, TypeError, ValueError, AttributeError) as e:
+        lists = dict.fromkeys(("rooms", "walls", "openings", "edges", "features", "plan_features"), [])
+        return lists | {"plan_id": plan_id, "scale": None, "bounds_mm": None, "connected": True, "warnings": [f"not extracted: {type(e).__name__}: {e}"]}
+
+
 def _extract(scale: str | None, min_room_area: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for plan_id, primitives, texts in zip(rows["plan_id"], rows["primitives"], rows["texts"], strict=True):
-                shapes = [dict(p) | {"points": _points(p["points"])} for p in ([] if primitives is None else primitives)]
-                out.append(extract_plan(plan_id, [p for p in shapes if p["points"]], [dict(t) for t in ([] if texts is None else texts)], scale, min_room_area))
-            yield pd.DataFrame(out, columns=["plan_id", "scale", "bounds_mm", "rooms", "walls", "openings", "edges", "features", "plan_features", "connected", "warnings"])
+            for at in range(0, len(rows), MODELS_HELD):
+                some = rows.iloc[at : at + MODELS_HELD]
+                out = [_model(*row, scale, min_room_area) for row in zip(some["plan_id"], some["primitives"], some["texts"], strict=True)]
+                yield pd.DataFrame(out, columns=COLUMNS)
 
     return run
 
 
 def extract(pages: DataFrame, scale: str | None = None, min_room_area: float = MIN_AREA) -> DataFrame:
     """The models of ``pages(plan_id, primitives, texts)``, one row per plan."""
-    return pages.select("plan_id", "primitives", "texts").mapInPandas(_extract(scale, min_room_area), MODEL)
+    # a plan is few bytes and much work, so plans are dealt out anew: partitions merged by their
+    # size, or one large file of plans, would leave most cores idle
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.select("plan_id", "primitives", "texts").repartition(n).mapInPandas(_extract(scale, min_room_area), MODEL)
 
 
 def nest(primitives: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Pages from tables of primitives (and texts) with plan_id, in the order of their numbers."""
     row = F.struct("prim_id", "points", "closed", "stroked", "filled", "width", "layer", "color")
-    # a plan is few bytes and much work, so its partitions must not be merged by their size
-    n = int(primitives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pages = primitives.repartition(n, "plan_id").groupBy("plan_id").agg(F.sort_array(F.collect_list(row)).alias("primitives"))
+    pages = primitives.groupBy("plan_id").agg(F.sort_array(F.collect_list(row)).alias("primitives"))
     empty = F.array().cast("array<struct<text_id:int,text:string,x:double,y:double,height:double,angle:double,layer:string>>")
     if texts is None:
         return pages.withColumn("texts", empty)

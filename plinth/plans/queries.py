@@ -102,35 +102,39 @@ def audit_counts(spark, sf):
     return ex.warnings_of(_models(spark, sf)).groupBy("plan_id").agg(F.count("*").alias("warnings"))
 
 
-def _spans(spark, sf, slot: int = 0) -> DataFrame:
-    e = _t(spark, sf, "events").where(F.col("event_id") % 2 == slot)
+def _spans(spark, sf, side: int | None = None) -> DataFrame:
+    """Six hours from each event; the two sides of the intersection are events of even and odd id."""
+    e = _t(spark, sf, "events")
+    if side is not None:
+        e = e.where(F.col("event_id") % 2 == side)
     return e.select("user_id", F.unix_timestamp("ts").cast("double").alias("lo")).withColumn("hi", F.col("lo") + 3600 * 6)
 
 
-_SPAN = "(select user_id, floor(epoch(ts))::bigint as lo, floor(epoch(ts))::bigint + 21600 as hi from events where event_id % 2 = {})"
+_SPAN = "(select user_id, floor(epoch(ts))::bigint as lo, floor(epoch(ts))::bigint + 21600 as hi from events{})"
+_SIDES = [_SPAN.format(f" where event_id % 2 = {i}") for i in (0, 1)]
 _MERGED = """, m as (select *, case when lo <= max(hi) over (partition by user_id order by lo, hi rows between unbounded preceding and 1 preceding) then 0 else 1 end as f from x),
  i as (select *, sum(f) over (partition by user_id order by lo, hi rows unbounded preceding) as n from m), u as (select user_id, min(lo) as lo, max(hi) as hi from i group by user_id, n)"""
 
 
-@query(f"with x as {_SPAN.format(0)} {_MERGED} select user_id, lo, hi from u")
+@query(f"with x as {_SPAN.format("")} {_MERGED} select user_id, lo, hi from u")
 def merge_intervals(spark, sf):
     return intervals.merge(_spans(spark, sf), ["user_id"]).select("user_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 
-@query(f"with x as {_SPAN.format(0)} {_MERGED}, b as (select user_id, min(lo) - 100 as f, max(hi) + 100 as t from u group by user_id), g as (select user_id, hi as lo, lead(lo) over (partition by user_id order by lo) as hi from u) select user_id, lo, hi from g where hi is not null union all select user_id, f, f + 100 from b union all select user_id, t - 100, t from b")
+@query(f"with x as {_SPAN.format("")} {_MERGED}, b as (select user_id, min(lo) - 100 as f, max(hi) + 100 as t from u group by user_id), g as (select user_id, hi as lo, lead(lo) over (partition by user_id order by lo) as hi from u) select user_id, lo, hi from g where hi is not null union all select user_id, f, f + 100 from b union all select user_id, t - 100, t from b")
 def complement_gaps(spark, sf):
     s = _spans(spark, sf)
     bounds = s.groupBy("user_id").agg((F.min("lo") - 100).alias("from"), (F.max("hi") + 100).alias("to"))
     return intervals.complement(s, ["user_id"], bounds).select("user_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 
-@query(f"with a as {_SPAN.format(0)}, b as {_SPAN.format(1)} select a.user_id, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from a join b on a.user_id = b.user_id and a.lo < b.hi and b.lo < a.hi")
+@query(f"with a as {_SIDES[0]}, b as {_SIDES[1]} select a.user_id, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from a join b on a.user_id = b.user_id and a.lo < b.hi and b.lo < a.hi")
 def intersect_intervals(spark, sf):
-    found = intervals.intersect(_spans(spark, sf), _spans(spark, sf, 1), ["user_id"])
+    found = intervals.intersect(_spans(spark, sf, 0), _spans(spark, sf, 1), ["user_id"])
     return found.select("user_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 
-@query(f"with x as {_SPAN.format(0)} {_MERGED} select user_id, floor(sum(hi - lo)::double / (max(hi) - min(lo)) * 1000 + 0.5)::bigint as covered_milli from u group by user_id")
+@query(f"with x as {_SPAN.format("")} {_MERGED} select user_id, floor(sum(hi - lo)::double / (max(hi) - min(lo)) * 1000 + 0.5)::bigint as covered_milli from u group by user_id")
 def interval_coverage(spark, sf):
     s = _spans(spark, sf)
     bounds = s.groupBy("user_id").agg(F.min("lo").alias("from"), F.max("hi").alias("to"))
@@ -277,21 +281,21 @@ def layer_counts(spark, sf):
     return layer_histogram(p)
 
 
-@query("with f as (select doc_id, trim(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'd')), '[^a-z0-9 ]', ' ', 'g'), ' ') as t from documents) select doc_id, length(t)::bigint as n, md5(t) as folded from f where doc_id is not null")
+@query("with f as (select doc_id, trim(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'd')), '[^a-z0-9 ]+', ' ', 'g'), ' ') as t from documents) select doc_id, length(t)::bigint as n, md5(t) as folded from f where doc_id is not null")
 def fold_label(spark, sf):
     t = tx.fold_words(F.col("text"))
     return _t(spark, sf, "documents").select("doc_id", F.length(t).cast("bigint").alias("n"), F.md5(t.cast("binary")).alias("folded"))
 
 
-_NAMES = ["PHÒNG NGỦ", "Phòng khách", "BẾP", "WC", "Ban công", "Zzzz", "Sảnh", "LAB 2", "Kho", "Gara xe"]
-_TOLD = ["bedroom", "living", "kitchen", "bathroom", "balcony", "other", "hall", "lab", "storage", "garage"]
+_NAMES = ["PHÒNG NGỦ", "Phòng khách", "BẾP", "WC", "Ban công", "Zzzz", "Sảnh", "LAB 2", "Kho", "Gara xe", "VỆ--SINH", "ban.-cong"]
+_TOLD = ["bedroom", "living", "kitchen", "bathroom", "balcony", "other", "hall", "lab", "storage", "garage", "bathroom", "balcony"]
 
 
-@query("select p_partkey, (" + "case p_partkey % 11 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(_TOLD)) + " else 'unknown' end) as category from part")
+@query("select p_partkey, (" + "case p_partkey % 13 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(_TOLD)) + " else 'unknown' end) as category from part")
 def classify_name(spark, sf):
     name = F.lit(None).cast("string")
     for i, n in enumerate(_NAMES):
-        name = F.when(F.col("p_partkey") % 11 == i, n).otherwise(name)
+        name = F.when(F.col("p_partkey") % 13 == i, n).otherwise(name)
     return _t(spark, sf, "part").select("p_partkey", tx.classify(name).alias("category"))
 
 
@@ -310,7 +314,7 @@ def level_and_schedule(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", tx.level_values(text).alias("levels"), tx.schedule_reference(F.concat(F.lit("D-"), F.col("p_size").cast("string"))).alias("reference"))
 
 
-@query(f"with p as ({_XY}) select id, floor((105.8342 + degrees(x / (6378137.0 * cos(radians(21.0278))))) * 1e6 + 0.5)::bigint as lon, floor((21.0278 + degrees(y / 6378137.0)) * 1e6 + 0.5)::bigint as lat from p")
+@query(f"with p as ({_XY}) select id, floor(round(105.8342 + degrees(x / (6378137.0 * cos(radians(21.0278)))), 9) * 1e6 + 0.5)::bigint as lon, floor(round(21.0278 + degrees(y / 6378137.0), 9) * 1e6 + 0.5)::bigint as lat from p")
 def geojson_project(spark, sf):
     at = g.to_lon_lat(F.col("x") * 1000, F.col("y") * 1000, 21.0278, 105.8342)
     e6 = lambda c: F.floor(c * 1e6 + 0.5).cast("bigint")
@@ -326,13 +330,13 @@ def scale_priority(spark, sf):
     return p.select("p_partkey", F.array_min(candidates)["n"].alias("source"))
 
 
-@query("""with recursive c as (select distinct floor((c_custkey * 37 % 1000) / 100)::int as x, floor((c_custkey * 91 % 1000) / 100)::int as y from customer where c_custkey % 13 = 0),
- n as (select x * 10 + y as id, x, y from c), r(a, b) as (select id, id from n union select r.a, m.id from r join n k on k.id = r.b join n m on abs(m.x - k.x) <= 1 and abs(m.y - k.y) <= 1)
+@query("""with recursive c as (select distinct floor((c_custkey * 37 % 1000) / 20)::int as x, floor((c_custkey * 91 % 1000) / 20)::int as y from customer),
+ n as (select x * 50 + y as id, x, y from c), r(a, b) as (select id, id from n union select r.a, m.id from r join n k on k.id = r.b join n m on abs(m.x - k.x) <= 1 and abs(m.y - k.y) <= 1)
 select a::bigint as node, min(b)::bigint as component from r group by a""")
 def hatch_components(spark, sf):
     """Components of touching cells: 3 x 3 neighbour keys, then labels along the edges."""
-    c = _spots(spark, sf).where("id % 13 = 0").select(F.floor(F.col("x") / 100).alias("x"), F.floor(F.col("y") / 100).alias("y")).distinct()
-    cell = c.select((F.col("x") * 10 + F.col("y")).alias("node"), "x", "y")
+    c = _spots(spark, sf).select(F.floor(F.col("x") / 20).alias("x"), F.floor(F.col("y") / 20).alias("y")).distinct()
+    cell = c.select((F.col("x") * 50 + F.col("y")).alias("node"), "x", "y")
     near = F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
     around = cell.select(F.col("node").alias("a"), near.alias("q")).select("a", F.col("q.x").alias("x"), F.col("q.y").alias("y"))
     edges = around.join(cell.withColumnRenamed("node", "b"), ["x", "y"]).select(F.lit(1).alias("plan"), "a", "b")
@@ -346,18 +350,31 @@ def angles(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", milli(d).alias("diff_milli"), g.is_parallel(F.cos(a), F.sin(a), F.cos(b), F.sin(b), 2.0).alias("parallel"))
 
 
-@query(None)
+@query(_STRIP + "select plan::varchar as plan_id, count(*)::bigint as rooms, (top + 4)::bigint as walls, count(*) filter (where door and k < top)::bigint as openings, floor(sum(w * 4) / 1000.0 * 1000 + 0.5)::bigint as total_milli, count(*) filter (where k < top)::bigint as edges, coalesce(bool_and(door) filter (where k < top), true) as connected from s group by plan, top")
 def export_json(spark, sf):
+    """Values read back from the JSON documents."""
     from plinth.sinks.documents import json_documents
 
-    return json_documents(_models(spark, sf))
+    doc = json_documents(_models(spark, sf))
+    value = lambda path: F.get_json_object("document", path)
+    count = lambda path: F.size(F.from_json(value(path), "array<string>")).cast("bigint")
+    counts = [value(f"$.summary.{c}").cast("bigint").alias(c) for c in ("rooms", "walls", "openings")]
+    total = milli(value("$.summary.total_area_m2").cast("double")).alias("total_milli")
+    return doc.select("plan_id", *counts, total, count("$.graph.edges").alias("edges"), value("$.graph.connected").cast("boolean").alias("connected"))
 
 
-@query(None)
+@query(_STRIP + """, n as (select plan, k, w, sum(w) over (partition by plan order by k) - w as x0, (k > 0 and coalesce(lag(door) over (partition by plan order by k), false))::int + (k < top and door)::int as near from s)
+select plan::varchar as plan_id, x0::bigint as left_mm, 0::bigint as bottom_mm, (w * 4)::bigint as area_milli, near::bigint as neighbours from n""")
 def export_geojson(spark, sf):
+    """Room features read back from the GeoJSON documents: the ring's least corner, seen from the
+    least corner of the plan, area and walkable neighbours."""
     from plinth.sinks.documents import geojson_documents
 
-    return geojson_documents(_models(spark, sf))
+    doc = geojson_documents(_models(spark, sf), include=("rooms",))
+    shape = "features array<struct<id:string,geometry:struct<coordinates:array<array<array<double>>>>,properties:struct<area_gross_m2:double,neighbours:array<string>>>>"
+    f = doc.select("plan_id", F.explode(F.from_json("document", shape)["features"]).alias("f"))
+    least = lambda k: F.floor(F.array_min(F.transform(F.col("f.geometry.coordinates")[0], lambda p: p[k])) * 1000 + 0.5).cast("bigint")
+    return f.select("plan_id", least(0).alias("left_mm"), least(1).alias("bottom_mm"), milli(F.col("f.properties.area_gross_m2")).alias("area_milli"), F.size("f.properties.neighbours").cast("bigint").alias("neighbours"))
 
 
 @query(None)

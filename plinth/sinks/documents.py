@@ -70,15 +70,16 @@ def json_documents(models: DataFrame) -> DataFrame:
 
 
 def geojson_documents(models: DataFrame, origin: tuple[float, float] | None = None, rotation_deg: float = 0.0, include: tuple[str, ...] = ("rooms", "walls", "openings")) -> DataFrame:
-    """(plan_id, document): a FeatureCollection; metres, or longitude and latitude about
-    ``origin`` (latitude, longitude)."""
+    """(plan_id, document): a FeatureCollection from the least corner of each plan's bounds; metres,
+    or longitude and latitude about ``origin`` (latitude, longitude)."""
 
     cos, sin = math.cos(math.radians(rotation_deg)), math.sin(math.radians(rotation_deg))
 
     def at(p: Column) -> Column:
+        x, y = (p[k] - F.coalesce(F.col("bounds_mm")[f"{k}0"], F.lit(0.0)) for k in ("x", "y"))
         if origin is None:
-            return F.array(F.round((p["x"] * cos - p["y"] * sin) / 1000, 4), F.round((p["x"] * sin + p["y"] * cos) / 1000, 4))
-        where = to_lon_lat(p["x"], p["y"], *origin, rotation_deg)
+            return F.array(F.round((x * cos - y * sin) / 1000, 4), F.round((x * sin + y * cos) / 1000, 4))
+        where = to_lon_lat(x, y, *origin, rotation_deg)
         return F.array(where["lon"], where["lat"])
 
     # one struct type for all features: absent properties are null and not written
@@ -95,8 +96,8 @@ def geojson_documents(models: DataFrame, origin: tuple[float, float] | None = No
     line = lambda a, b: F.struct(F.lit("LineString").alias("type"), F.array(at(a), at(b)).alias("coordinates"))
 
     def near(r: Column) -> Column:
-        inner = F.filter(F.col("edges"), lambda e: ~e["exterior"] & ((e["a"] == r["id"]) | (e["b"] == r["id"])))
-        return F.array_distinct(F.transform(inner, lambda e: F.when(e["a"] == r["id"], e["b"]).otherwise(e["a"])))
+        inner = F.filter(F.col("edges"), lambda e: ~e["exterior"] & (e["kind"] != "wall") & ((e["a"] == r["id"]) | (e["b"] == r["id"])))
+        return F.transform(inner, lambda e: F.when(e["a"] == r["id"], e["b"]).otherwise(e["a"]))
 
     parts = {
         "rooms": F.transform("rooms", lambda r: feature("room", r["id"], ring(r["polygon_mm"]), name=r["name"], category=r["category"], area_gross_m2=r["area_gross_m2"], area_net_m2=r["area_net_m2"], perimeter_m=r["perimeter_m"], area_check=r["area_check"], neighbours=near(r))),

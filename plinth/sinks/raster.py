@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import struct
 
 import numpy as np
@@ -16,7 +17,7 @@ MATERIAL_COLOURS = ((198, 122, 96), (146, 152, 168), (206, 178, 118), (128, 168,
 KIND_COLOURS = {"door": (196, 90, 60), "window": (70, 130, 190), "opening": (120, 120, 120)}
 INK, PAPER, MUTED = (40, 42, 48), (250, 250, 247), (150, 150, 150)
 Colour = tuple[int, int, int]
-# Glyphs of ids and areas, five columns by seven rows, a row's bits from left to right.
+# Glyphs of ids and areas in the usual 5 x 7 character-generator shapes, a row's bits from left to right.
 GLYPHS = {
     "0": (14, 17, 19, 21, 25, 17, 14), "1": (4, 12, 4, 4, 4, 4, 14), "2": (14, 17, 1, 2, 4, 8, 31), "3": (31, 2, 4, 2, 1, 17, 14),
     "4": (2, 6, 10, 18, 31, 2, 2), "5": (31, 16, 30, 1, 1, 17, 14), "6": (6, 8, 16, 30, 17, 17, 14), "7": (31, 1, 2, 4, 8, 8, 8),
@@ -95,26 +96,39 @@ class Canvas:
         self._blend(np.clip(radius + 0.5 - np.hypot(self.xs - x, self.ys - y), 0, 1), colour)
 
 
+def _packed(pixels: np.ndarray) -> np.ndarray:
+    """Each colour as one number."""
+    p = pixels.reshape(-1, 3).astype(np.uint32)
+    return (p[:, 0] << 16) | (p[:, 1] << 8) | p[:, 2]
+
+
+def _unpacked(colours: np.ndarray) -> np.ndarray:
+    return np.stack([colours >> 16 & 255, colours >> 8 & 255, colours & 255], axis=1).astype(np.int64)
+
+
 def median_cut(pixels: np.ndarray, most: int = 256) -> np.ndarray:
     """At most ``most`` colours: the box with the widest channel is cut at its middle."""
-    found, counts = np.unique(pixels.reshape(-1, 3), axis=0, return_counts=True)
-    boxes = [(found.astype(int), counts)]
-    while len(boxes) < most:
-        spans = [np.ptp(c, axis=0).max() if len(c) > 1 else -1 for c, _ in boxes]
-        i = int(np.argmax(spans))
-        if spans[i] <= 0:
-            break
-        c, n = boxes.pop(i)
-        order = np.argsort(c[:, int(np.ptp(c, axis=0).argmax())], kind="stable")
+    found, counts = np.unique(_packed(pixels), return_counts=True)
+
+    def box(number: int, c: np.ndarray, n: np.ndarray) -> tuple:
+        spans = np.ptp(c, axis=0)
+        return -int(spans.max()), number, int(spans.argmax()), c, n  # the widest first, then the older
+
+    boxes, made = [box(0, _unpacked(found), counts)], 1
+    while len(boxes) < most and boxes[0][0] < 0:
+        _, _, channel, c, n = heapq.heappop(boxes)
+        order = np.argsort(c[:, channel], kind="stable")
         c, n = c[order], n[order]
         at = min(max(1, int(np.searchsorted(np.cumsum(n), n.sum() / 2))), len(c) - 1)
-        boxes += [(c[:at], n[:at]), (c[at:], n[at:])]
-    return np.array([np.rint(np.average(c, axis=0, weights=n)) for c, n in boxes], np.uint8)
+        for part in (slice(None, at), slice(at, None)):
+            heapq.heappush(boxes, box(made, c[part], n[part]))
+            made += 1
+    return np.array([np.rint(n @ c / n.sum()) for _, _, _, c, n in boxes], np.uint8)
 
 
 def nearest(pixels: np.ndarray, palette: np.ndarray) -> np.ndarray:
-    found, back = np.unique(pixels.reshape(-1, 3), axis=0, return_inverse=True)
-    far = ((found[:, None].astype(int) - palette[None].astype(int)) ** 2).sum(axis=2)
+    found, back = np.unique(_packed(pixels), return_inverse=True)
+    far = ((_unpacked(found)[:, None] - palette[None].astype(np.int64)) ** 2).sum(axis=2)
     return far.argmin(axis=1)[back.ravel()].astype(np.uint8)
 
 

@@ -98,7 +98,7 @@ def tried(s: Symbol, context) -> Match | None:
     """A detector that fails on odd input finds nothing; the others still run."""
     try:
         return s.detect(context)
-    except (ArithmeticError, ValueError, IndexError):
+    except (ArithmeticError, LookupError, TypeError, ValueError, AttributeError, re.error):
         return None
 
 

@@ -72,7 +72,7 @@ def structural_grid(c: PlanContext) -> Match | None:
     return Match("grid", told, meta)
 
 
-@symbol("section_mark", "plan", "section", 12, "a pair of lettered section bubbles")
+@symbol("section_mark", "plan", "section_mark", 12, "a pair of lettered section bubbles")
 def section_mark(c: PlanContext) -> Match | None:
     by_letter: dict[str, list[Arc]] = {}
     for a in _bubbles(c, 300.0, 1600.0):
@@ -90,10 +90,10 @@ def section_mark(c: PlanContext) -> Match | None:
             found.append({"label": f"{letter}-{letter}", "length": round(apart, 1), "bearing": round(_bearing(b - a) % 180, 1)})
     if not found:
         return None
-    return Match("section", min(0.90, 0.74 + 0.08 * min(2, len(found) - 1)), {"sections": found, "count": len(found)})
+    return Match("section_mark", min(0.90, 0.74 + 0.08 * min(2, len(found) - 1)), {"sections": found, "count": len(found)})
 
 
-@symbol("elevation_mark", "plan", "elevation", 11, "a bubble with an arrow, one of its name")
+@symbol("elevation_mark", "plan", "elevation_mark", 11, "a bubble with an arrow, one of its name")
 def elevation_mark(c: PlanContext) -> Match | None:
     bubbles = [(a, t) for a in _bubbles(c, 300.0, 1600.0) if (t := _label_in(c, a)) and len(t) <= 2]
     names = [t for _, t in bubbles]
@@ -113,10 +113,10 @@ def elevation_mark(c: PlanContext) -> Match | None:
                 break
     if not found:
         return None
-    return Match("elevation", min(0.90, 0.72 + 0.06 * min(3, len(found) - 1)), {"marks": found, "count": len(found)})
+    return Match("elevation_mark", min(0.90, 0.72 + 0.06 * min(3, len(found) - 1)), {"marks": found, "count": len(found)})
 
 
-@symbol("north_arrow", "plan", "north", 10, "a glyph labelled north")
+@symbol("north_arrow", "plan", "north_arrow", 10, "a glyph labelled north")
 def north_arrow(c: PlanContext) -> Match | None:
     best = None
     labels = [t for t in c.texts if re.fullmatch(NORTH, fold_text(t.text).strip())]
@@ -133,7 +133,7 @@ def north_arrow(c: PlanContext) -> Match | None:
         tip = min(tips, key=lambda p: abs(p - near.at))
         told = min(0.92, 0.78 + 0.08 * min(1, positive(3 * size - abs(near.at - middle)) / (3 * size)))
         if best is None or told > best.confidence:
-            best = Match("north", told, {"bearing": round(_bearing(tip - middle), 1), "glyph": round(size, 1), "label": near.text})
+            best = Match("north_arrow", told, {"bearing": round(_bearing(tip - middle), 1), "glyph": round(size, 1), "label": near.text})
     return best
 
 
@@ -142,7 +142,7 @@ def _metres(text: str) -> float | None:
     return float(m[1].replace(",", ".")) * {"km": 1000.0, "mm": 0.001}.get(m[2] or "m", 1.0) if m else None
 
 
-@symbol("scale_bar", "plan", "scale", 15, "equal divisions with a stated length")
+@symbol("scale_bar", "plan", "scale_bar", 15, "equal divisions with a stated length")
 def scale_bar(c: PlanContext) -> Match | None:
     bars = [x for x in c.loops() if x.long >= 1.8 * max(x.short, 1e-9) and x.short > 1]
     for axis in (0, 1):
@@ -164,11 +164,11 @@ def scale_bar(c: PlanContext) -> Match | None:
             delta = (measured - stated) / stated * 100 if stated else None
             ok = delta is not None and abs(delta) <= 6
             told = min(0.92, 0.72 + 0.10 * min(1, (len(run) - 3) / 4) + 0.10 * ok)
-            return Match("scale", told, {"divisions": len(run), "measured_m": round(measured, 2), "stated_m": stated, "delta_pct": None if delta is None else round(delta, 2), "confirms_scale": ok})
+            return Match("scale_bar", told, {"divisions": len(run), "measured_m": round(measured, 2), "stated_m": stated, "delta_pct": None if delta is None else round(delta, 2), "confirms_scale": ok})
     return None
 
 
-@symbol("dimension_chain", "plan", "dimension", 10, "dimensions in a row that should add up")
+@symbol("dimension_chain", "plan", "dimension_chain", 10, "dimensions in a row that should add up")
 def dimension_chain(c: PlanContext) -> Match | None:
     links: list[tuple[float, Seg]] = []
     segs = c.straight(200.0)
@@ -187,8 +187,7 @@ def dimension_chain(c: PlanContext) -> Match | None:
             first = chain[0][1]
             d = (first[1] - first[0]) / length(first)
             if fold_gap(heading(link[1]), heading(first)) <= math.radians(3) and abs((((link[1][0] + link[1][1]) / 2 - first[0]) * d.conjugate()).imag) <= 400:
-                if all(link[1] != x[1] for x in chain):
-                    chain.append(link)
+                chain.append(link)
                 break
         else:
             chains.append([link])
@@ -204,17 +203,17 @@ def dimension_chain(c: PlanContext) -> Match | None:
         told = min(0.92, 0.70 + 0.08 * min(2, len(chain) - 2) + 0.10 * ok)
         meta = {"links": len(chain), "stated_mm": round(stated, 1), "measured_mm": round(measured, 1), "delta_pct": round(delta, 2), "adds_up": ok}
         if best is None or told > best.confidence:
-            best = Match("dimension", told, meta | {"bearing": round(math.degrees(heading(chain[0][1])), 1), "values": [v for v, _ in chain]})
+            best = Match("dimension_chain", told, meta | {"bearing": round(math.degrees(heading(chain[0][1])), 1), "values": [v for v, _ in chain]})
     return best
 
 
-@symbol("door_schedule", "plan", "schedule", 10, "a list of door references")
+@symbol("door_schedule", "plan", "door_schedule", 10, "a list of door references")
 def door_schedule(c: PlanContext) -> Match | None:
     title = next((t.text for t in c.texts if re.search(SCHEDULE_TITLE, fold_text(t.text))), None)
-    refs = sorted({t.text.strip() for t in c.texts if re.fullmatch(SCHEDULE_REFERENCE, fold_text(t.text).strip())})
+    refs = sorted({t.text.strip().upper() for t in c.texts if re.fullmatch(SCHEDULE_REFERENCE, fold_text(t.text).strip())})
     if not title or len(refs) < 2:
         return None
-    return Match("schedule", min(0.90, 0.74 + 0.08 * min(2, (len(refs) - 2) / 4)), {"title": title, "references": refs, "listed": len(refs)})
+    return Match("door_schedule", min(0.90, 0.74 + 0.08 * min(2, (len(refs) - 2) / 4)), {"title": title, "references": refs, "listed": len(refs)})
 
 
 def level_values(text: str) -> list[tuple[float, bool]]:
@@ -223,23 +222,26 @@ def level_values(text: str) -> list[tuple[float, bool]]:
     for pattern, prefixed in ((LEVEL_PREFIXED, True), (LEVEL_SIGNED, False)):
         for m in re.finditer(pattern, folded):
             v = float(m[1].replace(" ", "").replace(",", "."))
-            if -60 <= v <= 400 and all(v != x for x, _ in out):
+            if -60 <= v <= 400:
                 out.append((v, prefixed or bool(re.match(LEVEL_PREFIX, m[0].strip()))))
+        if out:
+            break
     return out
 
 
 @symbol("level_spot", "plan", "level", 10, "spot levels")
 def level_spot(c: PlanContext) -> Match | None:
-    found = [x for t in c.texts for x in level_values(t.text)]
+    told_by = [level_values(t.text) for t in c.texts]
+    found = [x for xs in told_by for x in xs]
     levels = sorted({v for v, _ in found})
     if not levels:
         return None
-    prefixed = sum(p for _, p in found)
+    prefixed = sum(any(p for _, p in xs) for xs in told_by)
     told = min(0.92, 0.62 + 0.10 * min(2, len(levels) - 1) + 0.12 * bool(prefixed))
-    return Match("level", told, {"levels_m": levels, "count": len(found), "datum": min(levels, key=abs), "range": round(levels[-1] - levels[0], 3), "prefixed": prefixed})
+    return Match("level", told, {"levels_m": levels, "count": len(found), "datum": levels[0], "range": round(levels[-1] - levels[0], 3), "prefixed": prefixed})
 
 
-@symbol("escape_route", "plan", "escape", 10, "routes out with a travel distance")
+@symbol("escape_route", "plan", "escape_route", 10, "routes out with a travel distance")
 def escape_route(c: PlanContext) -> Match | None:
     routes = []
     for i, pts in enumerate(c.strokes):
@@ -254,7 +256,7 @@ def escape_route(c: PlanContext) -> Match | None:
     delta = (longest - stated) / stated * 100 if stated else None
     told = min(0.92, 0.72 + 0.10 * min(2, len(routes) - 1) + 0.10 * (stated is not None))
     meta = {"routes": len(routes), "longest_m": round(longest, 2), "stated_m": stated, "delta_pct": None if delta is None else round(delta, 2)}
-    return Match("escape", told, meta | {"agrees": delta is not None and abs(delta) <= 10, "layers": sorted({r[1] for r in routes}), "label": said[0] if said else None})
+    return Match("escape_route", told, meta | {"agrees": None if delta is None else abs(delta) <= 10, "layers": sorted({r[1] for r in routes}), "label": said[0] if said else None})
 
 
 @symbol("revision_cloud", "plan", "revision", 10, "scalloped outlines of a revision")
@@ -285,14 +287,14 @@ def legend_swatches(c: PlanContext) -> tuple[Label | None, list[tuple[Loop, str]
     return title, out
 
 
-@symbol("hatch_legend", "plan", "legend", 10, "swatches with captions")
+@symbol("hatch_legend", "plan", "hatch_legend", 10, "swatches with captions")
 def hatch_legend(c: PlanContext) -> Match | None:
     title, rows = legend_swatches(c)
     if len(rows) < 2:
         return None
     even = len(rows) < 3 or spread(gaps([x.centre.imag for x, _ in rows])) <= 0.30
     told = min(0.90, 0.72 + 0.08 * min(2, len(rows) - 2) + 0.08 * even)
-    return Match("legend", told, {"title": title.text, "entries": [t for _, t in rows], "count": len(rows)})
+    return Match("hatch_legend", told, {"title": title.text, "entries": [t for _, t in rows], "count": len(rows)})
 
 
 def families(rulings: list[Seg]) -> list[dict]:

@@ -182,13 +182,13 @@ def ramp(c: RoomContext) -> Match | None:
     return None
 
 
-@symbol("turning_circle", "room", "accessibility", 25, "a clear wheelchair circle")
+@symbol("turning_circle", "room", "turning_circle", 25, "a clear wheelchair circle")
 def turning_circle(c: RoomContext) -> Match | None:
     for a in arcs_of(c.strokes, 330.0, 0.05):
         blocked = any(abs(p - a.centre) < 0.6 * a.radius for i, pts in enumerate(c.strokes) if i != a.stroke for p in pts)
         if within(2 * a.radius, (1400.0, 1900.0)) and not blocked:
             told = 0.86 if abs(2 * a.radius - 1500) <= 120 else 0.78
-            return Match("accessibility", told, {"diameter": round(2 * a.radius, 1), "centre": [round(a.centre.real, 1), round(a.centre.imag, 1)]})
+            return Match("turning_circle", told, {"diameter": round(2 * a.radius, 1), "centre": [round(a.centre.real, 1), round(a.centre.imag, 1)]})
     return None
 
 
@@ -299,7 +299,7 @@ def _layer_names(c: RoomContext, loops: list[Loop]) -> list[str]:
     return sorted({name for x in loops if (name := c.layer(x.stroke))})
 
 
-@symbol("fire_equipment", "room", "fire", 20, "hose reels, hydrants, risers")
+@symbol("fire_equipment", "room", "fire_equipment", 20, "hose reels, hydrants, risers")
 def fire_equipment(c: RoomContext) -> Match | None:
     label = c.says(FIRE_WORDS)
     boxes = sized(c.outlines(), (350.0, 1400.0), (120.0, 700.0), (0.02, 0.9))
@@ -308,7 +308,7 @@ def fire_equipment(c: RoomContext) -> Match | None:
     if not items:
         return None
     told = min(0.92, 0.72 + 0.10 * bool(marked) + 0.08 * bool(label) + 0.04 * min(1, (len(items) - 1) / 2))
-    return Match("fire", told, {"items": len(items), "size": size_text(items), "layers": _layer_names(c, items), "label": label})
+    return Match("fire_equipment", told, {"items": len(items), "size": size_text(items), "layers": _layer_names(c, items), "label": label})
 
 
 @symbol("planting", "room", "planting", 10, "tree canopies")
@@ -321,7 +321,7 @@ def planting(c: RoomContext) -> Match | None:
     return Match("planting", told, {"canopies": len(blobs), "canopy_area": round(sum(x.area for x in blobs), 2), "on_planting_layer": green})
 
 
-@symbol("lab_bench", "room", "laboratory", 12, "wall benches and islands")
+@symbol("lab_bench", "room", "lab_bench", 12, "wall benches and islands")
 def lab_bench(c: RoomContext) -> Match | None:
     if c.category in ("technical", "kitchen"):
         return None
@@ -331,7 +331,7 @@ def lab_bench(c: RoomContext) -> Match | None:
         return None
     told = min(0.93, 0.58 + 0.14 * bool(islands) + (0.08 * min(2, len(walls) - 1) if walls else 0) + 0.12 * lab)
     both = walls or islands
-    return Match("laboratory", told, {"wall_benches": len(walls), "islands": len(islands), "depth": middle_of(both, "short"), "run": round(sum(x.long for x in walls + islands), 1)})
+    return Match("lab_bench", told, {"wall_benches": len(walls), "islands": len(islands), "depth": middle_of(both, "short"), "run": round(sum(x.long for x in walls + islands), 1)})
 
 
 def _rows(values: list[float], apart: float) -> list[float]:
@@ -407,7 +407,7 @@ def drainage(c: RoomContext) -> Match | None:
     return Match("drainage", told, {"gullies": len(gullies), "channels": len(channels), "fall": f"1:{fall}" if fall else None, "layers": _layer_names(c, gullies + channels)})
 
 
-@symbol("extract_canopy", "room", "ventilation", 14, "a kitchen extract canopy")
+@symbol("extract_canopy", "room", "extract_canopy", 14, "a kitchen extract canopy")
 def extract_canopy(c: RoomContext) -> Match | None:
     label, kitchen_room = c.says(CANOPY_WORDS), c.category == "kitchen"
     hoods = sized(c.loops(), (1500.0, 7000.0), (1000.0, 2500.0), (1.5, math.inf))
@@ -417,10 +417,10 @@ def extract_canopy(c: RoomContext) -> Match | None:
         return None
     x = max(pool, key=lambda x: x.long)
     told = min(0.92, 0.62 + 0.14 * bool(marked) + 0.10 * bool(label) + 0.08 * kitchen_room)
-    return Match("ventilation", told, {"canopy": f"{round(x.long)}x{round(x.short)}", "layer": c.layer(x.stroke), "label": label})
+    return Match("extract_canopy", told, {"canopy": f"{round(x.long)}x{round(x.short)}", "layer": c.layer(x.stroke), "label": label})
 
 
-@symbol("loading_dock", "room", "loading", 12, "dock plates at a pitch")
+@symbol("loading_dock", "room", "loading_dock", 12, "dock plates at a pitch")
 def loading_dock(c: RoomContext) -> Match | None:
     label = c.says(DOCK_WORDS)
     plates = sized(c.loops(), (1600.0, 3600.0), (1400.0, 3200.0), (2.0, math.inf))
@@ -429,10 +429,10 @@ def loading_dock(c: RoomContext) -> Match | None:
     if len(pool) < 2 or uneven(pool) > 0.12 or not (p := _pitch(pool, (2500.0, 9000.0), math.inf)):
         return None
     told = min(0.92, 0.68 + 0.08 * min(2, len(pool) - 2) + 0.10 * bool(marked) + 0.06 * bool(label))
-    return Match("loading", told, {"docks": len(pool), "plate": size_text(pool), "pitch": round(p[0], 1), "label": label})
+    return Match("loading_dock", told, {"docks": len(pool), "plate": size_text(pool), "pitch": round(p[0], 1), "label": label})
 
 
-@symbol("raised_floor", "room", "floor", 8, "a grid of floor tiles")
+@symbol("raised_floor", "room", "raised_floor", 8, "a grid of floor tiles")
 def raised_floor(c: RoomContext) -> Match | None:
     xs = [p.real for p in c.polygon]
     ys = [p.imag for p in c.polygon]
@@ -448,6 +448,6 @@ def raised_floor(c: RoomContext) -> Match | None:
         pitches.append(mean(steps))
     tile = mean(pitches)
     told = min(0.90, 0.70 + 0.10 * min(1, positive(min(counts) - 4) / 6) + 0.08 * (abs(tile - 600) <= 40))
-    return Match("floor", told, {"tile": round(tile, 1), "lines": counts})
+    return Match("raised_floor", told, {"tile": round(tile, 1), "lines": counts})
 
 

@@ -229,3 +229,23 @@ def test_registry_refuses_repeats_and_scopes():
 
     assert tried(Symbol("b", "room", "x", 0, "", broken), room()) is None
     assert tried(Symbol("b", "room", "x", 0, "", lambda c: Match("x", 1.0)), room()).kind == "x"
+
+
+def test_label_rules_of_plan_symbols():
+    """References by letter case, the first pattern that tells a level, runs of punctuation."""
+    from plinth.functions.words import classify
+    from plinth.symbols.plans import level_values
+
+    assert [classify(x) for x in ("VỆ--SINH", "ban.-cong", "zz")] == ["bathroom", "balcony", "other"]
+    assert [v for v, _ in level_values("+1.00 / +1.00 / -0.45")] == [1.0, 1.0, -0.45]
+
+
+def test_a_plan_that_cannot_be_read_is_told_and_the_others_are_written(spark):
+    from plinth.plans import extract as ex
+
+    shape = "plan_id string, primitives array<struct<prim_id:int,points:array<struct<x:double,y:double>>,closed:boolean,stroked:boolean,filled:boolean,width:double,layer:string,color:struct<r:double,g:double,b:double>>>, texts array<struct<text_id:int,text:string,x:double,y:double,height:double,angle:double,layer:string>>"
+    point = {"x": None, "y": None}
+    line = {"prim_id": 1, "points": [point, point], "closed": False, "stroked": True, "filled": False, "width": 1.0, "layer": "A-WALL", "color": None}
+    rows = spark.createDataFrame([("odd", [line], []), ("empty", [], [])], shape)
+    got = {r["plan_id"]: r for r in ex.extract(rows, "1mm").collect()}
+    assert set(got) == {"odd", "empty"} and any("not extracted" in w for w in got["odd"]["warnings"])
