@@ -6,10 +6,10 @@ rebuilt as a ``tokenizers.Tokenizer``.  Texts go through it in multithreaded bat
 
 A text is encoded in parts that no piece of the vocabulary can join (each run of markers
 starts one, where no piece has a marker after another character), so parts are encoded once
-and kept.  Every part is compared with the sentencepiece library when it is met first; a text
-with a part that differs is reported in ``parity``.  Parts are normalised already, so the library
-reads the model with its normaliser switched off; where the model squeezes spaces or maps
-characters, whole texts are compared instead.
+and kept.  Every part is compared with the sentencepiece library when it is met first, and what
+it decodes to with the Tokenizer's decoder; a text with a part that differs is reported in
+``parity``.  Parts are normalised already, so the library reads the model with its normaliser
+switched off; where the model squeezes spaces or maps characters, whole texts are compared.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows
 are encoded each on their own; an empty table gives an empty result.
@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,13 +37,21 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts of one generation that a worker keeps; a full generation becomes the old one.
-CACHE_PARTS = 120_000
+CACHE_PARTS = 320_000
 MODEL = "piece_bpe_32k.model"
 #: Appended to a model file, these bytes (a second normaliser spec, which protobuf merges into the
 #: first) take away its character map, dummy prefix and squeezing of spaces.
 AS_IS = bytes([0x1A, 6, 0x12, 0, 0x18, 0, 0x20, 0])
 
 
+#: Texts on which the short way to normalise is compared with the normaliser before it is used.
+PROBES = ("", " ", "a", " a", "a  b ", "é\u0301 ﬁ\t\n", MARK + "x " + MARK, "İ 中文 \U0001f600")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of a protobuf message: varints, 32- and 64-bit words, byte strings."""
 
@@ -130,8 +139,22 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
     return [pair for _, pair in sorted(found)]
 
 
+def normaliser(model: Model):
+    """What the model does to a text before pieces: character map, spaces, prefix, marker."""
+    from tokenizers import Regex, normalizers
+
+    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
+    if model.squeeze:
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ +| +$"), "")]
+    if model.dummy_prefix:
+        steps.append(normalizers.Prepend(" "))
+    if model.escape:
+        steps.append(normalizers.Replace(" ", MARK))
+    return normalizers.Sequence(steps)
+
+
 def build(model: Model):
-    """The Tokenizer without a normaliser, for parts that are normalised already."""
+    """The model as a Tokenizer, with its normaliser and decoder."""
     from tokenizers import AddedToken, Tokenizer, decoders, models
 
     if model.kind == UNIGRAM:
@@ -142,6 +165,7 @@ def build(model: Model):
     else:
         raise ValueError("word and char models are not supported")
     made = Tokenizer(core)
+    made.normalizer = normaliser(model)
     made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     if user := [p for p, _, kind in model.pieces if kind == USER]:
         made.add_tokens([AddedToken(p, normalized=False) for p in user])
@@ -150,18 +174,25 @@ def build(model: Model):
 
 class PieceCodec:
     def __init__(self, path: str, check: bool = True, threads: int = 2, cache_parts: int = CACHE_PARTS):
+        from tokenizers import normalizers
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         with open(path, "rb") as f:
             data = f.read()
         self.model = parse(data)
+        self.normaliser, self.short = normaliser(self.model), False
         self.tokenizer = build(self.model)
+        self.tokenizer.normalizer = normalizers.Sequence([])  # parts are normalised already
+        # a model with neither character map nor squeezing only gets its prefix and markers
+        self.short = not self.model.charsmap and not self.model.squeeze and all(self.normalise(x) == self._short(x) for x in PROBES)
         self.reference, self.whole = None, bool(self.model.squeeze or self.model.charsmap)
         if check:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data if self.whole else data + AS_IS)
-        self.cache_parts, self.ids, self.old, self.differ = cache_parts, {}, {}, set()
+        self.cache_parts, self.ids, self.old, self.inner = cache_parts, {}, {}, {}
+        self.differ, self.undecoded = set(), set()
         texts = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
         self.apart = not any(MARK in p.lstrip(MARK) for p in texts)
         # characters that no piece joins with another character
@@ -171,17 +202,14 @@ class PieceCodec:
         self.surface = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.byte_ids = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
 
-    def normalise(self, text: str) -> str:
-        from tokenizers import normalizers
-
-        if self.model.charsmap:
-            text = normalizers.Precompiled(self.model.charsmap).normalize_str(text)
-        if self.model.squeeze:
-            text = re.sub(" {2,}", " ", text).strip(" ")
+    def _short(self, text: str) -> str:
         if self.model.dummy_prefix and text:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
+    def normalise(self, text: str) -> str:
+        return self._short(text) if self.short else self.normaliser.normalize_str(text)
+
     def parts(self, text: str) -> list[str]:
         if not self.apart:
             return [text] if text else []
@@ -192,6 +220,8 @@ class PieceCodec:
 
     def _plain(self, part: str) -> list[str]:
         """A part as smaller ones that no piece joins."""
+        if "\n" not in part and (len(part) < 2 or part[-1] not in self.closing):
+            return [part]
         out = []
         for x in re.split("(\n)", part) if "\n" in self.single else [part]:
             if len(x) > 1 and x[-1] in self.closing and x[-2].isalpha():
@@ -201,38 +231,47 @@ class PieceCodec:
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        self.ids |= {part: self.old[part] for part in missing if part in self.old}
+        """Encodes parts not met before and compares each, encoded and decoded, with the libraries."""
+        for part in self.old.keys() & missing:
+            self.ids[part] = self.old[part]
         plain = {part: self._plain(part) for part in missing if part not in self.ids}
-        needed = {x for xs in plain.values() for x in xs if x not in self.ids}
-        self.ids |= {x: self.old[x] for x in needed if x in self.old}
-        fresh = sorted(x for x in needed if x not in self.ids)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        for x, found in zip(fresh, encoded, strict=True):
-            self.ids[x] = np.array(found, "<u4").tobytes()
+        if len(self.inner) > self.cache_parts:
+            self.inner = {}
+        inner = self.inner
+        fresh = list({x for xs in plain.values() for x in xs if x not in inner})
+        for x, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            inner[x] = _packed(found.ids)
         for part, xs in plain.items():
-            self.ids[part] = b"".join(self.ids[x] for x in xs)
+            self.ids[part] = inner[xs[0]] if len(xs) == 1 else b"".join(map(inner.__getitem__, xs))
+        new = list(plain)
         if self.reference and not self.whole:
-            new = sorted({*fresh, *plain})
             expected = self.reference.encode(new, num_threads=1)
-            self.differ |= {x for x, ids in zip(new, expected, strict=True) if self.ids[x] != np.array(ids, "<u4").tobytes()}
+            self.differ |= {x for x, ids in zip(new, expected, strict=True) if self.ids[x] != _packed(ids)}
+        decoded = self.tokenizer.decode_batch([np.frombuffer(self.ids[x], "<u4").tolist() for x in new], skip_special_tokens=False)
+        self.undecoded |= {x for x, text in zip(new, decoded, strict=True) if text != self._surfaces(self.ids[x])}
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids as little-endian unsigned 32-bit bytes, and whether the text had parity."""
         split = [self.parts(self.normalise(x)) for x in texts]
         if len(self.ids) > self.cache_parts:
             self.ids, self.old = {}, self.ids
-        known = self.ids
-        if missing := {p for parts in split for p in parts if p not in known}:
+        if missing := set(chain.from_iterable(split)).difference(self.ids):
             self._learn(missing)
+        known = self.ids
         out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        bad = self.differ | self.undecoded
+        fine = [not bad or bad.isdisjoint(parts) for parts in split]
         if self.reference and self.whole:
-            return out, [ids == np.array(x, "<u4").tobytes() for ids, x in zip(out, self.reference.encode(texts, num_threads=1), strict=True)]
-        return out, [not self.differ or self.differ.isdisjoint(parts) for parts in split]
+            fine = [ok and ids == _packed(x) for ok, ids, x in zip(fine, out, self.reference.encode(texts, num_threads=1), strict=True)]
+        return out, fine
+
+    def _surfaces(self, ids: bytes) -> str:
+        return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids; a dummy prefix is taken away, invalid UTF-8 becomes U+FFFD."""
-        data = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        text = data.decode("utf-8", "replace")
+        """The text of ids; a dummy prefix is taken away, invalid UTF-8 becomes U+FFFD.  What each
+        part decodes to was compared with the library's decoder when the part was met first."""
+        text = self._surfaces(ids)
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 

@@ -13,6 +13,8 @@ def test_wrong_ids_of_the_production_model_are_reported():
     right = codec.tokenizer
 
     class Wrong:
+        decode_batch = right.decode_batch
+
         def encode_batch_fast(self, xs, **options):
             return [SimpleNamespace(ids=e.ids[::-1] + [5] * ("new" in x)) for x, e in zip(xs, right.encode_batch_fast(xs, **options), strict=True)]
 
@@ -41,3 +43,19 @@ def test_word_encoder_equals_the_tokenizer_and_checks_its_short_way(tmp_path):
         for _ in range(2):
             for text in texts:
                 assert encoder.encode([text]) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_rebuilt_tokenizer_and_decoder_equal_the_library_on_whole_texts(prose):
+    """The Tokenizer with its own normaliser, texts as they are; a wrong decoder is reported."""
+    import sentencepiece
+
+    path = pieces.model_path()
+    whole, library = pieces.build(pieces.parse(open(path, "rb").read())), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", " ", "a", "  a  b\n\nc ", "é\u0301 ﬁ İ 中文 \U0001f600 x\x00y", "7 7 ... ,, !!", prose(300, 4), prose(50, 5).upper()]
+    assert [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)] == library.encode(texts)
+    codec = pieces.PieceCodec(path)
+    ids, parity = codec.encode(texts)
+    assert codec.short and all(parity) and [codec.decode(x) for x in ids] == texts
+    broken = pieces.PieceCodec(path)
+    broken.surface[library.encode("word")[0]] = b"?"
+    assert broken.encode(["a word", "another"])[1] == [False, True]
