@@ -1,6 +1,6 @@
 """WARC archives: write, index, and read selected records by byte ranges.
 
-Writing: one record per page, gzip members in archives of one per partition.  Pages with one
+Writing: one record per page, gzip members in archives of about ``ARCHIVE_BYTES``.  Pages with one
 payload of at least ``MIN_REVISIT`` bytes share a response record, that of the largest
 page_id; the others are revisit records without a payload that name it.  An archive is written
 under a name of its attempt and then renamed, so a lost or repeated task leaves whole files.
@@ -40,8 +40,10 @@ LEVEL = 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:plinth:page:{}"
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long"
-#: Index rows that go to one reading task.
-READ_ROWS = 20_000
+#: Bytes at which an archive is closed and the next one begins.
+ARCHIVE_BYTES = 1 << 30
+#: Repeated digests up to which they go to every executor (some 30 MB), so that no html is shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def _filesystem(path: str):
@@ -90,18 +92,32 @@ def roles(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("key", key)
     first = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    joined = rows.join(first, "key", "left")
+    first = cut(first, "repeated")
+    joined = rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "key", "left")
     return joined.select("page_id", "url", "html", "digest", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")).alias("refers_to"))
 
 
 def _writer(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = _filesystem(folder)
-        name, out, at, rows_made = uuid.uuid4().hex, None, 0, []
+        name, out, at, rows_made = "", None, 0, []
+
+        def closed() -> pd.DataFrame:
+            out.close()
+            files.move(f"{base}/.{name}", f"{base}/{name}.warc.gz")
+            made = pd.DataFrame(rows_made, columns=["offset", "length", "url", "digest", "page_id"])
+            made.insert(0, "archive", f"{name}.warc.gz")
+            made["page_id"] = pd.array(made["page_id"], dtype="Int64")
+            return made
+
         for rows in batches:
             for page_id, url, html, digest, refers in zip(*(rows[c] for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                if out is not None and at >= ARCHIVE_BYTES:
+                    yield closed()
+                    out = None
                 if out is None:
                     files.create_dir(base, recursive=True)
+                    name, at, rows_made = uuid.uuid4().hex, 0, []
                     out = files.open_output_stream(f"{base}/.{name}", compression=None)
                 page_id, refers = (None if pd.isna(x) else int(x) for x in (page_id, refers))
                 data = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, refers is not None)
@@ -109,12 +125,7 @@ def _writer(folder: str):
                 rows_made.append((at, len(data), url, digest, page_id))
                 at += len(data)
         if out is not None:
-            out.close()
-            files.move(f"{base}/.{name}", f"{base}/{name}.warc.gz")
-            made = pd.DataFrame(rows_made, columns=["offset", "length", "url", "digest", "page_id"])
-            made.insert(0, "archive", f"{name}.warc.gz")
-            made["page_id"] = pd.array(made["page_id"], dtype="Int64")
-            yield made
+            yield closed()
 
     return run
 
