@@ -7,8 +7,9 @@ is a sum of table rows.  A document is cut into windows that overlap by the wide
 every byte counts; its probabilities are the mean over its windows.
 
 Training uses windows at hashed places of a sample: at most ``PER_LANGUAGE`` documents a
-language are expected, chosen by a hash of doc_id and text, and ``WINDOWS_EACH`` windows of
-each.  Statistics that bound the sample (documents per language) are counted over all rows.
+language are expected, and ``IN_ALL`` shared equally by the languages if these are many, chosen
+by a hash of doc_id and text, and ``WINDOWS_EACH`` windows of each.  Every language takes part.
+Documents per language are counted over all rows.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
 training row everything is ``und``; a null doc_id is not held out and not trained on; repeated
@@ -25,13 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import table, text_batches
+from plinth.llm.common import cut, table, text_batches
 from plinth.llm.quality_model import held_out
 
 FOLDS, HELD_OUT = 3, 1
 WINDOW = 160
 WIDTHS, FILTERS = (2, 3, 4), 16
-PER_LANGUAGE, WINDOWS_EACH, MAX_LANGUAGES = 1500, 2, 400
+PER_LANGUAGE, WINDOWS_EACH, IN_ALL = 1500, 2, 400_000
+#: Languages up to which their counts go to every executor.
+BROADCAST_LANGUAGES = 100_000
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 7
 BLOCK = 256
 UNKNOWN = "und"
@@ -119,12 +122,13 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(lang, text window) of the bounded training sample."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n_lang")), "languages")
+    languages = counts.count()
+    if not languages:
         return []
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n))])
+    rate = min(PER_LANGUAGE, IN_ALL / languages) / F.col("n_lang")
     place = lambda *salt: F.pmod(F.xxhash64("doc_id", "text", *map(F.lit, salt)), F.lit(1_000_003)) / 1_000_003
-    known = known.where(F.col("lang").isin(list(counts))).where(place() < rate[F.col("lang")])
+    known = known.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").where(place() < rate)
     cuts = [F.substring("text", (place(k) * F.greatest(F.char_length("text") - WINDOW, F.lit(0))).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS_EACH)]
     rows = known.select("lang", F.explode(F.array(*cuts)).alias("window")).collect()
     return sorted((r["lang"], r["window"]) for r in rows)

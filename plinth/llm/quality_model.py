@@ -179,7 +179,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in text])) if len(text) else [], dtype=float)
+        return pd.Series(np.round(model.score(np.array([statistics(t) for t in text])), 9) if len(text) else [], dtype=float)
 
     row = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     return row.where(score("text") >= ACCEPT).select("row.*")

@@ -147,3 +147,44 @@ def test_windows_cover_every_byte():
         w = language.windows_of(data)
         step = language.WINDOW - max(language.WIDTHS) + 1
         assert b"".join(bytes(x[:step]) for x in w[:-1]) + bytes(w[-1][: n - step * (len(w) - 1)]) == data
+
+
+def test_network_pooling_matches_naive_loops_and_training_lowers_the_loss():
+    """Pooled maxima and probabilities against loops over places."""
+    rng = np.random.default_rng(3)
+    net = language.ByteNet(["a", "b", "c"])
+    x = rng.integers(0, 256, (5, language.WINDOW), dtype=np.uint8)
+    y = np.array([0, 1, 2, 0, 1])
+    slow = np.array([[max(0.0, max(sum(float(t[k, int(row[p + k]), f]) for k in range(w)) for p in range(len(row) - w + 1))) for w, t in zip(language.WIDTHS, net.tables, strict=True) for f in range(language.FILTERS)] for row in x])
+    assert np.allclose(net.pooled(x)[0], slow, atol=1e-4)
+    share = net.probabilities(x)
+    logit = slow @ net.out + net.bias
+    assert np.allclose(share, np.exp(logit) / np.exp(logit).sum(axis=1, keepdims=True), atol=1e-4)
+    before = -np.log(share[np.arange(5), y]).mean()
+    net.train(np.tile(x, (400, 1)), np.tile(y, 400))
+    assert -np.log(net.probabilities(x)[np.arange(5), y]).mean() < before / 4
+
+
+def test_discriminant_matches_plain_numpy(spark):
+    """Scores from sums against np.cov and the inverse of the shrunken covariance."""
+    rng = np.random.default_rng(8)
+    width = len(quality_model.NAMES)
+    sides = [rng.normal(size=(70, width)) @ rng.normal(size=(width, width)) * 0.2 + k for k in range(2)]
+    rows = [([float(v) for v in x], k) for k in range(2) for x in sides[k]]
+    model = quality_model.fit(spark.createDataFrame(rows, "x array<double>, quality int").repartition(3))
+    covs = [np.cov(s.T, bias=True) for s in sides]
+    pooled = (covs[0] + covs[1]) / 2
+    told = []
+    for s, c in zip(sides, covs, strict=True):
+        c = (1 - quality_model.POOLED - quality_model.DIAGONAL) * c + quality_model.POOLED * pooled + quality_model.DIAGONAL * np.diag(np.diag(c)) + quality_model.RIDGE * np.eye(width)
+        d = np.concatenate(sides) - s.mean(axis=0)
+        told.append(-0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1] + np.log(0.5))
+    want = 1 / (1 + np.exp(np.clip((told[0] - told[1]) / quality_model.TEMPERATURE, -60, 60)))
+    assert np.allclose(model.score(np.concatenate(sides)), want, atol=1e-6)
+
+
+def test_every_language_is_learned_however_many(spark, prose, monkeypatch):
+    monkeypatch.setattr(language, "IN_ALL", 40)
+    docs = _tongues(spark, prose, 240)
+    sampled = language.sample(docs)
+    assert {lang for lang, _ in sampled} == {"aa", "bb", "cc", "dd"} and 20 <= len(sampled) <= 160
