@@ -9,8 +9,12 @@ class an explicit allow comes before any block; without either the verdict is al
 Two urls are one node if they differ only in scheme, fragment, a closing "/" or tracking
 parameters.  The decisions of link targets that are no page themselves count too.
 
+Targets may be absolute, start with "//", "/" or "?", or be relative to the page's folder ("."
+and ".." steps are folded); "&amp;" in them is "&".
+
 Defined results: a null url, or one without "://", has empty host and path, no rule and the
-verdict allow; a null html has no links; links without a usable target are ignored; repeated
+verdict allow; a null html has no links; links to a fragment or
+another scheme ("mailto:") are ignored; repeated
 rows are judged each on their own; an empty table gives an empty result.
 """
 
@@ -33,7 +37,14 @@ TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?"
 CANONICAL = r"(?is)<link\s[^>]*rel=[\"']?canonical[^>]*>"
 REFRESH = r"(?is)<meta\s[^>]*http-equiv=[\"']?refresh[^>]*>"
 HREF = r"(?is)href=[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)url=[\"']?([^\"'\s>;]+)"
+TARGET = r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+)"
+#: Another scheme than host urls have, as "mailto:".
+OTHER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: The page's own folder, and the page without query and fragment.
+FOLDER, PAGE = r"^[^/?#]*(?:[^?#]*/)?", r"^[^?#]*"
+#: Steps of a path that stay in, leave, or would leave above the root; a target is folded DOTS times,
+#: deeper ones keep their dots.
+STAY, LEAVE, ABOVE, DOTS = r"/\./", r"/[^/?#]+/\.\./", r"^([^/?#]*)/(?:\.\./)+", 8
 
 
 def after_scheme(url: Column) -> Column:
@@ -82,13 +93,22 @@ def link_targets(html: Column) -> Column:
 
 
 def target_rest(target: Column, rest: Column) -> Column:
-    """What would follow a target's scheme, seen from the page: absolute, //host or /path."""
-    own = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    return (
+    """What would follow a target's scheme, seen from the page: absolute, //host, /path, ?query, or
+    relative to the page's folder; null for a mere fragment or another scheme."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    own, folder = F.regexp_extract(rest, r"^[^/?#]*", 0), F.regexp_extract(rest, FOLDER, 0)
+    found = (
         F.when(F.instr(target, "://") > 0, after_scheme(target))
         .when(target.startswith("//"), F.substr(target, F.lit(3)))
         .when(target.startswith("/"), F.concat(own, target))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(rest, PAGE, 0), target))
+        .when(target.startswith("#") | (target == "") | target.rlike(OTHER_SCHEME), F.lit(None))
+        .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), target))
     )
+    folded = found
+    for _ in range(DOTS):
+        folded = F.regexp_replace(F.regexp_replace(folded, STAY, "/"), LEAVE, "/")
+    return F.when(found.contains("/."), F.regexp_replace(folded, ABOVE, "$1/")).otherwise(found)
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -140,14 +160,24 @@ def _oracle() -> str:
     rule = "case " + " ".join(f"when {c} then '{name}'" for c, name, _ in fits) + " end"
     verdict = "case " + " ".join(f"when {c} then '{v}'" for c, _, v in fits) + " end"
     after = "case when strpos({0}, '://') > 0 then substr({0}, strpos({0}, '://') + 3) end"
-    target = f"case when strpos(g, '://') > 0 then {after.format('g')} when starts_with(g, '//') then substr(g, 3) when starts_with(g, '/') then regexp_extract(prest, '^[^/?#]*') || g end"
+    folder = f"regexp_extract(prest, {q(FOLDER)})"
+    target = (
+        f"case when strpos(g, '://') > 0 then {after.format('g')} when starts_with(g, '//') then substr(g, 3) when starts_with(g, '/') then regexp_extract(prest, '^[^/?#]*') || g"
+        f" when starts_with(g, '?') then regexp_extract(prest, {q(PAGE)}) || g when starts_with(g, '#') or g = '' or regexp_matches(g, {q(OTHER_SCHEME)}) then null"
+        f" else {folder} || case when ends_with({folder}, '/') then '' else '/' end || g end"
+    )
+    folded = "rest"
+    for _ in range(DOTS):
+        folded = f"regexp_replace(regexp_replace({folded}, {q(STAY)}, '/', 'g'), {q(LEAVE)}, '/', 'g')"
+    folded = f"case when contains(rest, '/.') then regexp_replace({folded}, {q(ABOVE)}, '\\1/', 'g') else rest end"
     return f"""
 with recursive p as (select page_id, html, {after.format("url")} as rest from pages),
 k as (select *, {host} as host, {path} as path, {rule} as rule, {verdict} as told, {key} as node from p),
 x as (select node as src, rest as prest, unnest(list_concat(
         [regexp_extract(e, {q(HREF)}, 1) for e in regexp_extract_all(html, {q(CANONICAL)})],
         [regexp_extract(e, {q(TARGET)}, 1) for e in regexp_extract_all(html, {q(REFRESH)})])) as g from k where html is not null),
-y as (select src, {target} as rest from x),
+y0 as (select src, {target} as rest from (select src, prest, replace(g, '&amp;', '&') as g from x)),
+y as (select src, {folded} as rest from y0),
 e as (select src, {key} as dst, {verdict} as told from y),
 pair as (select src as a, dst as b from e where src is not null and dst is not null union select dst, src from e where src is not null and dst is not null),
 reach(a, b) as (select a, a from pair union select r.a, s.b from reach r join pair s on s.a = r.b),

@@ -161,3 +161,53 @@ def test_url_parts_and_longest_rule_match_brute_force(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         want = max(fits, default=(0, None, "allow"))
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, want[1], want[2])
+
+
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    pages = ["http://a.org/x/y/p.html?q=1#f", "http://a.org", "http://a.org/", "http://a.org/x?u=/z/"]
+    targets = ["n.html", "?p=2", "./n", "../n", "../../n", "../../../n/", "a/./b/../c", "/r", "//h.com/r", "http://k.net/r?a=1&amp;b=2", "#f", "mailto:x@y.z"]
+    rows = [(p, t) for p in pages for t in targets]
+    df = spark.createDataFrame(rows, "p string, t string")
+    got = {(r["p"], r["t"]): r["x"] for r in df.select("p", "t", urls.target_rest(F.col("t"), urls.after_scheme(F.col("p"))).alias("x")).collect()}
+    for p, t in rows:
+        want = None if t[0] in "#m" else urljoin(p, t.replace("&amp;", "&")).partition("://")[2]
+        assert got[(p, t)] == want, (p, t)
+
+
+def test_verdicts_over_a_graph_of_links_match_union_find_and_sql(spark, tmp_path):
+    """Chains, rings and hubs of 2,000 urls, with allowing, blocking and other ends."""
+    import duckdb
+
+    rng = random.Random(11)
+    host = lambda i: f"h{i}.org" if i % 40 else f"h{i}.net" if i % 80 else f"h{i}.com"
+    url = [f"http://{host(i)}{'/es' if i % 120 == 40 else ''}/p{i}" for i in range(2000)]
+    to = [i + 1 if i % 7 else rng.choice([0, i - i % 7 + 7, 500]) if i % 3 else None for i in range(1999)] + [1990]
+    to = [None if t is None or t >= 2000 else t for t in to]
+    link = lambda i, t: None if t is None else (C if i % 2 else R) % (url[t] if i % 5 else f"//{url[t][7:]}/#x")
+    pages = [(i, url[i], link(i, to[i])) for i in range(2000)]
+    up = list(range(2000))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, t in enumerate(to):
+        if t is not None:
+            up[root(i)] = root(t)
+    own = ["allow" if ".com/" in u else "block" if ".net/es/" in u else None for u in url]
+    told = {}
+    for i in range(2000):
+        if own[i]:
+            told.setdefault(root(i), set()).add(own[i])
+    want = {i: own[i] or ("block" if told.get(root(i)) == {"block"} else "allow") for i in range(2000)}
+    df = spark.createDataFrame(pages, SHAPE)
+    assert {r["page_id"]: r["verdict"] for r in urls.url_filter(df).collect()} == want
+    assert {"block", "allow"} == set(want.values())
+    df.limit(300).write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    small = spark.read.parquet(f"{tmp_path}/pages")
+    assert sorted(con.execute(urls.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in urls.url_filter(small).select("page_id", "host", "path", "rule", "verdict").collect())
