@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_value: str, right_value: str, low: float, high: float) -> DataFrame:
     """Pairs with ``low <= right - left <= high`` within equal keys."""
-    size = max(abs(low), abs(high), 1e-9)
-    bucket = lambda c: F.floor(F.col(c) / size)
-    reach = F.sequence(bucket(left_value) - 1, bucket(left_value) + 1)
+    size = max(high - low, 1e-6 * max(abs(low), abs(high)), 1e-9)
+    bucket = lambda c: F.floor(c / size)
+    # the band's own width, from its lower end; the margin is for rounding of the sums
+    reach = F.sequence(bucket(F.col(left_value) + low - size / 1000), bucket(F.col(left_value) + high + size / 1000))
     a = left.withColumn("_b", F.explode(reach))
-    b = right.withColumn("_b", bucket(right_value))
+    b = right.withColumn("_b", bucket(F.col(right_value)))
     near = (F.col(right_value) - F.col(left_value)).between(low, high)
     return a.join(b, [*keys, "_b"]).where(near).drop("_b")
 
