@@ -12,7 +12,7 @@ queries meet blocks of codes in tasks of bounded size, and each returns its k ne
 
 Defined results: a null or empty vector has no code and is neither query nor answer; a vector
 with other than the usual length is compared with those of its own length; a null component
-counts as 0; rows that repeat an id are one row; a query is never its own answer; an empty
+counts as 0; rows that repeat an id are one row, the shortest vector with the least code; a query is never its own answer; an empty
 table gives an empty result.
 """
 
@@ -112,7 +112,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): for each of ``queries(id, vector)`` the k rows of
     ``rows(id, vector)`` with the smallest Hamming distance of sign codes, itself excepted."""
     sign_code = F.pandas_udf(sign_codes, "binary")
-    coded = lambda d: d.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("v")).select("id", sign_code("v").alias("code"), F.size("v").alias("d")).where("code is not null").dropDuplicates(["id"])
+    coded = lambda d: d.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("v")).select("id", sign_code("v").alias("code"), F.size("v").alias("d")).where("code is not null").groupBy("id").agg(F.min(F.struct("d", "code")).alias("x")).select("id", "x.code", "x.d")
     first = F.row_number().over(Window.partitionBy("d", "code").orderBy("id"))
     few = coded(rows).withColumn("n", first).where(F.col("n") <= k + 1)  # Spark limits groups before the shuffle
     codes = cut(few.groupBy("d", "code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
@@ -135,7 +135,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 with c as (select distinct vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as b
            from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0),
-s as (select vec_id, array_to_string(b, '')::bit as b from c),
+s as (select vec_id, array_to_string(b, '')::bit as b from c qualify row_number() over (partition by vec_id order by len(b), array_to_string(b, '')) = 1),
 p as (select q.vec_id as query_id, r.vec_id as neighbor_id, bit_count(xor(q.b, r.b))::bigint as distance
       from s q join s r on q.vec_id <> r.vec_id and length(q.b) = length(r.b) where q.vec_id % {EVERY} = 0),
 k as (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from p)

@@ -211,3 +211,11 @@ def test_verdicts_over_a_graph_of_links_match_union_find_and_sql(spark, tmp_path
     con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
     small = spark.read.parquet(f"{tmp_path}/pages")
     assert sorted(con.execute(urls.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in urls.url_filter(small).select("page_id", "host", "path", "rule", "verdict").collect())
+
+
+def test_repeated_ids_with_other_vectors_are_the_least_code(spark):
+    rows = [(1, [1.0] * 8), (1, [-1.0] * 8), (2, [-1.0] * 8), (3, [1.0] * 8), (20, [-1.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    for order in (df, df.orderBy(F.desc("id"), F.col("vector")[0])):
+        got = [tuple(r) for r in hamming.top_k(order.repartition(3), order.where("id = 20"), 3).orderBy("rank").collect()]
+        assert got == [(20, 1, 1, 0), (20, 2, 2, 0), (20, 3, 3, 8)]
