@@ -34,3 +34,18 @@ def common_cut(df, tmp_path):
     from plinth.llm.common import cut
 
     return cut(df, "stage")
+
+
+def test_pipeline_on_empty_tables_and_odd_rows(spark, prose, odd, none, tmp_path):
+    """No rows at all; rows with nulls, repeats and no labels, and columns named as the stages' own."""
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    good = [(50, prose(60, 1), "en", "s", 0), (51, prose(60, 1), "en", "s", 0), (52, prose(60, 2), None, None, None), (None, prose(60, 1), "en", "s", 0)]
+    odd = odd.unionByName(spark.createDataFrame(good, SHAPE))
+    for name, docs in (("empty", none), ("odd", odd.withColumns({n: F.lit(n) for n in ("row", "node", "kept", "score", "class")}))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    # the odd rows are too short or repeat themselves; without labels no other rule speaks
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} == {None, 50, 52}
