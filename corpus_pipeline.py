@@ -1,4 +1,10 @@
-"""A corpus pipeline: quality rules, quality classifier, near-duplicates, packing."""
+"""A corpus pipeline: quality rules, quality classifier, near-duplicates, packing.
+
+Defined results: rows with a null or empty text go in the first stage; without labels only the base
+rules reject; a null doc_id is never a copy and stays; of rows that repeat a doc_id one stays; extra
+columns are carried to the last stage, which returns the columns of packing; empty tables give an
+empty result.
+"""
 
 from __future__ import annotations
 
