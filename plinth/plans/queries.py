@@ -11,7 +11,8 @@ from plinth.functions import geometry as g
 from plinth.functions import text as tx
 from plinth.operators import graph, intervals, joins
 from plinth.plans import extract as ex
-from plinth.plans import strips
+from plinth.plans import sheets, strips
+from plinth.sources import reader
 from plinth.sources.reader import layer_histogram
 
 QUERIES: dict = {}
@@ -386,3 +387,43 @@ def export_files(spark, sf):
     return made.select("plan_id", "format", F.length("content").cast("bigint").alias("bytes"))
 
 
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    files = sheets.sheets(_t(spark, sf, "part"))
+    return reader.decode(files.repartition(spark.sparkContext.defaultParallelism))
+
+
+# sums of a shape's n points on the page that is turned back
+_TURNED = """case p_partkey % 4 when 0 then x when 1 then y when 2 then 600 * n - x else 800 * n - y end as x,
+ case p_partkey % 4 when 0 then y when 1 then 600 * n - x when 2 then 800 * n - y else x end as y"""
+_SHEET = """with s as (select p_partkey, p_name, p_size::bigint as size, p_partkey % 100 as k from part), p as (
+ select p_partkey, 0 as prim_id, 2 as n, 2 * k + size as x, 20 as y, false as closed, false as filled, 2 as width, null as layer from s
+ union all select p_partkey, 1, 4, 440 + 4 * size, 480 + 4 * size, true, true, 4, null from s
+ union all select p_partkey, 2, 3, 900 + 2 * size, 910, true, false, 2, 'A-WALL' from s
+ union all select p_partkey, 3, 2, 630, 630, false, false, 2, 'A-WALL' from s
+ union all select p_partkey, 4, 2, 40 + 2 * size, 10 + k, false, false, 2, null from s),
+"""
+
+
+@query(_SHEET + "o as (select * replace (x - 5 * n as x, y - 7 * n as y) from p), r as (select * exclude (x, y), " + _TURNED + """ from o)
+select p_partkey::varchar || '#0' as plan_id, prim_id::int as prim_id, n::int as points, (1000 * x)::bigint as x_milli, (1000 * y)::bigint as y_milli, closed, filled, (1000 * width)::bigint as width_milli, layer from r""")
+def decode_primitives(spark, sf):
+    """Paths of a PDF of each part: the sums of their points, and their paint, width and layer."""
+    found = reader.primitives_of(_pages(spark, sf))
+    total = lambda c: milli(F.aggregate(f"points.{c}", F.lit(0.0), lambda a, v: a + v))
+    return found.select("plan_id", "prim_id", F.size("points").alias("points"), total("x").alias("x_milli"), total("y").alias("y_milli"), "closed", "filled", milli(F.col("width")).alias("width_milli"), "layer")
+
+
+@query("with t as (select p_partkey, 0 as text_id, p_name as text, 1 as n, p_partkey % 100 - 5 as x, 493 as y from part union all select p_partkey, 1, '#' || p_partkey, 1, p_partkey % 100 - 5, 479 from part), r as (select * exclude (x, y), " + _TURNED + """ from t)
+select p_partkey::varchar || '#0' as plan_id, text_id::int as text_id, text, (1000 * x)::bigint as x_milli, (1000 * y)::bigint as y_milli, 12000::bigint as height_milli, ([0, -90, 180, 90])[1 + p_partkey % 4]::bigint as angle from r""")
+def decode_texts(spark, sf):
+    """Texts of a PDF of each part: place, height and direction in degrees, over -180."""
+    found = reader.texts_of(_pages(spark, sf))
+    turn = F.round(F.degrees("angle")).cast("bigint")
+    return found.select("plan_id", "text_id", "text", milli(F.col("x")).alias("x_milli"), milli(F.col("y")).alias("y_milli"), milli(F.col("height")).alias("height_milli"), F.when(turn == -180, 180).otherwise(turn).alias("angle"))
+
+
+@query("select p_partkey::varchar || '#0' as plan_id, (case p_partkey % 2 when 0 then 600 else 800 end)::bigint as wide, (case p_partkey % 2 when 0 then 800 else 600 end)::bigint as high, 5::bigint as primitives, 2::bigint as texts, true as readable from part")
+def decode_pages(spark, sf):
+    """The turned box of each page, and what it holds."""
+    size = [F.size(c).cast("bigint").alias(c) for c in ("primitives", "texts")]
+    return _pages(spark, sf).select("plan_id", F.col("box.x1").cast("bigint").alias("wide"), F.col("box.y1").cast("bigint").alias("high"), *size, F.col("error").isNull().alias("readable"))

@@ -6,9 +6,9 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "plinth", **conf: str) -> SparkSession:
-    """The running session, or a new one; settings of the cluster are left alone."""
+    """The running session as it is but for ``conf``, or a new one in UTC with ``conf``."""
     builder = SparkSession.builder.appName(name)
-    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
-    for k, v in (defaults | conf).items():
+    running = SparkSession.getActiveSession() is not None
+    for k, v in (conf if running else {"spark.sql.session.timeZone": "UTC"} | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

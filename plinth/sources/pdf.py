@@ -436,6 +436,9 @@ class Interpreter:
                 continue
             op, n = str(x), [float(a) if isinstance(a, (int, float)) and not isinstance(a, bool) else 0.0 for a in args]
             try:
+                if op in ("l", "c", "v", "y") and paths and closed[-1]:  # a point after a closed path starts another there
+                    paths.append([here])
+                    closed.append(False)
                 if op == "q":
                     saved.append(state.copy())
                 elif op == "Q":

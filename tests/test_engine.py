@@ -244,14 +244,14 @@ def test_strip_plans_have_the_declared_rooms(spark):
     assert [len(r["rooms"]) for r in m] == [4, 4, 3] and [len(r["openings"]) for r in m] == [1, 1, 1]
 
 
-@pytest.mark.parametrize("name", ["merge_intervals", "mode_cluster", "classify_name", "nearest_parallel", "best_match", "geojson_project", "text_owner"])
+@pytest.mark.parametrize("name", ["merge_intervals", "mode_cluster", "classify_name", "nearest_parallel", "best_match", "geojson_project", "text_owner", "decode_primitives", "decode_texts", "decode_pages"])
 def test_queries_match_sql(spark, tmp_path, name):
     """On small tables made here; all queries are compared with their SQL by the driver."""
     rng = np.random.default_rng(5)
     import pandas as pd
 
     tables = {
-        "part": pd.DataFrame({"p_partkey": np.arange(40), "p_size": rng.integers(1, 50, 40).astype("int32"), "p_brand": "b", "p_retailprice": rng.uniform(900, 2000, 40)}),
+        "part": pd.DataFrame({"p_partkey": np.arange(40), "p_name": "red bolt", "p_size": rng.integers(1, 50, 40).astype("int32"), "p_brand": "b", "p_retailprice": rng.uniform(900, 2000, 40)}),
         "customer": pd.DataFrame({"c_custkey": np.arange(60), "c_nationkey": (np.arange(60) % 5).astype("int32")}),
         "nation": pd.DataFrame({"n_nationkey": np.arange(25).astype("int32")}),
         "orders": pd.DataFrame({"o_custkey": rng.integers(0, 6, 80), "o_totalprice": rng.uniform(100, 9000, 80).round(2)}),
@@ -264,10 +264,11 @@ def test_queries_match_sql(spark, tmp_path, name):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
     df = queries.QUERIES[name](spark, str(tmp_path))
     cols = sorted(df.columns)
-    got = sorted(tuple(r[c] for c in cols) for r in df.collect())
+    order = lambda row: [(v is not None, v) for v in row]
+    got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=order)
     res = con.execute(queries.ORACLES[name])
     names = [c[0] for c in res.description]
-    want = sorted(tuple(r[names.index(c)] for c in cols) for r in res.fetchall())
+    want = sorted((tuple(r[names.index(c)] for c in cols) for r in res.fetchall()), key=order)
     assert sorted(names) == cols and got == want and want
 
 
