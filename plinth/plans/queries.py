@@ -14,6 +14,7 @@ from plinth.plans import extract as ex
 from plinth.plans import sheets, strips
 from plinth.sources import reader
 from plinth.sources.reader import layer_histogram
+from plinth.symbols.tables import symbols_of
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -427,3 +428,67 @@ def decode_pages(spark, sf):
     """The turned box of each page, and what it holds."""
     size = [F.size(c).cast("bigint").alias(c) for c in ("primitives", "texts")]
     return _pages(spark, sf).select("plan_id", F.col("box.x1").cast("bigint").alias("wide"), F.col("box.y1").cast("bigint").alias("high"), *size, F.col("error").isNull().alias("readable"))
+
+
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "part").repartition(spark.sparkContext.defaultParallelism).withColumn("id", F.col("p_partkey").cast("string"))
+
+
+def _at(x, y) -> Column:
+    c = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
+    return F.struct(c(x).alias("x"), c(y).alias("y"))
+
+
+def _arc(x: float, radius: Column, degrees: int, steps: int) -> Column:
+    turn = lambda i: F.radians(i * F.lit(degrees / steps))
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: _at(x + radius * F.cos(turn(i)), radius * F.sin(turn(i))))
+
+
+def _meta(name: str, kind: str) -> Column:
+    return F.get_json_object("meta", f"$.{name}").cast(kind)
+
+
+def _whole(name: str) -> Column:
+    return F.round(_meta(name, "double")).cast("bigint").alias(name)
+
+
+@query("""with s as (select p_partkey, 3 + p_size % 12 as n, 210 + 10 * (p_partkey % 19) as going from part)
+select p_partkey::varchar as id, n::bigint as treads, going::bigint as going, 1000::bigint as flight_width, floor(1000 * least(0.95, 0.7 + 0.25 * least(1, (n - 3) / 6)) + 0.5)::bigint as confidence_milli from s""")
+def symbol_stairs(spark, sf):
+    """Flights of parallel treads, found by the library's detector."""
+    treads = F.transform(F.sequence(F.lit(0), 2 + F.col("p_size") % 12), lambda i: F.array(_at(0, i * (210 + 10 * (F.col("p_partkey") % 19))), _at(1000, i * (210 + 10 * (F.col("p_partkey") % 19)))))
+    found = symbols_of(_drawn(spark, sf).select("id", treads.alias("strokes")), "room").where("symbol = 'stairs'")
+    return found.select("id", _whole("treads"), _whole("going"), _whole("flight_width"), milli(F.col("confidence")).alias("confidence_milli"))
+
+
+@query("""with s as (select p_partkey, 650 + 10 * p_size as r, p_partkey % 2 = 0 as leaf from part)
+select p_partkey::varchar as id, 'door_swing' as symbol, 'door' as kind, r::bigint as leaf_width, leaf, floor(1000 * least(0.98, 0.95 - 0.2 * abs(r / 900 - 1) / 0.35 + case when leaf then 0.05 else 0 end) + 0.5)::bigint as confidence_milli from s""")
+def symbol_door_swing(spark, sf):
+    """The best symbol of an opening of 900 mm with a quarter arc about a jamb, every other with its leaf."""
+    r = (650 + 10 * F.col("p_size")).cast("double")
+    arc = _arc(-450.0, r, 90, 16)
+    leaf = F.array(_at(-450, 0), _at(-450, r))
+    strokes = F.when(F.col("p_partkey") % 2 == 0, F.array(arc, leaf)).otherwise(F.array(arc))
+    found = symbols_of(_drawn(spark, sf).select("id", strokes.alias("strokes"), F.lit(900.0).cast("double").alias("width"), F.lit(110.0).cast("double").alias("thickness")), "opening")
+    return found.select("id", "symbol", "kind", _whole("leaf_width"), _meta("leaf_line", "boolean").alias("leaf"), milli(F.col("confidence")).alias("confidence_milli"))
+
+
+@query("""with s as (select p_partkey, 1305 + 10 * p_size as d from part)
+select p_partkey::varchar as id, d::bigint as diameter, case when abs(d - 1500) <= 120 then 860 else 780 end::bigint as confidence_milli from s where d between 1400 and 1900""")
+def symbol_turning_circle(spark, sf):
+    """Clear wheelchair circles; those that are too small are none."""
+    ring = _arc(3000.0, (1305 + 10 * F.col("p_size")) / F.lit(2.0), 360, 32)
+    found = symbols_of(_drawn(spark, sf).select("id", F.array(ring).alias("strokes")), "room").where("symbol = 'turning_circle'")
+    return found.select("id", _whole("diameter"), milli(F.col("confidence")).alias("confidence_milli"))
+
+
+@query("""with s as (select p_partkey, 2 + p_partkey % 4 as n, 6000 + 10 * p_size as v from part)
+select p_partkey::varchar as id, floor(1000 * least(0.92, 0.7 + 0.08 * least(2, n - 2) + case when abs((6000 - v) / v) <= 0.02 then 0.1 else 0 end) + 0.5)::bigint as confidence_milli from s""")
+def symbol_dimension_chain(spark, sf):
+    """Dimensions in a row, whose sum fits what is drawn in some plans only."""
+    i = F.sequence(F.lit(0), (1 + F.col("p_partkey") % 4).cast("int"))
+    links = F.transform(i, lambda k: F.array(_at(6000 * k, 0), _at(6000 * (k + 1), 0)))
+    text = (6000 + 10 * F.col("p_size")).cast("string")
+    texts = F.transform(i, lambda k: F.struct(text.alias("text"), (3000.0 + 6000 * k).cast("double").alias("x"), F.lit(100.0).cast("double").alias("y"), F.lit(200.0).cast("double").alias("height")))
+    found = symbols_of(_drawn(spark, sf).select("id", links.alias("strokes"), texts.alias("texts")), "plan").where("symbol = 'dimension_chain'")
+    return found.select("id", milli(F.col("confidence")).alias("confidence_milli"))

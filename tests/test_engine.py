@@ -244,7 +244,7 @@ def test_strip_plans_have_the_declared_rooms(spark):
     assert [len(r["rooms"]) for r in m] == [4, 4, 3] and [len(r["openings"]) for r in m] == [1, 1, 1]
 
 
-@pytest.mark.parametrize("name", ["merge_intervals", "mode_cluster", "classify_name", "nearest_parallel", "best_match", "geojson_project", "text_owner", "decode_primitives", "decode_texts", "decode_pages"])
+@pytest.mark.parametrize("name", ["merge_intervals", "mode_cluster", "classify_name", "nearest_parallel", "best_match", "geojson_project", "text_owner", "decode_primitives", "decode_texts", "decode_pages", "symbol_stairs", "symbol_door_swing", "symbol_turning_circle", "symbol_dimension_chain"])
 def test_queries_match_sql(spark, tmp_path, name):
     """On small tables made here; all queries are compared with their SQL by the driver."""
     rng = np.random.default_rng(5)
@@ -297,3 +297,17 @@ def test_intersections_and_bands_of_any_length_match_loops(spark):
     for low, high in ((60.0, 62.0), (-4.0, -4.0), (-0.1, 0.2)):
         got = sorted((r["k"], r["lo"], r["v"]) for r in joins.band_join(left.select("k", "lo"), right.select("k", F.col("lo").alias("v")), ["k"], "lo", "v", low, high).collect())
         assert got == sorted((k, x, p) for k, x, _ in a for j, p, _ in b if k == j and low <= p - x <= high)
+
+
+def test_symbols_of_odd_rows(spark):
+    """Null and empty strokes find nothing of their own; ids of any type come back as text."""
+    from plinth.symbols.tables import symbols_of
+
+    columns = "id long, strokes array<array<struct<x:double,y:double>>>, width double, thickness double, category string"
+    rows = spark.createDataFrame([(1, None, 900.0, 110.0, None), (2, [], 900.0, 110.0, None), (3, [[]], 500.0, 110.0, None)], columns)
+    got = {r["id"]: (r["symbol"], round(r["confidence"], 3)) for r in symbols_of(rows, "opening").collect()}
+    assert got == {"1": ("opening_plain", 0.3), "2": ("opening_plain", 0.3), "3": ("opening_plain", 0.2)}
+    assert symbols_of(rows, "room").isEmpty() and symbols_of(rows, "plan").isEmpty()
+    assert symbols_of(rows.limit(0), "room").isEmpty()
+    with pytest.raises(ValueError):
+        symbols_of(rows, "door")
