@@ -492,3 +492,29 @@ def symbol_dimension_chain(spark, sf):
     texts = F.transform(i, lambda k: F.struct(text.alias("text"), (3000.0 + 6000 * k).cast("double").alias("x"), F.lit(100.0).cast("double").alias("y"), F.lit(200.0).cast("double").alias("height")))
     found = symbols_of(_drawn(spark, sf).select("id", links.alias("strokes"), texts.alias("texts")), "plan").where("symbol = 'dimension_chain'")
     return found.select("id", milli(F.col("confidence")).alias("confidence_milli"))
+
+
+def _box(x, y, w, h) -> Column:
+    return F.array(_at(x, y), _at(x + w, y), _at(x + w, y + h), _at(x, y + h), _at(x, y))
+
+
+@query("""with s as (select p_partkey, 2 + p_partkey % 3 as n, (60 + 2 * (p_size % 20)) / 100 as cover from part)
+select p_partkey::varchar as id, 'window' as symbol, n::bigint as glazing_lines, (1000 * cover)::bigint as coverage_milli, floor(1000 * least(0.95, 0.55 + 0.1 * least(2, n - 2) + 0.25 * cover) + 0.5)::bigint as confidence_milli from s""")
+def symbol_window(spark, sf):
+    """The best symbol of an opening of 1200 mm with two to four panes that cover a part of it."""
+    n, half = 2 + F.col("p_partkey") % 3, 6.0 * (60 + 2 * (F.col("p_size") % 20))
+    y = lambda k: (80.0 * k / (n - 1) - 40).cast("double")
+    panes = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: F.array(_at(-half, y(k)), _at(half, y(k))))
+    found = symbols_of(_drawn(spark, sf).select("id", panes.alias("strokes"), F.lit(1200.0).cast("double").alias("width"), F.lit(110.0).cast("double").alias("thickness")), "opening")
+    return found.select("id", "symbol", _whole("glazing_lines"), milli(_meta("coverage", "double")).alias("coverage_milli"), milli(F.col("confidence")).alias("confidence_milli"))
+
+
+@query("""select p_partkey::varchar as id, 'lift' as symbol, floor(1000 * (0.82 + 0.08 * (3000 - abs(1200 + 20 * p_size - 1600)) / 3000) + 0.5)::bigint as confidence_milli from part
+union all select p_partkey::varchar, 'parking_bay', (660 + 80 * least(2, p_partkey % 4))::bigint from part where p_partkey % 4 > 0""")
+def symbol_lift_and_parking(spark, sf):
+    """A crossed car and a row of one to four parking bays in each room; one bay alone is none."""
+    long, short = 1200 + 20 * F.col("p_size"), 1000 + 16 * F.col("p_size")
+    car = [_box(F.lit(0), F.lit(0), long, short), F.array(_at(0, 0), _at(long, short)), F.array(_at(0, short), _at(long, 0))]
+    bays = F.transform(F.sequence(F.lit(0), (F.col("p_partkey") % 4).cast("int")), lambda k: _box(10000 + 2500 * k, F.lit(0), F.lit(2400), F.lit(5000)))
+    found = symbols_of(_drawn(spark, sf).select("id", F.concat(F.array(*car), bays).alias("strokes")), "room").where("symbol in ('lift', 'parking_bay')")
+    return found.select("id", "symbol", milli(F.col("confidence")).alias("confidence_milli"))

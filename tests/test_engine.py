@@ -244,7 +244,7 @@ def test_strip_plans_have_the_declared_rooms(spark):
     assert [len(r["rooms"]) for r in m] == [4, 4, 3] and [len(r["openings"]) for r in m] == [1, 1, 1]
 
 
-@pytest.mark.parametrize("name", ["merge_intervals", "mode_cluster", "classify_name", "nearest_parallel", "best_match", "geojson_project", "text_owner", "decode_primitives", "decode_texts", "decode_pages", "symbol_stairs", "symbol_door_swing", "symbol_turning_circle", "symbol_dimension_chain"])
+@pytest.mark.parametrize("name", ["merge_intervals", "mode_cluster", "classify_name", "nearest_parallel", "best_match", "geojson_project", "text_owner", "decode_primitives", "decode_texts", "decode_pages", "symbol_stairs", "symbol_door_swing", "symbol_turning_circle", "symbol_dimension_chain", "symbol_window", "symbol_lift_and_parking"])
 def test_queries_match_sql(spark, tmp_path, name):
     """On small tables made here; all queries are compared with their SQL by the driver."""
     rng = np.random.default_rng(5)
