@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.llm import hamming, language, licenses, neardup, packing, pieces, quality_model, quality_rules, urls, warc
+from plinth.llm import hamming, language, licenses, mixing, neardup, packing, pieces, quality_model, quality_rules, urls, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_quality_classifier": quality_model.query,
     "op10_language_id": language.query,
+    "op11_source_mixing": mixing.query,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_license_scan": licenses.ORACLE_SQL,
     "op3_exact_top_k": hamming.ORACLE_SQL,
     "op5_url_filter": urls.ORACLE_SQL,
+    "op11_source_mixing": mixing.ORACLE_SQL,
 }
