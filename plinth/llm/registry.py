@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.llm import hamming, language, licenses, mixing, neardup, packing, pieces, quality_model, quality_rules, urls, warc
+from plinth.llm import hamming, language, licenses, mixing, neardup, negatives, packing, pieces, quality_model, quality_rules, urls, variants, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_classifier": quality_model.query,
     "op10_language_id": language.query,
     "op11_source_mixing": mixing.query,
+    "op12_spelling_variants": variants.query,
+    "op13_hard_negatives": negatives.query,
 }
 
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op3_exact_top_k": hamming.ORACLE_SQL,
     "op5_url_filter": urls.ORACLE_SQL,
     "op11_source_mixing": mixing.ORACLE_SQL,
+    "op12_spelling_variants": variants.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }
