@@ -40,7 +40,7 @@ SEED = "mix"
 #: Hexadecimal digits of a digest that are read as a number.
 DIGITS = 15
 #: Divisors tried in one aggregate, and quotients about the divisor that are ordered at the end.
-TRIES, SETTLED = 48, 10_000
+TRIES, SETTLED = 24, 10_000
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -92,11 +92,19 @@ def apportion(parties: DataFrame, seats: int, keys: list[str]) -> DataFrame:
     """``parties(key..., weight, most)`` with ``quota``: ``seats`` seats go to the highest quotients
     weight / (s - 1/2) of s-th seats, at most ``most`` to a party; of equal quotients that of the
     least keys comes first."""
-    won = lambda divisor: F.least("most", F.floor(F.col("weight") / F.lit(divisor) + 0.5))
+
+    def won(divisor: float) -> Column:
+        """Seats whose quotient is ``divisor`` or more; the division is set right by one where it rounds."""
+        n, quotient = F.floor(F.least(F.col("weight") / F.lit(divisor), F.col("most").cast("double")) + 0.5), lambda s: F.col("weight") / (s - 0.5)
+        right = n + F.when(quotient(n + 1) >= divisor, 1).when((n > 0) & (quotient(n) < divisor), -1).otherwise(0)
+        return F.least("most", right)
+
     tried = [2.0**k for k in range(-60, 60, 120 // TRIES)] + [1.0]
     low, high, above, below = 0.0, math.inf, math.inf, 0
     while above - below > SETTLED and math.nextafter(low, math.inf) < high:
         tried = sorted({d for d in tried if low < d < high})
+        if not tried:
+            break
         sums = [x or 0 for x in parties.agg(*[F.sum(won(d)) for d in tried]).first()]
         for divisor, n in zip(tried, sums, strict=True):
             if n >= seats:

@@ -100,19 +100,23 @@ def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
     return found
 
 
+def _may_overflow(a: np.ndarray, b: np.ndarray) -> bool:
+    return bool(a.size and b.size) and np.abs(a.astype(float)).max() * np.abs(b.astype(float)).max() * a.shape[1] >= 2.0**62
+
+
 def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Products of pairs of rows; integers don't overflow."""
-    width = max(1, a.shape[1])
-    if a.dtype == np.int64 and a.size and b.size and np.abs(a.astype(float)).max() * np.abs(b.astype(float)).max() * width >= 2.0**62:
-        return np.array([sum(int(x) * int(y) for x, y in zip(a[p], b[q], strict=True)) for p, q in zip(i, j, strict=True)], object)
-    step = max(1, HELD // width)
+    """Products of pairs of rows; those of integers beyond 64 bits are the nearest that fit."""
+    if a.dtype == np.int64 and _may_overflow(a, b):
+        exact = (sum(int(x) * int(y) for x, y in zip(a[p], b[q], strict=True)) for p, q in zip(i, j, strict=True))
+        return np.array([min(max(s, LONG_MIN), LONG_MAX) for s in exact], np.int64)
+    step = max(1, HELD // max(1, a.shape[1]))
     out = [np.einsum("ij,ij->i", a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step)]
     return np.concatenate(out) if out else np.zeros(0, a.dtype)
 
 
 def candidates(q: np.ndarray, x: np.ndarray, rotation: np.ndarray | None, narrow: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of q and x that ``narrow(low, high)``, bounds of all products, leaves."""
-    a, b = q.astype(float), x.astype(float)
+    a, b, wide = q.astype(float), x.astype(float), _may_overflow(q, x)
     if rotation is not None:
         a, b = a @ rotation, b @ rotation
     d = a.shape[1]
@@ -130,7 +134,7 @@ def candidates(q: np.ndarray, x: np.ndarray, rotation: np.ndarray | None, narrow
             sums[i, j] += _dots(a[:, done:m], b[:, done:m], i, j)
             rest = rest_a[i] * rest_b[j] + slack[i, j]
             low[i, j], high[i, j] = sums[i, j] - rest, sums[i, j] + rest
-        left = narrow(low, high)
+        left = narrow(np.clip(low, LONG_MIN, LONG_MAX), np.clip(high, LONG_MIN, LONG_MAX)) if wide else narrow(low, high)
         alive, done = left if alive is None else alive & left, m
     return np.nonzero(alive)
 
@@ -143,21 +147,13 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
 
 def _first(group: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of each group's k highest scores, ties by id."""
-    if scores.dtype == object:
-        order = np.array(sorted(range(len(group)), key=lambda p: (group[p], -scores[p], ids[p])), np.int64)
-    else:
-        order = np.lexsort((ids, -scores, group))
+    order = np.lexsort((ids, ~scores, group))  # ~ turns the order of all 64-bit integers
     g = group[order]
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
     rank = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
     return order[rank < k]
 
 
-def _longs(values) -> pa.Array:
-    values = np.asarray(values)
-    return pa.array([min(max(int(v), LONG_MIN), LONG_MAX) for v in values] if values.dtype == object else values, pa.int64())
-
-
 def _chunks(left: pa.Table, rows: int) -> Iterator[slice]:
     step = max(1, HELD // max(1, rows))
     return (slice(i, i + step) for i in range(0, len(left), step))
@@ -186,7 +182,7 @@ def _positive_cell(k: int, turned: dict[int, np.ndarray]) -> Callable:
                 best = _first(i, scores, ids[j], k)
                 out.append((own[i[best]], ids[j[best]], scores[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table([_longs(c) for c in cols], ["anchor_id", "positive_id", "positive_score"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["anchor_id", "positive_id", "positive_score"])
 
     return run
 
@@ -225,7 +221,7 @@ def _negative_cell(k: int, turned: dict[int, np.ndarray]) -> Callable:
                     which = np.array([positives[r][c]["id"] for r in i[best]], np.int64)
                     out.append((own[i[best]], which, ids[j[best]], top[i[best], c], scores[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.table([_longs(c) for c in cols], ["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
 
     return run
 

@@ -137,6 +137,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Letters beyond ASCII, and signs that stand for them where SQL counts bytes.
+WIDE, SIGNS = "".join(map(chr, range(0xC0, 0x100))), "".join(c for c in map(chr, range(48, 127)) if not "a" <= c <= "z")
+SIGNS += "".join(c for c in map(chr, range(33, 48)) if c != "'")[: len(WIDE) - len(SIGNS)]
+
 #: The digest byte by byte (letters beyond ASCII have two bytes), words that share a key by edit
 #: distance, and forms followed one by one.
 ORACLE_SQL = rf"""
@@ -148,7 +152,8 @@ h as (select run, k, xor(list_reduce(list_prepend(4294967295, bytes), lambda c,
 s as (select case when h % {SLIP} = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from h),
 w as (select word, sum(k)::bigint as n from s where length(word) >= {LEAST_LENGTH} group by word having sum(k) >= {LEAST_COUNT}),
 e as (select distinct word, n, substr(word, 1, i - 1) || substr(word, i + 1) as key from (select word, n, unnest(range(1, length(word) + 2)) as i from w)),
-p as (select distinct a.word, a.n, b.word as other, b.n as m from e a join e b on a.key = b.key and a.word <> b.word where levenshtein(a.word, b.word) = 1),
+p as (select distinct a.word, a.n, b.word as other, b.n as m from e a join e b on a.key = b.key and a.word <> b.word
+      where levenshtein(translate(a.word, '{WIDE}', '{SIGNS}'), translate(b.word, '{WIDE}', '{SIGNS}')) = 1),
 f as (select word, count(*)::bigint as n_near, arg_min({{'word': other, 'm': m}}, {{'less': -m, 'word': other}}) as best from p group by word),
 r as (select word, n, coalesce(n_near, 0) as n_near, case when best.m >= {TIMES} * n then best.word end as form, case when best.m >= {TIMES} * n then best.m end as form_n from w left join f using (word)),
 c as (select word, word as last, 0 as step from r union all select c.word, r.form, step + 1 from c join r on c.last = r.word where r.form is not null),
