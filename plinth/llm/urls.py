@@ -7,10 +7,13 @@ components over them (star contraction, nothing on the driver) make classes of a
 class an explicit allow comes before any block; without either the verdict is allow.
 
 Two urls are one node if they differ only in scheme, fragment, a closing "/" or tracking
-parameters.  The decisions of link targets that are no page themselves count too.
+parameters; a link between two such urls makes them aliases as any link does, but without a link
+that touches their node they are judged each by itself.  The decisions of link targets that are no
+page themselves count too.
 
-Targets may be absolute, start with "//", "/" or "?", or be relative to the page's folder ("."
-and ".." steps are folded); "&amp;" in them is "&".
+Targets may be absolute, start with "//", "/" or "?", or be relative to the page's folder; any
+number of "." and ".." steps is folded, and steps above the root stay at the root.  "&amp;" in
+targets is "&".
 
 Defined results: a null url, or one without "://", has empty host and path, no rule and the
 verdict allow; a null html has no links; links to a fragment or
@@ -42,9 +45,8 @@ TARGET = r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+)"
 OTHER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 #: The page's own folder, and the page without query and fragment.
 FOLDER, PAGE = r"^[^/?#]*(?:[^?#]*/)?", r"^[^?#]*"
-#: Steps of a path that stay in, leave, or would leave above the root; a target is folded DOTS times,
-#: deeper ones keep their dots.
-STAY, LEAVE, ABOVE, DOTS = r"/\./", r"/[^/?#]+/\.\./", r"^([^/?#]*)/(?:\.\./)+", 8
+#: Host and path, before query and fragment.
+HEAD = r"^[^?#]*"
 
 
 def after_scheme(url: Column) -> Column:
@@ -105,10 +107,18 @@ def target_rest(target: Column, rest: Column) -> Column:
         .when(target.startswith("#") | (target == "") | target.rlike(OTHER_SCHEME), F.lit(None))
         .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), target))
     )
-    folded = found
-    for _ in range(DOTS):
-        folded = F.regexp_replace(F.regexp_replace(folded, STAY, "/"), LEAVE, "/")
-    return F.when(found.contains("/."), F.regexp_replace(folded, ABOVE, "$1/")).otherwise(found)
+    return F.when(found.contains("/."), folded(found)).otherwise(found)
+
+
+def folded(rest: Column) -> Column:
+    """``rest`` without "." and ".." steps in its path."""
+    head = F.regexp_extract(rest, HEAD, 0)
+    parts = F.split(head, "/")
+    step = lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    # a path that ends in a step is a folder
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.array_join(F.concat(F.slice(parts, 1, 1), last), "/"), F.substr(rest, F.length(head) + 1))
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -130,7 +140,10 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     links = cut(edges(pages.select("url", "html")), "aliases")
     if links.isEmpty():
         return ruled.unionByName(free.drop("node").withColumn("verdict", F.lit(ALLOW)))
-    classes = components(links.select("src", "dst"))
+    linked = components(links.select("src", "dst"))
+    # a link between urls of one node makes a class of that node
+    alone = links.where("src = dst").select(F.col("src").alias("node")).distinct().join(linked, "node", "left_anti")
+    classes = linked.unionByName(alone.withColumn("component", F.col("node")))
     # explicit decisions of the nodes: of link targets, and of pages that have links or are targets
     of_rest = lambda rest: rule_of(host_of(rest), path_of(rest), rules)["verdict"]
     told = links.select(F.col("dst").alias("node"), of_rest(F.col("dst_rest")).alias("verdict"))
@@ -166,10 +179,10 @@ def _oracle() -> str:
         f" when starts_with(g, '?') then regexp_extract(prest, {q(PAGE)}) || g when starts_with(g, '#') or g = '' or regexp_matches(g, {q(OTHER_SCHEME)}) then null"
         f" else {folder} || case when ends_with({folder}, '/') then '' else '/' end || g end"
     )
-    folded = "rest"
-    for _ in range(DOTS):
-        folded = f"regexp_replace(regexp_replace({folded}, {q(STAY)}, '/', 'g'), {q(LEAVE)}, '/', 'g')"
-    folded = f"case when contains(rest, '/.') then regexp_replace({folded}, {q(ABOVE)}, '\\1/', 'g') else rest end"
+    head, parts = f"regexp_extract(rest, {q(HEAD)})", f"string_split(regexp_extract(rest, {q(HEAD)}), '/')"
+    kept = f"list_reduce(list_prepend([]::varchar[], list_transform({parts}[2:], lambda s: [s])), lambda k, s: case when s[1] = '..' then k[:len(k) - 1] when s[1] = '.' then k else list_concat(k, s) end)"
+    folded = f"array_to_string(list_concat({parts}[1:1], {kept}, case when {parts}[-1] in ('.', '..') then [''] else [] end), '/') || substr(rest, length({head}) + 1)"
+    folded = f"case when contains(rest, '/.') then {folded} else rest end"
     return f"""
 with recursive p as (select page_id, html, {after.format("url")} as rest from pages),
 k as (select *, {host} as host, {path} as path, {rule} as rule, {verdict} as told, {key} as node from p),

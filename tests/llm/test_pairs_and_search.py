@@ -166,8 +166,9 @@ def test_url_parts_and_longest_rule_match_brute_force(spark):
 def test_relative_targets(spark):
     from urllib.parse import urljoin
 
-    pages = ["http://a.org/x/y/p.html?q=1#f", "http://a.org", "http://a.org/", "http://a.org/x?u=/z/"]
+    pages = ["http://a.org/x/y/p.html?q=1#f", "http://a.org", "http://a.org/", "http://a.org/x?u=/z/", "http://h.net/a/b/c/d/e/f/g/h/i/j/p.html"]
     targets = ["n.html", "?p=2", "./n", "../n", "../../n", "../../../n/", "a/./b/../c", "/r", "//h.com/r", "http://k.net/r?a=1&amp;b=2", "#f", "mailto:x@y.z"]
+    targets += ["../" * n + "z" for n in range(3, 13)] + ["..", ".", "a/..", "a/.", "./../b/./../c/?u=/./x#/../y", "/a/../../b", ".h/..c/d."]
     rows = [(p, t) for p in pages for t in targets]
     df = spark.createDataFrame(rows, "p string, t string")
     got = {(r["p"], r["t"]): r["x"] for r in df.select("p", "t", urls.target_rest(F.col("t"), urls.after_scheme(F.col("p"))).alias("x")).collect()}
@@ -206,10 +207,15 @@ def test_verdicts_over_a_graph_of_links_match_union_find_and_sql(spark, tmp_path
     df = spark.createDataFrame(pages, SHAPE)
     assert {r["page_id"]: r["verdict"] for r in urls.url_filter(df).collect()} == want
     assert {"block", "allow"} == set(want.values())
-    df.limit(300).write.parquet(f"{tmp_path}/pages")
+    # links between urls of one node, and pages that only share a node
+    same = [("http://x.net/es", C % "http://x.net/es/"), ("http://y.net/fr?utm_source=a", R % "http://y.net/fr/"), ("http://z.net/es", None), ("http://z.net/es/", None), ("http://w.org/a", C % "http://w.org/a#b")]
+    extra = [(5000 + i, u, html) for i, (u, html) in enumerate(same)]
+    df.limit(300).unionByName(spark.createDataFrame(extra, SHAPE)).write.parquet(f"{tmp_path}/pages")
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
     small = spark.read.parquet(f"{tmp_path}/pages")
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.url_filter(small).collect()}
+    assert [verdicts[5000 + i] for i in range(5)] == ["block", "block", "allow", "block", "allow"]
     assert sorted(con.execute(urls.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in urls.url_filter(small).select("page_id", "host", "path", "rule", "verdict").collect())
 
 
