@@ -158,3 +158,38 @@ def circle_from() -> Column:
     cx, cy = F.try_divide(uz * vv - vz * uv, safe), F.try_divide(vz * uu - uz * uv, safe)
     r = F.sqrt(F.greatest(sz / n - 2 * (cx * sx + cy * sy) / n + cx * cx + cy * cy, F.lit(0.0)))
     return F.when(cx.isNotNull(), F.struct(cx.alias("cx"), cy.alias("cy"), r.alias("r")))
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def circle_of(points: Column) -> Column:
+    """struct<cx,cy,r,rms> of the least-squares circle through an array of points, rms the root mean
+    square of what they are off it; null where they lie on a line."""
+    n = F.size(points).cast("double")
+    total = lambda ps, f: F.aggregate(ps, F.lit(0.0), lambda s, p: s + f(p))
+    about = lambda m: F.transform(points, lambda p: F.struct((p["x"] - m["x"]).alias("u"), (p["y"] - m["y"]).alias("v")))
+    square = lambda p: p["u"] * p["u"] + p["v"] * p["v"]
+    terms = {"uu": lambda p: p["u"] * p["u"], "vv": lambda p: p["v"] * p["v"], "uv": lambda p: p["u"] * p["v"], "uz": lambda p: p["u"] * square(p), "vz": lambda p: p["v"] * square(p)}
+
+    def circle(m: Column, ps: Column, s: Column, det: Column) -> Column:
+        u, v = (s["uz"] * s["vv"] - s["vz"] * s["uv"]) / (2 * det), (s["vz"] * s["uu"] - s["uz"] * s["uv"]) / (2 * det)
+        r = lambda c: F.sqrt(c["u"] * c["u"] + c["v"] * c["v"] + (s["uu"] + s["vv"]) / n)
+        off = lambda c: F.sqrt(total(ps, lambda p: F.pow(F.hypot(p["u"] - c["u"], p["v"] - c["v"]) - c["r"], 2)) / n)
+        whole = lambda c: F.struct((c["u"] + m["x"]).alias("cx"), (c["v"] + m["y"]).alias("cy"), c["r"].alias("r"), off(c).alias("rms"))
+        return bound(F.struct(u.alias("u"), v.alias("v")), lambda c: bound(F.struct(c["u"].alias("u"), c["v"].alias("v"), r(c).alias("r")), whole))
+
+    def solved(m: Column, ps: Column) -> Column:
+        sums = F.struct(*[total(ps, f).alias(k) for k, f in terms.items()])
+        return bound(sums, lambda s: bound(s["uu"] * s["vv"] - s["uv"] * s["uv"], lambda det: F.when(F.abs(det) >= 1e-12, circle(m, ps, s, det))))
+
+    mean = F.struct(*[(total(points, lambda p, k=k: p[k]) / n).alias(k) for k in ("x", "y")])
+    return F.when(n >= 3, bound(mean, lambda m: bound(about(m), lambda ps: solved(m, ps))))
+
+
+def arc_span(points: Column, cx: Column, cy: Column) -> Column:
+    """How far points turn about a centre, one after the other, in all."""
+    ways = F.transform(points, lambda p: F.atan2(p["y"] - cy, p["x"] - cx))
+    return _sum(F.zip_with(F.slice(ways, 1, F.greatest(F.size(ways) - 1, F.lit(0))), F.slice(ways, 2, F.size(ways)), lambda a, b: F.abs(angle_diff(b, a))))

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plinth.functions.words import CATEGORIES
-
+from plinth.functions.words import CATEGORIES, LETTERS
 
-def _accents() -> tuple[str, str]:
-    """Letters with one base letter after decomposition, and these letters (built, not listed)."""
-    pairs = {}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
-        if len(base) == 1 and base[0] != chr(code):
-            pairs[chr(code)] = base[0].lower()
-    pairs |= {"đ": "d", "Đ": "d"}
-    return "".join(pairs), "".join(pairs.values())
+POINT_MM = 25.4 / 72
 
 
-_WITH, _WITHOUT = _accents()
+_WITH, _WITHOUT = "".join(map(chr, LETTERS)), "".join(LETTERS.values())
 
 
 def fold_text(text: Column) -> Column:
@@ -58,6 +47,16 @@ def scale_ratio(text: Column) -> Column:
     return F.when(value.between(5, 500), value)
 
 
+def scale_argument(text: Column) -> Column:
+    """Millimetres a point from "1:50", "1/50", "50" (5 or more) or "17.64mm"; null for anything else."""
+    plain = F.lower(F.replace(F.trim(text), F.lit(" "), F.lit("")))
+    number = lambda c: F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), c).try_cast("double")
+    ratio = number(F.regexp_extract(plain, r"^1[:/](\d+(?:\.\d+)?)$", 1)) * POINT_MM
+    mm = F.when(plain.endswith("mm"), number(F.regexp_replace(plain, "mm$", "")))
+    value = F.when(plain.endswith("mm"), mm).otherwise(F.coalesce(ratio, F.when(number(plain) >= 5, number(plain) * POINT_MM)))
+    return F.when(value != 0, value)
+
+
 def dimension_value(text: Column) -> Column:
     n = F.regexp_extract(F.trim(text), r"(?i)^[^\d]{0,2}(\d{3,6})(?:\s*mm)?[^\d]{0,2}$", 1)
     value = F.when(n != "", n).cast("int")

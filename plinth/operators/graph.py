@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iteration in the shared checkpoint folder, where one is set."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/plinth-graph/{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from plinth.operators.rounds import settled
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,15 +15,15 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     takes about log n rounds.
     """
     both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _settled(both)
-    labels = _settled(nodes.select(*keys, "node").distinct().withColumn("component", F.col("node")))
+    both = settled(both)
+    labels = settled(nodes.select(*keys, "node").distinct().withColumn("component", F.col("node")))
     while True:
         near = both.join(labels.select(*keys, F.col("node").alias("b"), F.col("component").alias("other")), [*keys, "b"])
         best = near.groupBy(*keys, F.col("a").alias("node")).agg(F.min("other").alias("other"))
         moved = labels.join(best, [*keys, "node"], "left").select(*keys, "node", "component", F.least("component", F.coalesce("other", "component")).alias("new"))
         jump = moved.select(*keys, F.col("node").alias("new"), F.col("new").alias("further"))
         fresh = moved.join(jump, [*keys, "new"], "left").select(*keys, "node", "component", F.least("new", F.coalesce("further", "new")).alias("new"))
-        fresh = _settled(fresh)
+        fresh = settled(fresh)
         changed = fresh.where("component <> new").limit(1).count()
         labels = fresh.select(*keys, "node", F.col("new").alias("component"))
         if not changed:

@@ -2,27 +2,39 @@
 
 A greedy loop looks at rows in order and keeps a row unless a kept one strikes it.  Rows whose
 stronger rivals are all decided can be decided at once, so each round decides many; the results
-are those of the loop.  Every round is joins and aggregates whose result is written (in the shared
-checkpoint folder, where one is set), so that lineage stays short.
+are those of the loop.  Every round is joins and aggregates whose result is written in the shared
+folder (spark.checkpoint.dir), so that lineage stays short.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only for a local master without it."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local.setdefault(context.applicationId, tempfile.mkdtemp(prefix="plinth-"))
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iteration in the shared checkpoint folder, where one is set."""
+    """``df`` written in the shared folder and read back, so that the lineage of an iteration ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/plinth-rounds/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/plinth-rounds/{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)

@@ -50,7 +50,7 @@ class Arrangement:
         return found
 
 
-class _Weld:
+class Weld:
     """First come, first kept: a point takes the nearest earlier point within reach."""
 
     def __init__(self, reach: float):
@@ -100,7 +100,7 @@ def split(segs: list[Seg], tol: float = WELD) -> list[tuple[Seg, int]]:
 
 def arrange(segs: list[Seg], tol: float = WELD) -> Arrangement:
     """Faces of the segments' arrangement; a segment's index is the wall of its darts."""
-    weld, edges = _Weld(tol), {}
+    weld, edges = Weld(tol), {}
     for (a, b), wall in split(segs, tol):
         u, v = weld(a), weld(b)
         if u != v:

@@ -323,15 +323,6 @@ def geojson_project(spark, sf):
     return _spots(spark, sf).select("id", e6(at["lon"]).alias("lon"), e6(at["lat"]).alias("lat"))
 
 
-@query("select p_partkey, case when p_size % 5 = 0 then 'explicit' when p_size % 3 = 0 then 'dimension' when p_size % 2 = 0 then 'titleblock' when p_size % 7 = 0 then 'door' else 'default' end as source from part")
-def scale_priority(spark, sf):
-    """The first source that tells a scale, from a union of candidates ranked by trust."""
-    p = _t(spark, sf, "part").select("p_partkey", "p_size")
-    rules = [("explicit", 5), ("dimension", 3), ("titleblock", 2), ("door", 7), ("default", 1)]
-    candidates = F.filter(F.array(*[F.when(F.col("p_size") % m == 0, F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"))) for i, (n, m) in enumerate(rules)]), lambda x: x.isNotNull())
-    return p.select("p_partkey", F.array_min(candidates)["n"].alias("source"))
-
-
 @query("""with recursive c as (select distinct floor((c_custkey * 37 % 1000) / 20)::int as x, floor((c_custkey * 91 % 1000) / 20)::int as y from customer),
  n as (select x * 50 + y as id, x, y from c), r(a, b) as (select id, id from n union select r.a, m.id from r join n k on k.id = r.b join n m on abs(m.x - k.x) <= 1 and abs(m.y - k.y) <= 1)
 select a::bigint as node, min(b)::bigint as component from r group by a""")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import cmath
 import math
+from itertools import pairwise
 from statistics import mean
 
 from plinth.functions.planar import Seg, coverage_of, is_parallel, length, spread
+from plinth.plans.arrangement import Weld
 from plinth.symbols.base import Match, OpeningContext, named, positive, symbol, within
 
 # Words in layer names of fire shutters.
@@ -37,7 +39,7 @@ def door_swing(c: OpeningContext) -> Match | None:
         ratio, hinge = a.radius / w, min(abs(a.centre - j) for j in c.jambs)
         if not (45 <= a.span <= 200 and 0.70 <= ratio <= 1.35 and hinge <= 0.40 * w):
             continue
-        leaf = any(abs(length(s) - a.radius) <= 0.15 * a.radius and min(abs(p - a.centre) for p in s) <= 0.15 * w for s in c.straight(0.5 * a.radius))
+        leaf = any(abs(length(s) - a.radius) <= 0.20 * a.radius and min(abs(p - a.centre) for p in s) <= 0.15 * w for s in c.straight(0.5 * w))
         told = 0.60 + 0.20 * positive(1 - abs(ratio - 1) / 0.35) + 0.10 * positive(1 - hinge / (0.40 * w))
         told = min(0.98, told + 0.05 * positive(1 - abs(a.span - 90) / 90) + 0.05 * leaf)
         meta = {"leaf_width": round(a.radius, 1), "swing_deg": round(a.span, 1), "hinge_offset": round(hinge, 1), "leaf_line": leaf, "panels": 1}
@@ -83,21 +85,13 @@ def door_sliding(c: OpeningContext) -> Match | None:
 def facet_chain(c: OpeningContext, least: float, most: int, snap: float = 40.0) -> list[Seg] | None:
     """The first chain of facets from jamb to jamb: ends weld within ``snap``, ways are tried in
     the order in which nodes were met."""
-    nodes: list[complex] = []
-
-    def node(p: complex) -> int:
-        for i, q in enumerate(nodes):
-            if abs(p - q) <= snap:
-                return i
-        nodes.append(p)
-        return len(nodes) - 1
-
-    ways: dict[int, set[int]] = {}
-    for pts in c.strokes:
-        for a, b in zip(pts, pts[1:], strict=False):
-            if abs(b - a) >= least and (u := node(a)) != (v := node(b)):
-                ways.setdefault(u, set()).add(v)
-                ways.setdefault(v, set()).add(u)
+    weld = Weld(snap)
+    drawn = [(a, b) for pts in c.strokes for a, b in pairwise(pts) if abs(b - a) >= least]
+    joined = [(weld(a), weld(b)) for a, b in drawn]
+    nodes, ways = weld.points, {}
+    for u, v in joined + [(v, u) for u, v in joined]:
+        if u != v:
+            ways.setdefault(u, set()).add(v)
     if not nodes:
         return None
     start, goal = (min(range(len(nodes)), key=lambda i: abs(nodes[i] - j)) for j in c.jambs)

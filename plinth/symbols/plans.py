@@ -380,7 +380,8 @@ def hatch_pattern(c: PlanContext) -> Match | None:
         if not f:
             continue
         angles = [x["angle"] for x in f]
-        square = len(f) == 2 and abs(abs(angles[0] - angles[1]) - 90) <= 8
+        apart = abs(angles[0] - angles[-1])
+        square = len(f) == 2 and min(apart, 180 - apart) > 30
         style = "single" if len(f) == 1 else "cross" if square else "double" if len(f) == 2 else "compound"
         material = next((t for t, g in known if _same_family(f, g)), None)
         xs, ys = [p.real for s in found for p in s], [p.imag for s in found for p in s]

@@ -78,7 +78,7 @@ def test_welding_is_first_come_first_kept(spark):
     points += [(0, 200 + i, *points[i][2:]) for i in range(20)]
     expected = []
     for p in range(3):
-        weld, first = arrangement._Weld(30.0), {}
+        weld, first = arrangement.Weld(30.0), {}
         for _, i, x, y in sorted(r for r in points if r[0] == p):
             leader = weld(complex(x, y))
             expected.append((p, i, first.setdefault(leader, i)))
