@@ -10,6 +10,7 @@ from plinth.functions import geometry as g
 from plinth.operators import joins, rounds, segments
 from plinth.plans import room_tables, scale_tables, strips, wall_tables
 from plinth.plans.queries import _spots, _t, milli, query
+from plinth.symbols import chains, detectors
 
 PLAN = ["plan"]
 
@@ -22,6 +23,24 @@ def _segment(ax, ay, bx, by) -> F.Column:
     return F.struct(_d(ax).alias("ax"), _d(ay).alias("ay"), _d(bx).alias("bx"), _d(by).alias("by"))
 
 
+@query("""with d as (select p_partkey, 2 + p_size % 9 as m from part)
+select p_partkey, least(m, 8)::bigint as facets, (least(m, 8) + 1)::bigint as corners from d where m <= 9""")
+def facet_chains(spark, sf):
+    """The concertina of an opening of each part: two to ten leaves from jamb to jamb, drawn with small
+    gaps, an end that leads nowhere drawn first, and one short cut from the second corner to the fourth."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    m, width = (2 + s % 9).cast("double"), (900 + 10 * (k % 50)).cast("double")
+    x = lambda i: -width / 2 + width * i / m
+    y = lambda i: F.when(F.lit(i % 2 == 1) & (m != i), 300.0).otherwise(0.0)
+    leaf = lambda i: F.when(m > i, _segment(x(i), y(i), x(i + 1) + 5, y(i + 1)))
+    lost = _segment(x(1) + 60, 900, x(1), y(1))
+    drawn = F.array(lost, *[leaf(i) for i in range(10)], F.when(m >= 4, _segment(x(1), y(1), x(3), y(3))))
+    part = _t(spark, sf, "part").select(k.alias("plan"), width.alias("width"), drawn.alias("d"))
+    segs = part.select("plan", F.posexplode("d").alias("seq", "s")).where("s is not null").select("plan", "seq", "s.*")
+    found = chains.facet_chains(segs, part.select("plan", "width"), PLAN, 8)
+    return found.groupBy(F.col("plan").alias("p_partkey")).agg(F.max("place").cast("bigint").alias("facets"), F.count("*").alias("corners"))
+
+
 # streets: a column of cells between each customer's street and the next
 
 
@@ -254,3 +273,35 @@ def room_openings(spark, sf):
     openings = sized.select("plan", F.explode(F.array_compact(holes)).alias("o")).select("plan", "o.*")
     found = room_tables.room_edges(faced, rounds.settled(room_tables.rooms_of(faced, PLAN)), openings, PLAN)
     return found.groupBy("plan", "a", "b", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""with r as (select p_partkey, p_size as s, p_partkey % 6 as kind from part),
+ f as (select p_partkey, 'sanitary' as symbol, s % 3 + 1 as n, 0.63 + 0.12 * (s % 3) as told from r where kind = 0
+  union all select p_partkey, 'parking_bay', 1 + s % 4, 0.66 + 0.08 * least(2, s % 4) + 0.10 * (s % 2) from r where kind = 1 and (s % 4 > 0 or s % 2 = 1)
+  union all select p_partkey, 'theatre_seating', 12 + 6 * (s % 3), least(0.93, 0.76 + 0.10 * (6 * (s % 3)) / 40 + 0.08 * (s % 2)) from r where kind = 2
+  union all select p_partkey, 'ward_bay', 2 + s % 4, 0.76 + 0.08 * least(2, s % 4 - 1) + 0.08 * (s % 2) from r where kind = 3 and s % 4 > 0
+  union all select p_partkey, 'stairs', 4 + s % 8, 0.70 + 0.25 * least(1, (1 + s % 8) / 6) from r where kind = 4
+  union all select p_partkey, 'raised_floor', least(3 + s % 6, 5), 0.70 + 0.10 * (least(3 + s % 6, 5) - 4) / 6 + 0.08 * (s % 2) from r where kind = 5 and s % 6 > 0)
+select p_partkey, symbol, n::bigint as n, floor(least(told, case symbol when 'stairs' then 0.95 when 'theatre_seating' then 0.93 when 'raised_floor' then 0.90 else 0.92 end) * 1000 + 0.5)::bigint as told_milli from f""")
+def room_symbols(spark, sf):
+    """A room of each part, of one of six kinds by its key: fittings, bays, seats, beds, treads or tiles."""
+    s, kind = F.col("p_size"), F.col("p_partkey") % 6
+    corner = lambda x, y: g.point(_d(x), _d(y))
+    box = lambda x, y, w, h: F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h), corner(x, y))
+    line = lambda ax, ay, bx, by: F.array(corner(ax, ay), corner(bx, by))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), f)
+    fittings = F.slice(F.array(box(F.lit(100), 100, 700, 380), box(F.lit(1000), 100, 500, 400), box(F.lit(100), 900, 1700, 750)), 1, (s % 3 + 1).cast("int"))
+    bays = each(1 + s % 4, lambda i: box(100 + i * 2600, F.lit(100), 2500, 5000))
+    seats = each(12 + 6 * (s % 3), lambda i: box(100 + i % 6 * 600, 100 + F.floor(i / 6) * (900 + s % 2 * 100), 500, 500))
+    beds = each(2 + s % 4, lambda i: box(100 + i * 2400, F.lit(100), 2000, 1000))
+    treads = each(4 + s % 8, lambda i: line(F.lit(100), 100 + i * (250 + s % 10 * 10), F.lit(1100), 100 + i * (250 + s % 10 * 10)))
+    tile = F.when(s % 2 == 1, 600).otherwise(500)
+    tiles = F.concat(each(3 + s % 6, lambda i: line(100 + i * tile, F.lit(0), 100 + i * tile, F.lit(6000))), each(F.lit(5), lambda i: line(F.lit(0), 100 + i * tile, F.lit(6000), 100 + i * tile)))
+    drawn = F.when(kind == 0, fittings).when(kind == 1, bays).when(kind == 2, seats).when(kind == 3, beds).when(kind == 4, treads).otherwise(tiles)
+    odd = s % 2 == 1
+    category = F.when(kind == 0, "bathroom").when((kind == 1) & odd, "garage").when((kind == 2) & odd, "auditorium").when((kind == 3) & odd, "ward").otherwise("other")
+    side = F.when(kind == 0, 5000).when(kind == 5, 6000).otherwise(14000)
+    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("plan"), drawn.alias("drawn"), category.alias("category"), box(F.lit(0), F.lit(0), side, side).alias("ring"))
+    strokes = part.select("plan", F.posexplode("drawn").alias("stroke", "points"))
+    found = detectors.room_symbols(strokes, part.select("plan", "category", "ring"), PLAN)
+    return found.select(F.col("plan").alias("p_partkey"), "symbol", F.col("n").cast("bigint").alias("n"), milli(F.round("confidence", 6)).alias("told_milli"))
