@@ -1,7 +1,8 @@
 """License scan: base phrases, and an exact set-similarity join with license templates.
 
 Base: where a phrase's words stand consecutively in a text.  Method: a text's blocks are its
-lines; a block matches a template if it holds at least ``THRESHOLD`` of the template's distinct
+lines, each with the next one, so that a statement wrapped over two lines lies in one block (a
+blank line ends it); a block matches a template if it holds at least ``THRESHOLD`` of the template's distinct
 words.  The join is exact: template words are ordered by their frequency in all documents,
 rarest first; a match must share one of the first |T| - ceil(THRESHOLD |T|) + 1 words (prefix
 filter), have enough words (length filter), and the words after the first shared one must
@@ -102,8 +103,9 @@ def _overlap(block: Column, words: list[str], threshold: float) -> Column:
 
 
 def block_matches(text: Column, templates: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> Column:
-    """array<struct<label, score>> of the templates that some line of the raw text matches."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
+    """array<struct<label, score>> of the templates that some block of the raw text matches."""
+    lines = bound(F.split(text, "\n"), lambda x: F.zip_with(x, F.concat(F.slice(x, 2, F.size(x)), F.array(F.lit(""))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    lines = F.filter(lines, lambda x: F.length(x) > 1)
     order = F.split(F.lit(" ".join(global_order(templates))), " ")
     words_of = lambda x: F.split(F.btrim(normal(x)), " ")
     blocks = F.transform(F.transform(lines, words_of), lambda b: F.filter(order, lambda w: F.array_contains(b, w)))
@@ -170,7 +172,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same scan in DuckDB: every line against every template, without filters."""
+    """The same scan in DuckDB: every block against every template, without filters."""
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     base = []
@@ -186,7 +188,7 @@ with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t fro
 w as (select r, doc_id, t, {words.format(low.format("t"))} as ws from d),
 b as (select r, doc_id, t, len(ws)::bigint as n_words, {joined} as base from w),
 t(label, words) as (values {templates}),
-l as (select r, list_distinct({words.format(low.format("x"))}) as block from (select r, unnest(string_split(t, chr(10))) as x from d)),
+l as (select r, list_distinct({words.format(low.format("x"))}) as block from (select r, unnest(list_transform(range(1, len(ls) + 1), lambda i: ls[i] || ' ' || coalesce(ls[i + 1], ''))) as x from (select r, string_split(t, chr(10)) as ls from d))),
 m as (select r, label, max(len(list_intersect(block, words)) / len(words)) as share from l, t where len(list_intersect(block, words)) >= {THRESHOLD} * len(words) - 1e-9 group by r, label),
 f as (select r, list(label) as found, max(share) as share from m group by r)
 select doc_id, n_words, len(base)::bigint as n_base, list_min([x.at for x in base])::bigint as first_word, list_max([x.at for x in base])::bigint as last_word,

@@ -48,8 +48,9 @@ def brute_base(text):
 
 def brute_matches(text):
     found = {}
-    for line in (text or "").split("\n"):
-        block = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+    lines = (text or "").split("\n")
+    for two in zip(lines, [*lines[1:], ""], strict=True):
+        block = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(two))))
         for label, t in licenses.TEMPLATES:
             share = len(set(t.split()) & block) / len(set(t.split()))
             if share >= licenses.THRESHOLD - 1e-9:
@@ -81,6 +82,13 @@ def test_license_scan_matches_brute_force(spark, prose, clashing):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_a_statement_wrapped_over_two_lines_is_found(spark):
+    statement = "Redistribution and use in source and binary forms,\nwith or without modification, are permitted"
+    rows = [(1, f"x\n{statement}\ny"), (2, statement.replace("\n", "\n\n")), (3, statement.replace("\n", "\nand so on\n")), (4, "Subject to the terms of the Mozilla\n Public License, version 2.0")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "bsd", 2: "", 3: "", 4: "mpl"}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
