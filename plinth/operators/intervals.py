@@ -23,12 +23,10 @@ def merge(df: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
     return found.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
-def intersect(left: DataFrame, right: DataFrame, keys: list[str], size: float | None = None) -> DataFrame:
+def intersect(left: DataFrame, right: DataFrame, keys: list[str], size: float) -> DataFrame:
     """The overlaps of positive length between intervals of the same key.  Intervals meet in stretches
-    of ``size`` (their mean length, if not given), a pair only in the first one that both touch."""
+    of ``size``, a pair only in the first one that both touch; about their usual length is best."""
     left, right = (d.select(*keys, "lo", "hi").where("hi > lo") for d in (left, right))
-    if size is None:
-        size = left.unionByName(right).agg(F.avg(F.col("hi") - F.col("lo"))).first()[0] or 1.0
     at = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))).alias("_s")
     other = right.select(*keys, F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).select("*", at("lo2", "hi2"))
     both = left.select("*", at("lo", "hi")).join(other, [*keys, "_s"]).where("lo < hi2 and lo2 < hi")

@@ -132,7 +132,7 @@ def complement_gaps(spark, sf):
 
 @query(f"with a as {_SIDES[0]}, b as {_SIDES[1]} select a.user_id, greatest(a.lo, b.lo) as lo, least(a.hi, b.hi) as hi from a join b on a.user_id = b.user_id and a.lo < b.hi and b.lo < a.hi")
 def intersect_intervals(spark, sf):
-    found = intervals.intersect(_spans(spark, sf, 0), _spans(spark, sf, 1), ["user_id"])
+    found = intervals.intersect(_spans(spark, sf, 0), _spans(spark, sf, 1), ["user_id"], 3600.0 * 6)
     return found.select("user_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 

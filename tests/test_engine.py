@@ -290,10 +290,10 @@ def test_intersections_and_bands_of_any_length_match_loops(spark):
     want = sorted((k, max(x, p), min(y, q)) for k, x, y in a for j, p, q in b if k == j and y > x and q > p and x < q and p < y)
     shape = "k int, lo double, hi double"
     left, right = spark.createDataFrame(a, shape), spark.createDataFrame(b, shape)
-    for size in (None, 0.7, 500.0):
+    for size in (3.0, 0.7, 500.0):
         assert sorted(map(tuple, intervals.intersect(left, right, ["k"], size).collect())) == want
     empty = left.limit(0)
-    assert intervals.intersect(empty, right, ["k"]).count() == 0
+    assert intervals.intersect(empty, right, ["k"], 1.0).count() == 0
     for low, high in ((60.0, 62.0), (-4.0, -4.0), (-0.1, 0.2)):
         got = sorted((r["k"], r["lo"], r["v"]) for r in joins.band_join(left.select("k", "lo"), right.select("k", F.col("lo").alias("v")), ["k"], "lo", "v", low, high).collect())
         assert got == sorted((k, x, p) for k, x, _ in a for j, p, _ in b if k == j and low <= p - x <= high)
