@@ -27,7 +27,7 @@ def test_stages_and_registry(spark, prose, tmp_path):
     assert kept == {i for i in range(260) if i % 4 > 0}
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == kept
-    assert set(registry.ORACLES) <= set(registry.QUERIES) and len(registry.QUERIES) == 10
+    assert set(registry.ORACLES) <= set(registry.QUERIES) and len(registry.QUERIES) == 13
 
 
 def common_cut(df, tmp_path):
