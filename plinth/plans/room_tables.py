@@ -72,7 +72,7 @@ def opening_strokes(openings: DataFrame, strokes: DataFrame, keys: list[str]) ->
     ``openings(key..., opening, ox, oy, ux, uy, width)``: middle, direction of the wall, width;
     ``strokes(key..., stroke, points)``.
     """
-    reach = math.hypot(ALONG, ACROSS) * F.col("width")
+    reach = (math.hypot(ALONG, ACROSS) + 1e-6) * F.col("width")  # a point in the very corner counts
     boxes = openings.withColumns({"x0": F.col("ox") - reach, "y0": F.col("oy") - reach, "x1": F.col("ox") + reach, "y1": F.col("oy") + reach})
     met = box_join(_vertices(strokes, keys), boxes, keys, CELL)
     dx, dy, w = F.col("px") - F.col("ox"), F.col("py") - F.col("oy"), F.col("width")

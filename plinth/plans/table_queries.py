@@ -216,13 +216,13 @@ def scale_priority(spark, sf):
     return found.select(F.col("plan_id").alias("p_partkey"), "source", milli(F.col("mm_per_pt")).alias("mm_milli"))
 
 
-_WINDOWS = """o as (select s_nationkey as plan, s_suppkey as opening, (s_suppkey * 37 % 1000)::double as ox, (s_suppkey * 91 % 1000)::double as oy, 30.0 + s_suppkey % 40 as w,
+_WINDOWS = """o as (select s_nationkey as plan, s_suppkey as opening, (s_suppkey * 37 % 1000)::double as ox, (s_suppkey * 91 % 1000)::double as oy, (30 + s_suppkey % 40)::double as w,
   [1.0, 0.0, -1.0, 0.0, 0.6][s_suppkey % 5 + 1] as ux, [0.0, 1.0, 0.0, -1.0, 0.8][s_suppkey % 5 + 1] as uy from supplier)"""
 
 
 @query(f"""with {_SEGS}, {_WINDOWS}, v as (select plan, seg, ax as px, ay as py, least(ax, ex) as x0, greatest(ax, ex) as x1, least(ay, ey) as y0, greatest(ay, ey) as y1 from s
    union all select plan, seg, ex, ey, least(ax, ex), greatest(ax, ex), least(ay, ey), greatest(ay, ey) from s)
-select distinct opening, seg as stroke from v join o on v.plan = o.plan and abs((px - ox) * ux + (py - oy) * uy) <= 1.4 * w and abs((py - oy) * ux - (px - ox) * uy) <= 1.5 * w
+select distinct opening, seg as stroke from v join o on v.plan = o.plan and abs((px - ox) * ux + (py - oy) * uy) <= 1.4::double * w and abs((py - oy) * ux - (px - ox) * uy) <= 1.5::double * w
  and x1 >= ox - 1.5 * w and x0 <= ox + 1.5 * w and y1 >= oy - 1.5 * w and y0 <= oy + 1.5 * w""")
 def opening_strokes(spark, sf):
     """Strokes of a nation's customers in the turned windows of its suppliers' openings."""
