@@ -32,13 +32,17 @@ def _folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder and read back, so that the lineage of an iteration ends."""
+    """``df`` written in the shared folder and read back, so that the lineage of an iteration ends.
+
+    Files say little about the rows that come of them (they are packed, and cells or ends are exploded
+    later), so what joins them is shuffled and never sent through the driver.
+    """
     spark = df.sparkSession
     path = f"{_folder(spark)}/plinth-rounds/{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -60,7 +60,7 @@ def crossings(segs: DataFrame, keys: list[str], size: float = CELL) -> DataFrame
     """(key..., one, two, x, y) of segments that meet in a point, ``one < two``.  A pair meets in
     every cell that both run through and is told in the cell that holds the point."""
     indexed = lambda p: _named(segs, keys, p).withColumn("_c", F.explode(run_cells(*_ends(p), size)))
-    both = indexed("p_").join(indexed("q_"), [*keys, "_c"]).where("p_seg < q_seg")
+    both = indexed("p_").hint("merge").join(indexed("q_"), [*keys, "_c"]).where("p_seg < q_seg")
     met = both.withColumn("_at", g.seg_intersection(*_ends("p_"), *_ends("q_"))).where("_at is not null")
     met = met.where(cell_of(F.col("_at.x"), F.col("_at.y"), size) == F.col("_c"))
     return met.select(*keys, F.col("p_seg").alias("one"), F.col("q_seg").alias("two"), "_at.x", "_at.y")
@@ -69,7 +69,7 @@ def crossings(segs: DataFrame, keys: list[str], size: float = CELL) -> DataFrame
 def touches(segs: DataFrame, points: DataFrame, keys: list[str], reach: float, size: float = CELL) -> DataFrame:
     """(key..., seg, t, px, py) of ``points(key..., px, py)`` at most ``reach`` from the line of a segment
     and beside its run; t is the foot's place, 0 to 1."""
-    spread = segs.withColumn("_c", F.explode(run_cells(*_ends(), size, reach + 1.0)))
+    spread = segs.hint("merge").withColumn("_c", F.explode(run_cells(*_ends(), size, reach + 1.0)))
     met = spread.join(points.select(*keys, "px", "py").distinct().withColumn("_c", cell_of(F.col("px"), F.col("py"), size)), [*keys, "_c"])
     t = g.project_param(F.col("px"), F.col("py"), *_ends())
     ax, ay, bx, by = _ends()
@@ -146,7 +146,7 @@ def faces_of(darts: DataFrame, keys: list[str]) -> DataFrame:
     last = F.last("dart").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     steps = about.select(*keys, F.col("dart").bitwiseXOR(F.lit(1).cast("long")).alias("node"), F.coalesce(F.lag("dart").over(turn), last).alias("next"))
     found = cycles(steps, keys).select(*keys, F.col("node").alias("dart"), F.col("cycle").alias("face"), "place")
-    return darts.join(found, [*keys, "dart"])
+    return darts.hint("merge").join(found, [*keys, "dart"])
 
 
 def face_areas(faced: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,7 +171,7 @@ def nearest_segment(points: DataFrame, segs: DataFrame, keys: list[str], size: f
     ``reach`` away for which ``fits`` holds, ties by ``by``; points without one don't appear.
     Columns of segments start with ``s_``."""
     named = segs.select(*keys, *[F.col(c).alias(f"s_{c}") for c in segs.columns if c not in keys])
-    spread = named.withColumn("_c", F.explode(run_cells(*_ends("s_"), size)))
+    spread = named.hint("merge").withColumn("_c", F.explode(run_cells(*_ends("s_"), size)))
     box = F.transform(F.sequence(F.floor((F.col("px") - F.col("reach")) / size), F.floor((F.col("px") + F.col("reach")) / size)), lambda i: F.transform(F.sequence(F.floor((F.col("py") - F.col("reach")) / size), F.floor((F.col("py") + F.col("reach")) / size)), lambda j: F.struct(i.alias("cx"), j.alias("cy"))))
     away = g.point_seg_distance(F.col("px"), F.col("py"), *_ends("s_"))
     met = points.withColumn("_c", F.explode(F.flatten(box))).join(spread, [*keys, "_c"]).withColumn("distance", away).where((F.col("distance") <= F.col("reach")) & fits)

@@ -38,7 +38,7 @@ def room_edges(faced: DataFrame, rooms: DataFrame, openings: DataFrame, keys: li
     whose dart it lies on.
     """
     across = faced.select(*keys, F.col("dart").bitwiseXOR(F.lit(1).cast("long")).alias("dart"), F.col("face").alias("other"))
-    outer = face_areas(faced, keys).where("area <= 0").select(*keys, F.col("face").alias("other"), F.lit(True).alias("outside"))
+    outer = face_areas(faced, keys).where("area <= 0").select(*keys, F.col("face").alias("other"), F.lit(True).alias("outside")).hint("merge")
     other = rooms.select(*keys, F.col("face").alias("other"), F.col("room").alias("b"))
     sides = faced.join(rooms.select(*keys, "face", F.col("room").alias("a")), [*keys, "face"]).join(across, [*keys, "dart"]).where("face <> other")
     sides = sides.join(other, [*keys, "other"], "left").join(outer, [*keys, "other"], "left")
@@ -46,11 +46,11 @@ def room_edges(faced: DataFrame, rooms: DataFrame, openings: DataFrame, keys: li
     sides = sides.where("(b is not null and a < b) or (b is null and outside)")
     met = Window.partitionBy(*keys, "a", "other")
     sides = sides.withColumn("first", F.min("place").over(met)).withColumn("shared_m", F.round(F.sum(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))).over(met) / 1000, 3))
-    on = sides.join(openings, [*keys, "seg"]).where(g.point_seg_distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= ON_DART)
+    on = sides.join(openings.hint("merge"), [*keys, "seg"]).where(g.point_seg_distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= ON_DART)
     once = best_per(on, [*keys, "via"], [F.asc("a"), F.asc("first"), F.asc("place")])
     through = once.select(*keys, "a", "b", "other", "kind", "via", "shared_m")
     pairs = sides.where("b is not null").select(*keys, "a", "b", "other", "shared_m").distinct()
-    walls = pairs.join(through.select(*keys, "a", "other"), [*keys, "a", "other"], "left_anti").select(*keys, "a", "b", "other", F.lit("wall").alias("kind"), F.lit(None).cast(dict(openings.dtypes)["via"]).alias("via"), "shared_m")
+    walls = pairs.hint("merge").join(through.select(*keys, "a", "other"), [*keys, "a", "other"], "left_anti").select(*keys, "a", "b", "other", F.lit("wall").alias("kind"), F.lit(None).cast(dict(openings.dtypes)["via"]).alias("via"), "shared_m")
     return through.unionByName(walls).drop("other")
 
 

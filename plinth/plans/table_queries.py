@@ -258,7 +258,7 @@ def room_openings(spark, sf):
     each room in one long wall and doors in the other, each counted once."""
     rooms = strips.strips(_t(spark, sf, "part").withColumn("_key", F.col("p_partkey")))
     key = F.col("plan_id").cast("long") * 4 + F.col("k")
-    sized = rooms.withColumn("key", key).join(_t(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_size"), "key").select(F.col("plan_id").alias("plan"), "k", "key", "x0", "x1", "last", "p_size")
+    sized = rooms.withColumn("key", key).join(_t(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_size").hint("merge"), "key").select(F.col("plan_id").alias("plan"), "k", "key", "x0", "x1", "last", "p_size")
     ends = sized.groupBy("plan").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
     row = lambda seg, *xy: F.struct(F.lit(seg).cast("long").alias("seg"), _segment(*xy).alias("s"))
     long_walls = ends.select("plan", F.explode(F.array(row(1, F.col("lo"), 0, F.col("hi"), 0), row(2, F.col("lo"), 4000, F.col("hi"), 4000), row(3, F.col("lo"), 0, F.col("lo"), 4000))).alias("w"))

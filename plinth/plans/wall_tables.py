@@ -68,7 +68,7 @@ def wall_pairs(segs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     found = found.withColumn("wall", F.struct(F.col("p_line").alias("one"), F.col("q_line").alias("two"))).withColumns({"from": F.least("p_from", "q_from"), "to": F.greatest("p_to", "q_to")})
     found = settled(found.where((F.col("to") - F.col("from") >= MIN_LENGTH) & (shorter >= g.EPS)))
     name = [*keys, "wall"]
-    side = lambda p: found.select(*name, F.col(f"{p}_line").alias("line")).join(cover, [*keys, "line"]).drop("line")
+    side = lambda p: found.select(*name, F.col(f"{p}_line").alias("line")).join(cover, [*keys, "line"]).drop("line").hint("merge")
     both = settled(intervals.intersect(side("p"), side("q"), name, STRETCH))
     solid = both.groupBy(*name).agg(F.sum(F.col("hi") - F.col("lo")).alias("solid"))
     kept = settled(found.join(solid, name).where(F.col("solid") >= MIN_SHARED * shorter))
@@ -128,18 +128,18 @@ def free_ends(walls: DataFrame, keys: list[str], tol: float = FREE_TOL, size: fl
     the direction out of the wall there."""
     sided = _sides(walls, keys, "")
     ends = sided.select(*keys, "wall", F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("ax").alias("px"), F.col("ay").alias("py"), (-F.col("ux")).alias("ux"), (-F.col("uy")).alias("uy")), F.struct(F.lit("b").alias("end"), F.col("bx").alias("px"), F.col("by").alias("py"), "ux", "uy"))).alias("e")).select(*keys, "wall", "e.*")
-    spread = walls.select(*keys, F.col("wall").alias("o_wall"), *[F.col(c).alias(f"o_{c}") for c in ("ax", "ay", "bx", "by")])
+    spread = walls.hint("merge").select(*keys, F.col("wall").alias("o_wall"), *[F.col(c).alias(f"o_{c}") for c in ("ax", "ay", "bx", "by")])
     spread = spread.withColumn("_c", F.explode(run_cells(*[F.col(f"o_{c}") for c in ("ax", "ay", "bx", "by")], size, tol + 1.0)))
     met = ends.withColumn("_c", cell_of(F.col("px"), F.col("py"), size)).join(spread, [*keys, "_c"]).where("wall <> o_wall")
     joined = met.where(g.point_seg_distance(F.col("px"), F.col("py"), *[F.col(f"o_{c}") for c in ("ax", "ay", "bx", "by")]) <= tol)
-    return ends.join(joined.select(*keys, "wall", "end"), [*keys, "wall", "end"], "left_anti")
+    return ends.hint("merge").join(joined.select(*keys, "wall", "end"), [*keys, "wall", "end"], "left_anti")
 
 
 def corners(free: DataFrame, keys: list[str]) -> DataFrame:
     """(key..., one, two, total, legs..., x, y): pairs of free ends whose extensions meet at a corner;
     ``one`` and ``two`` are structs of wall and end."""
     size = 2 * MAX_LEG
-    name = lambda p: free.select(*keys, F.struct("wall", "end").alias(f"{p}end"), *[F.col(c).alias(p + c) for c in ("px", "py", "ux", "uy")])
+    name = lambda p: free.hint("merge").select(*keys, F.struct("wall", "end").alias(f"{p}end"), *[F.col(c).alias(p + c) for c in ("px", "py", "ux", "uy")])
     around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.floor(F.col("i_px") / size) + i).alias("cx"), (F.floor(F.col("i_py") / size) + j).alias("cy"))))))
     met = name("i_").withColumn("_c", around).join(name("j_").withColumn("_c", cell_of(F.col("j_px"), F.col("j_py"), size)), [*keys, "_c"])
     met = met.where((F.col("i_end") < F.col("j_end")) & (F.col("i_end.wall") != F.col("j_end.wall")))
@@ -156,7 +156,7 @@ def bridge_corners(walls: DataFrame, openings: DataFrame, keys: list[str]) -> tu
     """Walls extended to the corners that pairs of their free ends miss, shortest extension first and each
     end once, with ``source``; openings with ``bridged``: moved where end a moved, and those of the
     extensions."""
-    taken = settled(match(settled(corners(free_ends(walls, keys), keys)), keys, ["total", "one", "two"]))
+    taken = settled(match(settled(corners(settled(free_ends(walls, keys)), keys)), keys, ["total", "one", "two"]))
     side = lambda k: taken.select(*keys, F.col(f"{k}.wall").alias("wall"), F.col(f"{k}.end").alias("end"), F.col(f"leg_{k}").alias("leg"), "x", "y")
     moved = settled(side("one").unionByName(side("two")))
     at = lambda e: moved.where(F.col("end") == e).select(*keys, "wall", F.col("leg").alias(f"leg_{e}"), F.col("x").alias(f"{e}_x"), F.col("y").alias(f"{e}_y"))
