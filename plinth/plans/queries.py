@@ -155,7 +155,7 @@ def sessions_by_gap(spark, sf):
     return intervals.sessions(e, ["user_id"], "v", 86400.0).groupBy("user_id").agg(F.max("session").cast("bigint").alias("sessions"))
 
 
-@query("""with o as (select o_custkey, o_totalprice as v from orders), n as (select a.o_custkey, a.v, count(*) as c from o a join o b on a.o_custkey = b.o_custkey and abs(b.v - a.v) <= 0.25 * a.v + 1e-9 group by all),
+@query("""with o as (select o_custkey, o_totalprice as v from orders), n as (select a.o_custkey, a.v, count(*) as c from (select distinct o_custkey, v from o) a join o b on a.o_custkey = b.o_custkey and abs(b.v - a.v) <= 0.25 * a.v + 1e-9 group by all),
  d as (select o_custkey, v, c, row_number() over (partition by o_custkey order by c desc, v) as r from n)
 select d.o_custkey, floor(median(o.v) * 1000 + 0.5)::bigint as mode_milli, any_value(d.c)::bigint as support from d join o on d.o_custkey = o.o_custkey and abs(o.v - d.v) <= 0.25 * d.v + 1e-9 where d.r = 1 group by d.o_custkey""")
 def mode_cluster(spark, sf):

@@ -34,3 +34,16 @@ def test_cells_of_segments_are_never_broadcast(points):
     walls = segs.withColumnRenamed("seg", "wall").withColumn("thickness", F.lit(100.0))
     free = wall_tables.free_ends(walls, ["plan"])
     assert "Broadcast" not in _plan(free) and "Broadcast" not in _plan(wall_tables.corners(free, ["plan"]))
+
+
+def test_mode_cluster_counts_repeated_values_once_each(spark, tmp_path):
+    """Support is the number of values about one of them, however many rows share that one."""
+    import duckdb
+
+    from plinth.plans import queries
+
+    spark.createDataFrame([(1, 100.0)] * 3 + [(1, 110.0)] * 2 + [(1, 500.0), (2, 7.0)], "o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    found = {tuple(r) for r in queries.QUERIES["mode_cluster"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert found == {(1, 100000, 5), (2, 7000, 1)} == set(con.execute(queries.ORACLES["mode_cluster"]).fetchall())
