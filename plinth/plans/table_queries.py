@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import geometry as g
-from plinth.operators import joins, rounds, segments
+from plinth.operators import rounds, segments
 from plinth.plans import room_tables, scale_tables, strips, wall_tables
 from plinth.plans.queries import _spots, _t, milli, query
 from plinth.symbols import chains, detectors
@@ -138,11 +138,17 @@ def peel_edges(spark, sf):
    from w join p on p.plan = w.plan and p.k = w.k + 1)
 select unnest(arg_max(l, k)).id as p_partkey from w group by plan""")
 def greedy_suppression(spark, sf):
-    """Parts of a brand, dearest first, without those near a kept one in size and price."""
-    p = _t(spark, sf, "part").select(F.col("p_brand").alias("plan"), F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
-    named = lambda s: p.select("plan", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "price")])
-    met = joins.band_join(named("w"), named("k"), PLAN, "w_price", "k_price", 0.0, 40.0).where("abs(k_size - w_size) <= 6 and (k_price > w_price or k_id < w_id)")
-    return rounds.suppress(p, met.select("plan", F.col("k_id").alias("strong"), F.col("w_id").alias("weak")), PLAN, "id").select(F.col("id").alias("p_partkey"))
+    """Parts of a brand, dearest first, without those near a kept one in size and price.
+
+    Parts of seven sizes and a band of prices are all near each other, so each such cell keeps one at
+    most and crowds form no pairs.  The band is a little narrower than the reach, so that a rounded
+    difference can't put two of one cell out of it; what is in reach is then at most two cells away.
+    """
+    price, size = F.col("p_retailprice").cast("double"), F.col("p_size")
+    cell = F.struct(F.floor(size / 7).alias("cx"), F.floor(price / 39.9).alias("cy"))
+    p = _t(spark, sf, "part").select(F.col("p_brand").alias("plan"), F.struct((-price).alias("price"), "p_partkey").alias("seq"), cell.alias("cell"), size.cast("double").alias("x"), price.alias("y"))
+    near = lambda a, b: (F.abs(F.col(f"{a}x") - F.col(f"{b}x")) <= 6) & (F.col(f"{a}y") - F.col(f"{b}y") <= 40)
+    return rounds.elect(p, PLAN, near, 2).select(F.col("seq.p_partkey").alias("p_partkey"))
 
 
 @query("""with w as (select p_partkey, 3000 + p_size * 100 as len, 100 + 10 * (p_partkey % 20) as thick, 100 * (p_partkey % 9) as a, 400 * (p_partkey % 4) as b from part)

@@ -47,3 +47,19 @@ def test_mode_cluster_counts_repeated_values_once_each(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     assert found == {(1, 100000, 5), (2, 7000, 1)} == set(con.execute(queries.ORACLES["mode_cluster"]).fetchall())
+
+
+def test_greedy_suppression_forms_no_pairs_in_a_crowd(spark, tmp_path, monkeypatch):
+    from plinth.plans import table_queries
+
+    def pairs(*_):
+        raise AssertionError("pairs of a crowd")
+
+    monkeypatch.setattr(rounds, "suppress", pairs)
+    parts = [(i, "B", i * 7 % 50, round(900 + i * 137 % 400 * 0.5, 2)) for i in range(400)] + [(i, "B", 9, 1000.0) for i in range(400, 460)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    kept = []
+    for i, _, size, price in sorted(parts, key=lambda r: (-r[3], r[0])):
+        if not any(abs(s - size) <= 6 and p - price <= 40 for _, s, p in kept):
+            kept.append((i, size, price))
+    assert {r[0] for r in table_queries.greedy_suppression(spark, str(tmp_path)).collect()} == {k[0] for k in kept}
