@@ -65,16 +65,17 @@ def _vertices(strokes: DataFrame, keys: list[str]) -> DataFrame:
     return boxed.select(*keys, "stroke", "n", "box", F.explode("points").alias("p")).select(*keys, "stroke", "n", "box", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
 
 
-def opening_strokes(openings: DataFrame, strokes: DataFrame, keys: list[str]) -> DataFrame:
+def opening_strokes(openings: DataFrame, strokes: DataFrame, keys: list[str], size: float = CELL) -> DataFrame:
     """(key..., opening, stroke): strokes with a point in the window of an opening, which is turned with
     its wall.
 
     ``openings(key..., opening, ox, oy, ux, uy, width)``: middle, direction of the wall, width;
-    ``strokes(key..., stroke, points)``.
+    ``strokes(key..., stroke, points)``.  Points meet windows in cells of ``size``; about a window's
+    own size is best where both are crowded.
     """
     reach = (math.hypot(ALONG, ACROSS) + 1e-6) * F.col("width")  # a point in the very corner counts
     boxes = openings.withColumns({"x0": F.col("ox") - reach, "y0": F.col("oy") - reach, "x1": F.col("ox") + reach, "y1": F.col("oy") + reach})
-    met = box_join(_vertices(strokes, keys), boxes, keys, CELL)
+    met = box_join(_vertices(strokes, keys).hint("merge"), boxes, keys, size)
     dx, dy, w = F.col("px") - F.col("ox"), F.col("py") - F.col("oy"), F.col("width")
     inside = (F.abs(dx * F.col("ux") + dy * F.col("uy")) <= ALONG * w) & (F.abs(dy * F.col("ux") - dx * F.col("uy")) <= ACROSS * w)
     # the stroke's own box must come near in both axes too
@@ -83,12 +84,12 @@ def opening_strokes(openings: DataFrame, strokes: DataFrame, keys: list[str]) ->
     return met.where(inside & near).select(*keys, "opening", "stroke").distinct()
 
 
-def stroke_rooms(strokes: DataFrame, rooms: DataFrame, keys: list[str]) -> DataFrame:
+def stroke_rooms(strokes: DataFrame, rooms: DataFrame, keys: list[str], size: float = CELL) -> DataFrame:
     """(key..., stroke, room, inside): the room that holds most points of a stroke (ties: the first), if it
-    holds half of them.  ``rooms(key..., room, ring)``."""
+    holds half of them.  ``rooms(key..., room, ring)``; points meet rooms in cells of ``size``."""
     box = g.bbox(F.col("ring"))
     boxes = rooms.select(*keys, "room", "ring", box["x0"].alias("x0"), box["y0"].alias("y0"), box["x1"].alias("x1"), box["y1"].alias("y1"))
-    met = box_join(_vertices(strokes, keys), boxes, keys, CELL).where(g.point_in_polygon(F.col("px"), F.col("py"), F.col("ring")))
+    met = box_join(_vertices(strokes, keys).hint("merge"), boxes, keys, size).where(g.point_in_polygon(F.col("px"), F.col("py"), F.col("ring")))
     counts = met.groupBy(*keys, "stroke", "room").agg(F.count("*").alias("inside"), F.first("n").alias("n"))
     best = best_per(counts, [*keys, "stroke"], [F.desc("inside"), F.asc("room")])
     return best.where(F.col("inside") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))).select(*keys, "stroke", "room", "inside")

@@ -236,7 +236,7 @@ def opening_strokes(spark, sf):
     way = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % 5 + 1).cast("int"))
     o = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("plan"), k.alias("opening"), (k * 37 % 1000).cast("double").alias("ox"), (k * 91 % 1000).cast("double").alias("oy"), (30.0 + k % 40).alias("width"), way([1.0, 0.0, -1.0, 0.0, 0.6]).alias("ux"), way([0.0, 1.0, 0.0, -1.0, 0.8]).alias("uy"))
     strokes = _crossed(spark, sf).select("plan", F.col("seg").alias("stroke"), F.array(g.point(F.col("ax"), F.col("ay")), g.point(F.col("bx"), F.col("by"))).alias("points"))
-    return room_tables.opening_strokes(o, strokes, PLAN).select("opening", "stroke")
+    return room_tables.opening_strokes(o, strokes, PLAN, 50.0).select("opening", "stroke")
 
 
 @query(f"""with {_SEGS}, r as (select s_nationkey as plan, s_suppkey as room, s_suppkey * 37 % 800 + 0.25 as x0, s_suppkey * 91 % 800 + 0.25 as y0, s_suppkey * 37 % 800 + 100.25 + s_suppkey % 7 * 50 as x1, s_suppkey * 91 % 800 + 300.25 as y1 from supplier),
@@ -252,7 +252,7 @@ def stroke_owners(spark, sf):
     rooms = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("plan"), k.alias("room"), ring.alias("ring"))
     mid = g.point((F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2)
     strokes = _crossed(spark, sf).select("plan", F.col("seg").alias("stroke"), F.array(g.point(F.col("ax"), F.col("ay")), mid, g.point(F.col("bx"), F.col("by"))).alias("points"))
-    return room_tables.stroke_rooms(strokes, rooms, PLAN).select("stroke", "room", "inside")
+    return room_tables.stroke_rooms(strokes, rooms, PLAN, 50.0).select("stroke", "room", "inside")
 
 
 @query("""with s as (select p_partkey // 4 as plan, p_partkey % 4 as k, p_partkey, p_size, row_number() over (partition by p_partkey // 4 order by p_partkey) as a, count(*) over (partition by p_partkey // 4) as n from part),

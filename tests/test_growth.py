@@ -63,3 +63,18 @@ def test_greedy_suppression_forms_no_pairs_in_a_crowd(spark, tmp_path, monkeypat
         if not any(abs(s - size) <= 6 and p - price <= 40 for _, s, p in kept):
             kept.append((i, size, price))
     assert {r[0] for r in table_queries.greedy_suppression(spark, str(tmp_path)).collect()} == {k[0] for k in kept}
+
+
+def test_strokes_meet_windows_and_rooms_in_cells_of_the_asked_size(points):
+    """In cells of their own size points meet few windows; the size changes no result."""
+    from plinth.functions import geometry as g
+    from plinth.plans import room_tables
+
+    at = lambda x, y: g.point(F.col("x") + x, F.col("y") + y)
+    strokes = points.select("plan", F.col("id").alias("stroke"), F.array(at(0, 0), at(3, 2)).alias("points"))
+    openings = points.where("id % 5 = 0").select("plan", F.col("id").alias("opening"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.lit(0.6).alias("ux"), F.lit(0.8).alias("uy"), F.lit(4.0).alias("width"))
+    owners = points.where("id % 9 = 0").select("plan", F.col("id").alias("room"), F.array(at(-9.5, -9.5), at(9.5, -9.5), at(9.5, 9.5), at(-9.5, 9.5)).alias("ring"))
+    told = lambda df: sorted(map(tuple, df.collect()))
+    for operator, other in ((room_tables.opening_strokes, (openings, strokes)), (room_tables.stroke_rooms, (strokes, owners))):
+        fine = operator(*other, ["plan"], 5.0)
+        assert told(fine) == told(operator(*other, ["plan"])) and "Broadcast" not in _plan(fine)
