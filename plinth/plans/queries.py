@@ -34,6 +34,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are few bytes and much work, dealt out anew: split by its size it would leave
+    most cores idle."""
+    return _t(spark, sf, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def milli(c: Column) -> Column:
     """Thousandths as a whole number, the same on both sides of a comparison."""
     return F.floor(c * 1000 + 0.5).cast("bigint")
@@ -213,7 +219,7 @@ def text_owner(spark, sf):
 def polygon_measures(spark, sf):
     s = F.col("p_size").cast("double")
     ring = F.array(*[F.struct(x.alias("x"), F.lit(y).alias("y")) for x, y in ((F.lit(0.0), 0.0), (s, 0.0), (s, 2.0), (F.lit(0.0), 2.0))])
-    p = _t(spark, sf, "part").select("p_partkey", ring.alias("ring"))
+    p = _dealt(spark, sf, "part", "p_partkey").select("p_partkey", ring.alias("ring"))
     c, e = g.polygon_centroid(F.col("ring")), g.oriented_extent(F.col("ring"))
     return p.select("p_partkey", milli(g.polygon_perimeter(F.col("ring"))).alias("perimeter_milli"), milli(g.polygon_area(F.col("ring"))).alias("area_milli"), milli(c["x"]).alias("cx_milli"), milli(c["y"]).alias("cy_milli"), milli(e["long"]).alias("long_milli"), milli(e["short"]).alias("short_milli"))
 
@@ -380,8 +386,8 @@ def export_files(spark, sf):
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    files = sheets.sheets(_t(spark, sf, "part"))
-    return reader.decode(files.repartition(spark.sparkContext.defaultParallelism))
+    files = sheets.sheets(_dealt(spark, sf, "part", "p_partkey"))
+    return reader.decode(files)
 
 
 # sums of a shape's n points on the page that is turned back

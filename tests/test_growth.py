@@ -78,3 +78,21 @@ def test_strokes_meet_windows_and_rooms_in_cells_of_the_asked_size(points):
     for operator, other in ((room_tables.opening_strokes, (openings, strokes)), (room_tables.stroke_rooms, (strokes, owners))):
         fine = operator(*other, ["plan"], 5.0)
         assert told(fine) == told(operator(*other, ["plan"])) and "Broadcast" not in _plan(fine)
+
+
+def test_decoded_pages_are_given_back_in_small_frames():
+    import pandas as pd
+
+    from plinth.sources import reader
+
+    files = pd.DataFrame({"path": [str(i) for i in range(200)], "content": [b"no drawing"] * 200})
+    sizes = [len(f) for f in reader._decode(0)(iter([files]))]
+    assert sum(sizes) == 200 and max(sizes) <= 64
+
+
+def test_heavy_rows_of_a_small_file_are_dealt_out(spark, tmp_path):
+    from plinth.plans import queries
+
+    spark.range(50).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("polygon_measures", "decode_texts", "decode_pages", "decode_primitives"):
+        assert "REPARTITION_BY_NUM" in _plan(queries.QUERIES[name](spark, str(tmp_path))), name
