@@ -21,11 +21,15 @@ def _typed(columns: str) -> str:
 PAGE = PAGE.format(_typed(PRIMITIVE), _typed(TEXT))
 
 
+#: Decoded pages that are held before they are given back.
+PAGES_HELD = 64
+
+
 def _decode(page: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from plinth.sources.pdf import DEFAULT_BOX, decode_page
 
-        for rows in batches:
+        for rows in (batch.iloc[at : at + PAGES_HELD] for batch in batches for at in range(0, len(batch), PAGES_HELD)):
             out = []
             for path, content in zip(rows["path"], rows["content"], strict=True):
                 error, box, primitives, texts = None, DEFAULT_BOX, [], []
