@@ -174,7 +174,7 @@ def band_join(spark, sf):
     p = _t(spark, sf, "part")
     left = p.select("p_brand", F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("va"))
     right = p.select("p_brand", F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("vb"))
-    return joins.band_join(left, right, ["p_brand"], "va", "vb", 60.0, 62.0).where("a <> b").select("a", "b")
+    return joins.band_join(left.hint("merge"), right, ["p_brand"], "va", "vb", 60.0, 62.0).where("a <> b").select("a", "b")
 
 
 _XY = "select c_custkey as id, c_nationkey as n, (c_custkey * 37 % 1000)::double as x, (c_custkey * 91 % 1000)::double as y from customer"

@@ -96,3 +96,10 @@ def test_heavy_rows_of_a_small_file_are_dealt_out(spark, tmp_path):
     spark.range(50).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     for name in ("polygon_measures", "decode_texts", "decode_pages", "decode_primitives"):
         assert "REPARTITION_BY_NUM" in _plan(queries.QUERIES[name](spark, str(tmp_path))), name
+
+
+def test_band_join_of_two_growing_sides_is_shuffled(spark, tmp_path):
+    from plinth.plans import queries
+
+    spark.range(50).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.col("id").cast("double").alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
+    assert "Broadcast" not in _plan(queries.QUERIES["band_join"](spark, str(tmp_path)))
