@@ -85,8 +85,11 @@ def door_sliding(c: OpeningContext) -> Match | None:
 def facet_chain(c: OpeningContext, least: float, most: int, snap: float = 40.0) -> list[Seg] | None:
     """The first chain of facets from jamb to jamb: ends weld within ``snap``, ways are tried in
     the order in which nodes were met."""
-    weld = Weld(snap)
     drawn = [(a, b) for pts in c.strokes for a, b in pairwise(pts) if abs(b - a) >= least]
+    reach = max(0.28 * c.width, snap)
+    if any(all(abs(p - j) > reach for s in drawn for p in s) for j in c.jambs):  # nodes are ends of facets
+        return None
+    weld = Weld(snap)
     joined = [(weld(a), weld(b)) for a, b in drawn]
     nodes, ways = weld.points, {}
     for u, v in joined + [(v, u) for u, v in joined]:
@@ -95,7 +98,6 @@ def facet_chain(c: OpeningContext, least: float, most: int, snap: float = 40.0)
     if not nodes:
         return None
     start, goal = (min(range(len(nodes)), key=lambda i: abs(nodes[i] - j)) for j in c.jambs)
-    reach = max(0.28 * c.width, snap)
     if start == goal or any(abs(nodes[i] - j) > reach for i, j in zip((start, goal), c.jambs, strict=True)):
         return None
     todo = [[start]]
