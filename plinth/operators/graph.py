@@ -14,8 +14,8 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     Labels move along edges and then jump to the label of their label, so a chain of n nodes
     takes about log n rounds.
     """
-    both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = settled(both)
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = settled(edges.select(*keys, F.inline(F.array(way("a", "b"), way("b", "a")))).distinct())
     labels = settled(nodes.select(*keys, "node").distinct().withColumn("component", F.col("node")))
     while True:
         near = both.join(labels.select(*keys, F.col("node").alias("b"), F.col("component").alias("other")), [*keys, "b"])
@@ -40,7 +40,9 @@ def neighbours(edges: DataFrame, keys: list[str], walkable_only: bool = True) ->
     """(key..., room, neighbour), one row for each edge and direction; walls are not walkable."""
     inner = edges.where("not exterior")
     inner = inner.where("kind <> 'wall'") if walkable_only else inner
-    return inner.select(*keys, F.col("a").alias("room"), F.col("b").alias("neighbour")).unionByName(inner.select(*keys, F.col("b").alias("room"), F.col("a").alias("neighbour")))
+    # both directions of a row, not of the table, which would be computed twice
+    way = lambda a, b: F.struct(F.col(a).alias("room"), F.col(b).alias("neighbour"))
+    return inner.select(*keys, F.inline(F.array(way("a", "b"), way("b", "a"))))
 
 
 def entrances(edges: DataFrame) -> DataFrame:

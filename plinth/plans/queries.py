@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plinth.functions import geometry as g
 from plinth.functions import text as tx
 from plinth.operators import graph, intervals, joins
+from plinth.operators.rounds import settled
 from plinth.plans import extract as ex
 from plinth.plans import sheets, strips
 from plinth.sources import reader
@@ -85,8 +86,9 @@ def room_graph_edges(spark, sf):
 
 @query(_STRIP + "select plan::varchar as plan_id, coalesce(bool_and(door) filter (where k < top), true) as connected from s group by plan")
 def graph_connected(spark, sf):
-    models = _models(spark, sf)
-    nodes = ex.child(models, "rooms").select("plan_id", F.col("id").alias("node"))
+    # written, since both sides read it and plans would be extracted twice
+    models = settled(_models(spark, sf).select("plan_id", F.col("rooms.id").alias("nodes"), "edges"))
+    nodes = models.select("plan_id", F.explode("nodes").alias("node"))
     edges = ex.child(models, "edges").where("not exterior and kind <> 'wall'")
     return graph.connected(nodes, edges, ["plan_id"])
 

@@ -10,3 +10,32 @@ def test_room_detectors_share_the_measures_of_strokes(monkeypatch):
     ring = [0j, 1600 + 0j, 1600 + 1400j, 1400j, 0j]
     room = RoomContext([ring, [0j, 1600 + 1400j], [1400j, 1600 + 0j]])
     assert any(s.id == "lift" for s, _ in all_matches(room, "room")) and len(seen) == 1
+
+
+def _parts(spark, tmp_path, n=12):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size"))
+    rows.write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_plans_are_extracted_once_for_a_graph(spark, tmp_path, monkeypatch):
+    from plinth.plans import extract, queries
+
+    tried = spark.sparkContext.accumulator(0)
+
+    def counted(*given, make=extract._extract):
+        def run(batches):
+            for rows in make(*given)(batches):
+                tried.add(len(rows))
+                yield rows
+
+        return run
+
+    monkeypatch.setattr(extract, "_extract", counted)
+    where = _parts(spark, tmp_path)
+    for name in ("graph_connected", "walkable_neighbours"):
+        before = tried.value
+        assert queries.QUERIES[name](spark, where).count() > 0
+        assert tried.value - before == 3, name
