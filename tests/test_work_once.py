@@ -39,3 +39,32 @@ def test_plans_are_extracted_once_for_a_graph(spark, tmp_path, monkeypatch):
         before = tried.value
         assert queries.QUERIES[name](spark, where).count() > 0
         assert tried.value - before == 3, name
+
+
+def test_frames_share_covers_and_flat_parts_are_one_step(monkeypatch):
+    import numpy as np
+
+    from plinth.sinks import raster
+
+    made = []
+    monkeypatch.setattr(raster.Canvas, "_polygon", lambda self, shape, make=raster.Canvas._polygon: made.append(1) or make(self, shape))
+    covers: dict = {}
+    for colour in ((1, 2, 3), (4, 5, 6)):
+        c = raster.Canvas(20, 20, covers=covers)
+        c.polygon([(2, 2), (15, 2), (15, 15), (2, 15)], colour)
+        assert (c.pixels[2:15, 2:15] == colour).all() and (c.pixels[15:] == raster.PAPER).all()
+    assert len(made) == 1
+    flat = np.repeat(np.array([0, 1, 2, 1, 0, 3], np.uint8), [500, 7, 1, 90, 4000, 2])
+    read, data, width, table, last = [], int.from_bytes(raster.lzw(flat.tobytes(), 2), "little"), 3, [], b""
+    while (code := data & ((1 << width) - 1)) != 5:
+        data >>= width
+        if code == 4:
+            table, width, last = [bytes([i]) for i in range(4)] + [b"", b""], 3, b""
+            continue
+        now = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + now[:1])
+        width += len(table) == (1 << width) - 0 and width < 12
+        read.append(now)
+        last = now
+    assert b"".join(read) == flat.tobytes()
