@@ -6,6 +6,8 @@ stands for the order in which a loop would see the segments.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,12 +168,40 @@ def rings(faced: DataFrame, keys: list[str]) -> DataFrame:
     return corners.select(*keys, "face", F.transform("_r", lambda c: c["p"]).alias("ring"))
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, keys: list[str], size: float, fits: Column, by: list[Column]) -> DataFrame:
+def spacing(segs: DataFrame, keys: list[str]) -> float | None:
+    """Side of the square that each segment would have to itself, over all keys; None without segments."""
+    low, high = (F.min(F.least("ax", "bx")), F.min(F.least("ay", "by"))), (F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by")))
+    each = segs.groupBy(*keys).agg(F.count("*").alias("n"), ((high[0] - low[0]) * (high[1] - low[1])).alias("area"))
+    return each.agg(F.sqrt(F.sum("area") / F.sum("n"))).collect()[0][0]
+
+
+def nearest_segment(points: DataFrame, segs: DataFrame, keys: list[str], size: float, fits: Column, by: list[Column], first: float | None = None) -> DataFrame:
     """``points(key..., point, px, py, reach, ...)`` with the nearest segment at most their own
     ``reach`` away for which ``fits`` holds, ties by ``by``; points without one don't appear.
-    Columns of segments start with ``s_``."""
+    Columns of segments start with ``s_``; ``point`` is unique within a key.
+
+    In a crowd of segments nearly all within reach are much farther than the nearest.  With ``first``
+    (see :func:`spacing`) points look that far, and those that find none four times as far, up
+    to their reach: whatever is nearer than a reach lies within it, so the results are the same.
+    """
+    if not first or first >= size:
+        return _nearest_within(points, segs, keys, size, fits, by)
+    left, segs, found, far = settled(points), settled(segs), [], first
+    while (most := left.agg(F.max("reach")).collect()[0][0]) is not None:
+        whole = far >= most
+        looked = left if whole else left.withColumn("_whole", F.col("reach")).withColumn("reach", F.least("reach", F.lit(far)))
+        near = settled(_nearest_within(looked, segs, keys, min(size, far), fits, by))
+        found.append(near if whole else near.withColumn("reach", F.col("_whole")).drop("_whole"))
+        if whole:
+            break
+        left = settled(left.join(near.select(*keys, "point"), [*keys, "point"], "left_anti").where(F.col("reach") > far))
+        far *= 4
+    return reduce(DataFrame.unionByName, found) if found else _nearest_within(points, segs, keys, size, fits, by)
+
+
+def _nearest_within(points: DataFrame, segs: DataFrame, keys: list[str], size: float, fits: Column, by: list[Column]) -> DataFrame:
     named = segs.select(*keys, *[F.col(c).alias(f"s_{c}") for c in segs.columns if c not in keys])
-    spread = named.hint("merge").withColumn("_c", F.explode(run_cells(*_ends("s_"), size)))
+    spread = named.hint("merge").withColumn("_c", F.explode(run_cells(*_ends("s_"), size, min(1.0, size / 100))))
     box = F.transform(F.sequence(F.floor((F.col("px") - F.col("reach")) / size), F.floor((F.col("px") + F.col("reach")) / size)), lambda i: F.transform(F.sequence(F.floor((F.col("py") - F.col("reach")) / size), F.floor((F.col("py") + F.col("reach")) / size)), lambda j: F.struct(i.alias("cx"), j.alias("cy"))))
     away = g.point_seg_distance(F.col("px"), F.col("py"), *_ends("s_"))
     met = points.withColumn("_c", F.explode(F.flatten(box))).join(spread, [*keys, "_c"]).withColumn("distance", away).where((F.col("distance") <= F.col("reach")) & fits)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plinth.functions import geometry as g
 from plinth.operators import rounds, segments
 from plinth.plans import room_tables, scale_tables, strips, wall_tables
-from plinth.plans.queries import _spots, _t, milli, query
+from plinth.plans.queries import _dealt, _spots, _t, milli, query
 from plinth.symbols import chains, detectors
 
 PLAN = ["plan"]
@@ -199,7 +199,8 @@ def nearest_segments(spark, sf):
     key = F.col("id")
     points = _spots(spark, sf).select(F.col("n").alias("plan"), key.alias("point"), (F.col("x") + 3.3).alias("px"), (F.col("y") + 1.7).alias("py"), (20.0 + key % 50).alias("reach"))
     fits = (F.hypot(F.col("s_bx") - F.col("s_ax"), F.col("s_by") - F.col("s_ay")) >= 30) & (F.col("s_seg") != F.col("point"))
-    found = segments.nearest_segment(points, _crossed(spark, sf), PLAN, 60.0, fits, [F.col("s_seg")])
+    lines = _crossed(spark, sf)
+    found = segments.nearest_segment(points, lines, PLAN, 60.0, fits, [F.col("s_seg")], segments.spacing(lines, PLAN))
     return found.select(F.col("point").alias("id"), F.col("s_seg").alias("seg"), milli(F.col("distance")).alias("d_milli"))
 
 
@@ -209,7 +210,7 @@ def scale_priority(spark, sf):
     """The scale of a sheet of each part: an argument (one in eleven can't be read), a dimension beside its
     line with others farther off and across it, a title, the arc of a door, or none."""
     s = F.col("p_size")
-    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("plan_id"), "p_size")
+    part = _dealt(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("plan_id"), "p_size")
     plans = part.select("plan_id", F.when(s % 5 == 0, F.when(s % 11 == 0, "1 to 50").otherwise(F.concat(F.lit("1 : "), 20 + s))).alias("explicit"))
     line = lambda *xy: F.array(g.point(_d(xy[0]), _d(xy[1])), g.point(_d(xy[2]), _d(xy[3])))
     quarter = g.arc_points(F.lit(300.0), F.lit(300.0), (18 + s % 5).cast("double"), F.lit(0.0), F.lit(1.5707963267948966))
@@ -307,7 +308,7 @@ def room_symbols(spark, sf):
     odd = s % 2 == 1
     category = F.when(kind == 0, "bathroom").when((kind == 1) & odd, "garage").when((kind == 2) & odd, "auditorium").when((kind == 3) & odd, "ward").otherwise("other")
     side = F.when(kind == 0, 5000).when(kind == 5, 6000).otherwise(14000)
-    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("plan"), drawn.alias("drawn"), category.alias("category"), box(F.lit(0), F.lit(0), side, side).alias("ring"))
+    part = _dealt(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("plan"), drawn.alias("drawn"), category.alias("category"), box(F.lit(0), F.lit(0), side, side).alias("ring"))
     strokes = part.select("plan", F.posexplode("drawn").alias("stroke", "points"))
     found = detectors.room_symbols(strokes, part.select("plan", "category", "ring"), PLAN)
     return found.select(F.col("plan").alias("p_partkey"), "symbol", F.col("n").cast("bigint").alias("n"), milli(F.round("confidence", 6)).alias("told_milli"))

@@ -187,10 +187,12 @@ def stairs(strokes: DataFrame, keys: list[str]) -> DataFrame:
     reach = 2 * math.sin(math.radians(FAMILY))
     points = settled(treads.withColumn("cell", cell_of(F.col("x"), F.col("y"), reach * 0.7071)))
     near = lambda a, b: F.hypot(F.col(f"{a}x") - F.col(f"{b}x"), F.col(f"{a}y") - F.col(f"{b}y")) <= reach
-    first = settled(elect(points, keys, near, 2))
-    home = follow(points, first, keys, near, 2, lambda a, b: [F.col(f"{a}seq")])
+    # lines of one heading are one point: the first of them can lead, and what leads it leads them all
+    once = settled(points.groupBy(*keys, "x", "y").agg(F.min("seq").alias("seq"), F.first("cell").alias("cell")))
+    first = settled(elect(once, keys, near, 2))
+    home = follow(once, first, keys, near, 2, lambda a, b: [F.col(f"{a}seq")]).join(once.select(*keys, "seq", "x", "y"), [*keys, "seq"]).drop("seq")
     heading = lines.select(*keys, F.col("seq").alias("leader"), F.col("theta").alias("way"))
-    placed = points.join(home, [*keys, "seq"]).join(heading, [*keys, "leader"])
+    placed = points.join(home, [*keys, "x", "y"]).join(heading, [*keys, "leader"])
     across = (F.col("ay") + F.col("by")) / 2 * F.cos("way") - (F.col("ax") + F.col("bx")) / 2 * F.sin("way")
     family = [*keys, "leader"]
     step = F.col("v") - F.lag("v").over(Window.partitionBy(*family).orderBy("v"))

@@ -64,7 +64,43 @@ def test_frames_share_covers_and_flat_parts_are_one_step(monkeypatch):
         now = table[code] if code < len(table) else last + last[:1]
         if last:
             table.append(last + now[:1])
-        width += len(table) == (1 << width) - 0 and width < 12
+        width += len(table) == 1 << width and width < 12
         read.append(now)
         last = now
     assert b"".join(read) == flat.tobytes()
+
+
+def test_heavy_parts_are_dealt_out_and_scales_too(spark, tmp_path):
+    from plinth.plans import queries, table_queries  # noqa: F401
+
+    plan = queries.QUERIES["scale_priority"](spark, _parts(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_lines_of_one_heading_stand_for_election_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plinth.functions import geometry as g
+    from plinth.symbols import detectors
+
+    rows = []
+    monkeypatch.setattr(detectors, "elect", lambda points, *rest, take=detectors.elect: rows.append(points.count()) or take(points, *rest))
+    at = lambda x, y: g.point(x.cast("double"), y.cast("double"))
+    y = F.col("id") % 10 * 280
+    treads = spark.range(30).select((F.col("id") % 3).alias("plan"), F.col("id").alias("stroke"), F.array(at(F.lit(0), y), at(F.lit(1000), y)).alias("points"))
+    found = detectors.stairs(treads, ["plan"]).collect()
+    assert [(r["plan"], r["n"]) for r in sorted(found)] == [(0, 10), (1, 10), (2, 10)] and rows == [3]
+
+
+def test_nearest_segments_are_the_same_in_growing_reaches(spark):
+    from pyspark.sql import functions as F
+
+    from plinth.operators import segments
+
+    k = F.col("id")
+    x, y = (k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double")
+    segs = spark.range(600).select((k % 2).alias("plan"), k.alias("seg"), x.alias("ax"), y.alias("ay"), (x + k * 53 % 301 - 150).alias("bx"), (y + k * 71 % 301 - 150).alias("by"))
+    points = spark.range(300).select((k % 2).alias("plan"), k.alias("point"), (x + 3.3).alias("px"), (y + 1.7).alias("py"), (20.0 + k % 50).alias("reach"))
+    told = lambda first: sorted(map(tuple, segments.nearest_segment(points, segs, ["plan"], 60.0, F.col("s_seg") != F.col("point"), [F.col("s_seg")], first).select("point", "reach", "s_seg", "distance").collect()))
+    assert 20 < segments.spacing(segs, ["plan"]) < 100
+    assert told(None) == told(1.5) == told(segments.spacing(segs, ["plan"])) and told(None)
