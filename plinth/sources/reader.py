@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +21,31 @@ def _typed(columns: str) -> str:
 PAGE = PAGE.format(_typed(PRIMITIVE), _typed(TEXT))
 
 
+_reals = lambda names: pa.struct([(c, pa.float64()) for c in names])
+_list = lambda *fields: pa.list_(pa.struct(list(fields)))
+#: PAGE as Arrow has it, so that nested rows are not converted one by one.
+MADE = pa.schema(
+    [
+        ("plan_id", pa.string()), ("box", _reals(("x0", "y0", "x1", "y1"))), ("error", pa.string()),
+        ("primitives", _list(
+            ("prim_id", pa.int32()), ("points", pa.list_(_reals("xy"))), ("closed", pa.bool_()), ("stroked", pa.bool_()), ("filled", pa.bool_()),
+            ("width", pa.float64()), ("layer", pa.string()), ("color", _reals("rgb")),
+        )),
+        ("texts", _list(("text_id", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("height", pa.float64()), ("angle", pa.float64()), ("layer", pa.string()))),
+    ]
+)
 #: Decoded pages that are held before they are given back.
 PAGES_HELD = 64
 
 
 def _decode(page: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plinth.sources.pdf import DEFAULT_BOX, decode_page
 
-        for rows in (batch.iloc[at : at + PAGES_HELD] for batch in batches for at in range(0, len(batch), PAGES_HELD)):
+        files = (list(zip(*(pa.array(batch[c]).to_pylist() for c in ("path", "content")), strict=True)) for batch in batches)
+        for rows in (batch[at : at + PAGES_HELD] for batch in files for at in range(0, len(batch), PAGES_HELD)):
             out = []
-            for path, content in zip(rows["path"], rows["content"], strict=True):
+            for path, content in rows:
                 error, box, primitives, texts = None, DEFAULT_BOX, [], []
                 try:
                     found = decode_page(bytes(content), page)
@@ -47,14 +61,14 @@ def _decode(page: int):
                         "texts": [{"text_id": i, **t} for i, t in enumerate(texts)],
                     }
                 )
-            yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pylist(out, MADE)
 
     return run
 
 
 def decode(files: DataFrame, page: int = 0) -> DataFrame:
     """``files(path, content)`` as one row per page; ``error`` says why a file has no geometry."""
-    return files.select("path", "content").mapInPandas(_decode(page), PAGE)
+    return files.select("path", "content").mapInArrow(_decode(page), PAGE)
 
 
 def read_drawings(spark: SparkSession, path: str, page: int = 0) -> DataFrame:

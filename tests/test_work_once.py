@@ -104,3 +104,18 @@ def test_nearest_segments_are_the_same_in_growing_reaches(spark):
     told = lambda first: sorted(map(tuple, segments.nearest_segment(points, segs, ["plan"], 60.0, F.col("s_seg") != F.col("point"), [F.col("s_seg")], first).select("point", "reach", "s_seg", "distance").collect()))
     assert 20 < segments.spacing(segs, ["plan"]) < 100
     assert told(None) == told(1.5) == told(segments.spacing(segs, ["plan"])) and told(None)
+
+
+def test_decoded_pages_are_arrow_and_numbers_are_read_once(monkeypatch):
+    import pyarrow as pa
+
+    from plinth.sources import pdf, reader
+
+    files = pa.RecordBatch.from_pydict({"path": ["a"], "content": [b"no drawing"]})
+    (frame,) = reader._decode(0)(iter([files]))
+    assert isinstance(frame, pa.RecordBatch) and frame.schema == reader.MADE and frame.to_pylist()[0]["plan_id"] == "a#0"
+    seen = []
+    monkeypatch.setattr(pdf.Lexer, "token", lambda self, read=pdf.Lexer.token: seen.append(1) or read(self))
+    lexer = pdf.Lexer(b"1 -2 3.5 4 0 R 5 % 0 R\n6 %x\n0 R[7 0 R 8]true")
+    assert [lexer.read() for _ in range(9)] == [1, -2, 3.5, pdf.Ref(4), 5, pdf.Ref(6), [pdf.Ref(7), 8], True, pdf.END]
+    assert len(seen) == 12
