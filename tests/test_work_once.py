@@ -119,3 +119,13 @@ def test_decoded_pages_are_arrow_and_numbers_are_read_once(monkeypatch):
     lexer = pdf.Lexer(b"1 -2 3.5 4 0 R 5 % 0 R\n6 %x\n0 R[7 0 R 8]true")
     assert [lexer.read() for _ in range(9)] == [1, -2, 3.5, pdf.Ref(4), 5, pdf.Ref(6), [pdf.Ref(7), 8], True, pdf.END]
     assert len(seen) == 12
+
+
+def test_models_are_given_back_as_arrow():
+    import pyarrow as pa
+
+    from plinth.plans import extract
+
+    page = pa.RecordBatch.from_pylist([{"plan_id": "a", "primitives": [], "texts": []}])
+    (models,) = extract._extract("1mm", extract.MIN_AREA)(iter([page]))
+    assert models.schema == extract.MADE and models.num_rows == 1 and models.to_pylist()[0]["plan_id"] == "a"
