@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-9
+#: How far beyond its ends, as a share of its length, a segment still meets another.
+ON = 1e-7
 EARTH = 6378137.0
 
 
@@ -50,7 +52,7 @@ def point_seg_distance(px, py, ax, ay, bx, by) -> Column:
     return F.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
 
 
-def seg_intersection(ax, ay, bx, by, cx, cy, dx, dy, tol: float = 1e-7) -> Column:
+def seg_intersection(ax, ay, bx, by, cx, cy, dx, dy, tol: float = ON) -> Column:
     """struct<x,y> where a-b meets c-d, null if parallel, collinear or apart."""
     det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
     safe = F.when(F.abs(det) >= EPS, det)

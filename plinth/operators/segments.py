@@ -61,11 +61,17 @@ def _named(segs: DataFrame, keys: list[str], p: str) -> DataFrame:
 def crossings(segs: DataFrame, keys: list[str], size: float = CELL) -> DataFrame:
     """(key..., one, two, x, y) of segments that meet in a point, ``one < two``.  A pair meets in
     every cell that both run through and is told in the cell that holds the point."""
-    indexed = lambda p: _named(segs, keys, p).withColumn("_c", F.explode(run_cells(*_ends(p), size)))
+    run = lambda p: {p + "dx": F.col(p + "bx") - F.col(p + "ax"), p + "dy": F.col(p + "by") - F.col(p + "ay")}
+    indexed = lambda p: _named(segs, keys, p).withColumns({**run(p), "_c": F.explode(run_cells(*_ends(p), size))}).drop(p + "bx", p + "by")
     both = indexed("p_").hint("merge").join(indexed("q_"), [*keys, "_c"]).where("p_seg < q_seg")
-    met = both.withColumn("_at", g.seg_intersection(*_ends("p_"), *_ends("q_"))).where("_at is not null")
-    met = met.where(cell_of(F.col("_at.x"), F.col("_at.y"), size) == F.col("_c"))
-    return met.select(*keys, F.col("p_seg").alias("one"), F.col("q_seg").alias("two"), "_at.x", "_at.y")
+    # the arithmetic of seg_intersection on runs taken once a segment: written out on the ends, what a
+    # pair costs becomes a method too long for the JVM to compile
+    ax, ay, px, py, qx, qy = (F.col(c) for c in ("p_ax", "p_ay", "p_dx", "p_dy", "q_dx", "q_dy"))
+    det, cx, cy = px * qy - py * qx, F.col("q_ax") - ax, F.col("q_ay") - ay
+    s, t = F.try_divide(cx * qy - cy * qx, det), F.try_divide(cx * py - cy * px, det)
+    both = both.where((F.abs(det) >= g.EPS) & (s >= -g.ON) & (s <= 1 + g.ON) & (t >= -g.ON) & (t <= 1 + g.ON))
+    met = both.select(*keys, "_c", F.col("p_seg").alias("one"), F.col("q_seg").alias("two"), F.inline(F.array(F.struct((ax + s * px).alias("x"), (ay + s * py).alias("y")))))
+    return met.where((F.floor(F.col("x") / size) == F.col("_c.cx")) & (F.floor(F.col("y") / size) == F.col("_c.cy"))).drop("_c")
 
 
 def touches(segs: DataFrame, points: DataFrame, keys: list[str], reach: float, size: float = CELL) -> DataFrame:

@@ -103,3 +103,25 @@ def test_band_join_of_two_growing_sides_is_shuffled(spark, tmp_path):
 
     spark.range(50).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.col("id").cast("double").alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
     assert "Broadcast" not in _plan(queries.QUERIES["band_join"](spark, str(tmp_path)))
+
+
+def _largest_method(spark, df):
+    """Bytes of the longest method that Spark makes for ``df``; the JVM compiles none over 8,000."""
+    import re
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else code is made stage by stage
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan()
+        made = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", made))
+
+
+def test_pairs_of_segments_run_in_methods_that_the_jvm_compiles(spark, points):
+    segs = points.select("plan", F.col("id").alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 9).alias("bx"), (F.col("y") + 4).alias("by"))
+    ends = segs.select("plan", F.col("bx").alias("px"), F.col("by").alias("py"))
+    pairs = {"crossings": segments.crossings(segs, ["plan"], 10.0), "touches": segments.touches(segs, ends, ["plan"], 1.0, 10.0)}
+    sizes = {name: _largest_method(spark, df.select("seg" if name == "touches" else "one")) for name, df in pairs.items()}
+    assert max(sizes.values()) < 8000, sizes
