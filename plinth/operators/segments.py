@@ -77,12 +77,15 @@ def crossings(segs: DataFrame, keys: list[str], size: float = CELL) -> DataFrame
 def touches(segs: DataFrame, points: DataFrame, keys: list[str], reach: float, size: float = CELL) -> DataFrame:
     """(key..., seg, t, px, py) of ``points(key..., px, py)`` at most ``reach`` from the line of a segment
     and beside its run; t is the foot's place, 0 to 1."""
-    spread = segs.hint("merge").withColumn("_c", F.explode(run_cells(*_ends(), size, reach + 1.0)))
-    met = spread.join(points.select(*keys, "px", "py").distinct().withColumn("_c", cell_of(F.col("px"), F.col("py"), size)), [*keys, "_c"])
-    t = g.project_param(F.col("px"), F.col("py"), *_ends())
     ax, ay, bx, by = _ends()
-    met = met.withColumn("t", t).where("t > 0 and t < 1")
-    return met.where(F.hypot(ax + (bx - ax) * F.col("t") - F.col("px"), ay + (by - ay) * F.col("t") - F.col("py")) <= reach).select(*keys, "seg", "t", "px", "py")
+    dx, dy = F.col("_dx"), F.col("_dy")
+    # what project_param takes of a segment, once a segment and not once a pair
+    spread = segs.hint("merge").withColumns({"_dx": bx - ax, "_dy": by - ay})
+    spread = spread.select(*keys, "seg", "ax", "ay", "_dx", "_dy", F.when(F.hypot(dx, dy) >= g.EPS, dx * dx + dy * dy).alias("_d2"), F.explode(run_cells(*_ends(), size, reach + 1.0)).alias("_c"))
+    met = spread.join(points.select(*keys, "px", "py").distinct().withColumn("_c", cell_of(F.col("px"), F.col("py"), size)), [*keys, "_c"])
+    t = F.try_divide((F.col("px") - ax) * dx + (F.col("py") - ay) * dy, F.col("_d2"))
+    met = met.where((t > 0) & (t < 1)).select(*keys, "seg", "ax", "ay", "_dx", "_dy", "px", "py", F.inline(F.array(F.struct(t.alias("t")))))
+    return met.where(F.hypot(ax + dx * F.col("t") - F.col("px"), ay + dy * F.col("t") - F.col("py")) <= reach).select(*keys, "seg", "t", "px", "py")
 
 
 def split(segs: DataFrame, keys: list[str], tol: float = WELD, size: float = CELL) -> DataFrame:
