@@ -1,8 +1,8 @@
 """Token ids of whole texts through the tokenizers library, with a bounded cache of words.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its
-white-space separated parts in order.  Only parts not met before go to the library, in one
-batch; ids are kept as little-endian unsigned 32-bit bytes, so a text's ids are one join.
+white-space separated parts in order.  Only parts not met before go to the library, when they
+are looked up; ids are kept as little-endian unsigned 32-bit bytes, so a text's ids are one join.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
@@ -18,10 +17,12 @@ import numpy as np
 #: one, from which parts that are met again move on; so common words stay known.
 CACHE_PARTS = 320_000
 #: str.split() also splits at these, which the tokenizer takes for ordinary characters.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WHITE = re.compile(r"[^\S\x1c-\x1f]+")
 #: Words on which the short way for Latin words is compared with the tokenizer before it is used.
-PROBES = ("word", "Word", "WORD.", "Éclair,", "ÑANDÚ", "straße", "łódź", "antidisestablishmentarianism", "x", "Qqzv.", "déjà", "Ąć,")
+PROBES = ("word", "Word", "WORD.", "Éclair,", "ÑANDÚ", "straße", "łódź", "antidisestablishmentarianism", "x", "Qqzv.", "déjà", "Ąć,", "WORD!!", "Éclair.###", "łódź,&&&")
+#: Marks that may close a word, and how many of them are told from the word.
+MARKS, MOST_MARKS = ".,;:!?#$%&*", 4
 
 
 def _byte_letters() -> list[str]:
@@ -35,6 +36,17 @@ def _byte_letters() -> list[str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class _Known(dict):
+    """Ids of parts; a part that is not there is learned."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = found = self.learn(part)
+        return found
+
+
 class WordEncoder:
     """For tokenizers whose pre-tokenizer removes white space (word_bpe_49k.json is one)."""
 
@@ -43,16 +55,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cache_parts = self.tokenizer.model, cache_parts
-        self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,"}
-        self.ids: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.marks = {"": b""}
+        self.ids, self.old = _Known(self._learn), {}
         # whether this tokenizer reads Latin words as _learn takes them; if not, all go to it whole
-        whole = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(PROBES), add_special_tokens=False)]
-        self.plain = all(ids == self._word(x.rstrip(".,").lower()) + self.marks.get(x[-1], b"") for x, ids in zip(PROBES, whole, strict=True))
+        self.plain = all(self._whole(x) == self._word(w.lower()) + self._closing(x[len(w) :]) for x in PROBES for w in [x.rstrip(MARKS)])
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        if _SEPARATORS.search(text):
+        if any(x in text for x in _SEPARATORS):
             return [x for x in _WHITE.split(text) if x]
         return text.split()
 
@@ -62,37 +72,36 @@ class WordEncoder:
         tokens = self.model.tokenize(word if word.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, word.encode())))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def _learn(self, missing: set[str]) -> None:
-        ids, old, hard = self.ids, self.old, []
-        for part in missing:
-            found = old.get(part)
-            if found is None:
-                # "Word," is "word" and ",": letters and a closing mark are separate pre-tokens
-                mark = part[-1] if part[-1] in self.marks else ""
-                word = (part[:-1] if mark else part).lower()
-                latin = self.plain and word.isalpha() and max(word) < "\u0250"
-                found = (ids.get(word) or old.get(word) or self._word(word)) if latin else None
-                if found is None:
-                    hard.append(part)
-                    continue
-                if word != part:
-                    ids[word] = found
-                    if mark:
-                        found += self.marks[mark]
-            ids[part] = found
-        for part, found in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False) if hard else (), strict=True):
-            ids[part] = np.array(found.ids, "<u4").tobytes()
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _closing(self, marks: str) -> bytes:
+        """Ids of few marks; there are not many such strings, so all are kept."""
+        found = self.marks.get(marks)
+        if found is None:
+            self.marks[marks] = found = self._whole(marks)
+        return found
+
+    def _learn(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is not None:
+            return found
+        # "Word.#" is "word" and ".#": letters and the marks after them are separate pre-tokens
+        bare = part.rstrip(MARKS)
+        word, marks = bare.lower(), part[len(bare) :]
+        if not (self.plain and word.isalpha() and len(marks) <= MOST_MARKS and (word.isascii() or max(word) < "\u0250")):
+            return self._whole(part)
+        found = self.ids.get(word) or self.old.get(word) or self._word(word)
+        if word != part:
+            self.ids[word] = found
+        return found + self._closing(marks) if marks else found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        split = [self.parts(x) for x in texts]
         if len(self.ids) > self.cache_parts:
-            self.ids, self.old = {}, self.ids
-        missing = set(chain.from_iterable(split)).difference(self.ids)
-        if missing:
-            self._learn(missing)
-        known = self.ids
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+            self.ids, self.old = _Known(self._learn), self.ids
+        known = self.ids.__getitem__
+        return [b"".join(map(known, self.parts(x))) for x in texts]
 
 
 @lru_cache(maxsize=1)

@@ -59,3 +59,28 @@ def test_rebuilt_tokenizer_and_decoder_equal_the_library_on_whole_texts(prose):
     broken = pieces.PieceCodec(path)
     broken.surface[library.encode("word")[0]] = b"?"
     assert broken.encode(["a word", "another"])[1] == [False, True]
+
+
+def test_words_with_closing_marks_are_not_read_whole():
+    import numpy as np
+    from plinth.llm import packing, wordcache
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    encoder, right = wordcache.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["Word!! éclair,### STRASSE*** wordy.%%% 12!! ... don't; x&&&&& Éclair.", "word!! \x1c!! 中文!! naïve?! Ǆ#"]
+    expected = [np.array(right.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    seen = []
+
+    class Counted:
+        def encode(self, x, **options):
+            seen.append(x)
+            return right.encode(x, **options)
+
+        def encode_batch_fast(self, xs, **options):
+            seen.extend(xs)
+            return right.encode_batch_fast(xs, **options)
+
+    encoder.tokenizer = Counted()
+    assert encoder.encode(texts) == expected
+    assert {"12!!", "don't;", "中文!!"} <= set(seen) and not {"Word!!", "word!!", "éclair,###", "STRASSE***", "wordy.%%%", "naïve?!"} & set(seen)
