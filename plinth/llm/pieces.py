@@ -52,6 +52,10 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _unpacked(ids: bytes) -> list[int]:
+    return list(struct.unpack(f"<{len(ids) // 4}I", ids))
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of a protobuf message: varints, 32- and 64-bit words, byte strings."""
 
@@ -220,8 +224,8 @@ class PieceCodec:
 
     def _plain(self, part: str) -> list[str]:
         """A part as smaller ones that no piece joins."""
-        if "\n" not in part and (len(part) < 2 or part[-1] not in self.closing):
-            return [part]
+        if "\n" not in part:
+            return [part[:-1], part[-1]] if len(part) > 1 and part[-1] in self.closing and part[-2].isalpha() else [part]
         out = []
         for x in re.split("(\n)", part) if "\n" in self.single else [part]:
             if len(x) > 1 and x[-1] in self.closing and x[-2].isalpha():
@@ -244,11 +248,11 @@ class PieceCodec:
         for part, xs in plain.items():
             self.ids[part] = inner[xs[0]] if len(xs) == 1 else b"".join(map(inner.__getitem__, xs))
         new = list(plain)
-        if self.reference and not self.whole:
-            expected = self.reference.encode(new, num_threads=1)
-            self.differ |= {x for x, ids in zip(new, expected, strict=True) if self.ids[x] != _packed(ids)}
-        decoded = self.tokenizer.decode_batch([np.frombuffer(self.ids[x], "<u4").tolist() for x in new], skip_special_tokens=False)
-        self.undecoded |= {x for x, text in zip(new, decoded, strict=True) if text != self._surfaces(self.ids[x])}
+        lists = [_unpacked(self.ids[x]) for x in new]
+        if self.reference is not None and not self.whole:
+            self.differ |= {x for x, ids, expected in zip(new, lists, self.reference.encode(new, num_threads=1), strict=True) if ids != expected}
+        decoded = self.tokenizer.decode_batch(lists, skip_special_tokens=False)
+        self.undecoded |= {x for x, ids, text in zip(new, lists, decoded, strict=True) if text != self._surfaces(ids)}
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids as little-endian unsigned 32-bit bytes, and whether the text had parity."""
@@ -261,17 +265,17 @@ class PieceCodec:
         out = [b"".join(map(known.__getitem__, parts)) for parts in split]
         bad = self.differ | self.undecoded
         fine = [not bad or bad.isdisjoint(parts) for parts in split]
-        if self.reference and self.whole:
+        if self.reference is not None and self.whole:
             fine = [ok and ids == _packed(x) for ok, ids, x in zip(fine, out, self.reference.encode(texts, num_threads=1), strict=True)]
         return out, fine
 
-    def _surfaces(self, ids: bytes) -> str:
-        return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def _surfaces(self, ids: list[int]) -> str:
+        return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; a dummy prefix is taken away, invalid UTF-8 becomes U+FFFD.  What each
         part decodes to was compared with the library's decoder when the part was met first."""
-        text = self._surfaces(ids)
+        text = self._surfaces(np.frombuffer(ids, "<u4").tolist())
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 

@@ -84,3 +84,11 @@ def test_words_with_closing_marks_are_not_read_whole():
     encoder.tokenizer = Counted()
     assert encoder.encode(texts) == expected
     assert {"12!!", "don't;", "中文!!"} <= set(seen) and not {"Word!!", "word!!", "éclair,###", "STRASSE***", "wordy.%%%", "naïve?!"} & set(seen)
+
+
+def test_ids_of_the_library_are_compared_as_they_come(monkeypatch):
+    codec, packed = pieces.PieceCodec(pieces.model_path()), pieces._packed
+    calls = []
+    monkeypatch.setattr(pieces, "_packed", lambda ids: calls.append(ids) or packed(ids))
+    assert codec.encode(["one two three"])[1] == [True]
+    assert len(calls) == len(codec.inner) == 3
