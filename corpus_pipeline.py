@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm import neardup, packing, quality_model, quality_rules
 from plinth.llm.common import cut, table
+from plinth.workers import importable
 
+#: Each stage may also be run by itself, in a session whose workers don't know the package yet.
 STAGES = [
-    ("quality_rules", quality_rules.stage),
-    ("quality_classifier", quality_model.stage),
-    ("minhash_near_dedup", neardup.stage),
-    ("packing", packing.stage),
+    ("quality_rules", importable(quality_rules.stage)),
+    ("quality_classifier", importable(quality_model.stage)),
+    ("minhash_near_dedup", importable(neardup.stage)),
+    ("packing", importable(packing.stage)),
 ]
 
 #: The classifier, the min-hash search and the packing program are no SQL; the stages are tested

@@ -1,4 +1,9 @@
+import os
+import subprocess
+import sys
+
 import corpus_pipeline
+import pytest
 from plinth.llm import registry
 
 from tests.llm.conftest import SHAPE
@@ -49,3 +54,25 @@ def test_pipeline_on_empty_tables_and_odd_rows(spark, prose, odd, none, tmp_path
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
     # the odd rows are too short or repeat themselves; without labels no other rule speaks
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} == {None, 50, 52}
+
+
+APART = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.read.parquet("documents.parquet")
+print("rows", [dict(corpus_pipeline.STAGES)[{name!r}](spark, docs, ".").count()])
+"""
+
+
+@pytest.mark.parametrize("name", ["quality_classifier", "minhash_near_dedup", "packing"])
+def test_a_stage_by_itself_where_workers_do_not_know_the_package(spark, prose, tmp_path, name):
+    """The driver knows the package by sys.path only, and works in another folder."""
+    spark.createDataFrame([(i, prose(60, i), "en", "s", 0) for i in range(8)], SHAPE).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")} | {"PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", APART.format(repo=repo, name=name)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows [8]" in run.stdout, run.stderr[-2000:]
