@@ -70,6 +70,38 @@ def test_frames_share_covers_and_flat_parts_are_one_step(monkeypatch):
     assert b"".join(read) == flat.tobytes()
 
 
+def test_frames_are_drawn_together_and_parsed_once(monkeypatch):
+    """A film has the frames of canvases drawn one by one; frames that differ in colours only share their parse."""
+    import numpy as np
+
+    from plinth.sinks import raster
+
+    colours = [(1, 2, 3), (40, 50, 60), (7, 80, 9)]
+    film, frames = raster.Film(30, 20, 3), []
+    film.polygon([(2, 2), (15.3, 2), (15, 15)], colours)
+    film.line((1, 1), (28, 14.5), colours, 2.5)
+    film.ring(20, 8, 3, colours[1:])  # from the second frame on
+    film.circle(29, 19, 4, colours)
+    film.text(3, 9, "R01", colours[2:])
+    for k, colour in enumerate(colours):
+        c = raster.Canvas(30, 20)
+        c.polygon([(2, 2), (15.3, 2), (15, 15)], colour)
+        c.line((1, 1), (28, 14.5), colour, 2.5)
+        if k > 0:
+            c.ring(20, 8, 3, colour)
+        c.circle(29, 19, 4, colour)
+        if k > 1:
+            c.text(3, 9, "R01", colour)
+        frames.append((c.pixels, 8))
+    assert all((a == b).all() for a, (b, _) in zip(film.shown(), frames, strict=True))
+    assert film.gif([8, 8, 8]) == raster.gif(frames)
+    parses = []
+    monkeypatch.setattr(raster, "_codes", lambda *given, parse=raster._codes: parses.append(1) or parse(*given))
+    flat = np.arange(60).reshape(6, 10) % 7 // 2
+    raster.gif([(np.array([(k, 0, 0), (0, 9, k), (k, k, k), (200, 0, k)], np.uint8)[flat], 8) for k in (10, 90, 120)])
+    assert len(parses) == 1
+
+
 def test_heavy_parts_are_dealt_out_and_scales_too(spark, tmp_path):
     from plinth.plans import queries, table_queries  # noqa: F401
 
