@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import geometry as g
+from plinth.operators.cuts import COLUMNS, cut_runs
 from plinth.operators.rounds import cycles, elect, follow, peel, settled
 
 #: Edge of a grid cell.  A segment is in about length / CELL cells.
@@ -90,21 +91,27 @@ def touches(segs: DataFrame, points: DataFrame, keys: list[str], reach: float, s
 
 def split(segs: DataFrame, keys: list[str], tol: float = WELD, size: float = CELL) -> DataFrame:
     """(key..., seg, piece, ax, ay, bx, by): the pieces of segments between crossings and ends of
-    others on them; cuts within ``tol`` of an end, and pieces up to ``tol``, go."""
-    segs = settled(segs.select(*keys, "seg", "ax", "ay", "bx", "by").where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) >= g.EPS))
-    met = crossings(segs, keys, size)
-    at = met.select(*keys, F.col("one").alias("seg"), "x", "y").unionByName(met.select(*keys, F.col("two").alias("seg"), "x", "y"))
-    crossed = at.join(segs, [*keys, "seg"]).select(*keys, "seg", g.project_param(F.col("x"), F.col("y"), *_ends()).alias("t"))
-    ends = segs.select(*keys, F.col("ax").alias("px"), F.col("ay").alias("py")).unionByName(segs.select(*keys, F.col("bx").alias("px"), F.col("by").alias("py")))
-    cuts = crossed.unionByName(touches(segs, ends, keys, tol, size).select(*keys, "seg", "t"))
+    others on them; cuts within ``tol`` of an end, and pieces up to ``tol``, go.  ``piece`` grows along a segment.
+
+    Crossings grow with the square of a crowd, but the pieces of a segment are at most its length over ``tol``;
+    so crossings are neither written nor shuffled, only the runs of cuts are (see :mod:`plinth.operators.cuts`).
+    """
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    inner = cuts.join(segs, [*keys, "seg"]).where((F.col("t") > tol / length) & (F.col("t") < 1 - tol / length)).select(*keys, "seg", F.round("t", 9).alias("t"))
-    marks = inner.unionByName(segs.select(*keys, "seg", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
-    line = Window.partitionBy(*keys, "seg").orderBy("t")
-    runs = marks.withColumn("_u", F.lead("t").over(line)).withColumn("piece", F.row_number().over(line)).where("_u is not null").join(segs, [*keys, "seg"])
+    # few bytes and much work, so segments, and their cells, are dealt out by number and not merged by their size
+    n = int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segs = settled(segs.select(*keys, "seg", "ax", "ay", "bx", "by").where(length >= g.EPS).repartition(n, *keys, "seg"))
+    spread = segs.select("*", length.alias("length"), F.explode(run_cells(*_ends(), size, tol + 1.0)).alias("_c")).select(*keys, "_c.*", *[c for c in COLUMNS if c not in ("cx", "cy")])
+    celled = spread.repartition(n, *keys, "cx", "cy").sortWithinPartitions(*keys, "cx", "cy")
+    kinds = dict(segs.dtypes)
+    cuts = celled.mapInArrow(cut_runs(len(keys), tol, size), ", ".join([*[f"`{k}` {kinds[k]}" for k in [*keys, "seg"]], "lo double", "hi double"]))
+    whole = segs.select(*keys, "seg", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("lo")).withColumn("hi", F.col("lo"))
+    runs = whole.unionByName(cuts.select(*keys, "seg", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi")))
+    # what no run covers are the pieces
+    line = Window.partitionBy(*keys, "seg").orderBy("lo", "hi")
+    free = runs.withColumns({"_t": F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)), "piece": F.row_number().over(line)}).where("_t < lo").join(segs, [*keys, "seg"])
     ax, ay, bx, by = _ends()
     point = lambda a, b, t: a + (b - a) * F.col(t)
-    cut_up = runs.select(*keys, "seg", "piece", point(ax, bx, "t").alias("ax"), point(ay, by, "t").alias("ay"), point(ax, bx, "_u").alias("bx"), point(ay, by, "_u").alias("by"))
+    cut_up = free.select(*keys, "seg", "piece", point(ax, bx, "_t").alias("ax"), point(ay, by, "_t").alias("ay"), point(ax, bx, "lo").alias("bx"), point(ay, by, "lo").alias("by"))
     return cut_up.where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > tol)
 
 

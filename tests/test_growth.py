@@ -125,3 +125,51 @@ def test_pairs_of_segments_run_in_methods_that_the_jvm_compiles(spark, points):
     pairs = {"crossings": segments.crossings(segs, ["plan"], 10.0), "touches": segments.touches(segs, ends, ["plan"], 1.0, 10.0)}
     sizes = {name: _largest_method(spark, df.select("seg" if name == "touches" else "one")) for name, df in pairs.items()}
     assert max(sizes.values()) < 8000, sizes
+
+
+def test_splitting_sends_on_runs_of_cuts_and_no_crossings(spark):
+    """In a crowd a segment has many crossings and few pieces; crossings are neither shuffled nor written."""
+    k = F.col("id")
+    at = lambda a, n: (k * a % n).cast("double")
+    segs = spark.range(400).select((k % 2).alias("plan"), k.alias("seg"), at(37, 100).alias("ax"), at(91, 100).alias("ay"), (at(37, 100) + k * 53 % 301 - 150).alias("bx"), (at(91, 100) + k * 71 % 301 - 150).alias("by"))
+    found = segments.split(segs, ["plan"], 3.0, 100.0)
+    assert "Join" not in _plan(found).split("Window")[-1] and found.count() > 400
+
+
+def test_runs_of_cuts_are_those_of_all_pairs():
+    """Cell by cell, in batches and blocks of any size, crowded or not: the loop over pairs gives the same runs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plinth.operators import cuts
+
+    rng = np.random.default_rng(4)
+    n, size, tol = 300, 50.0, 2.0
+    cell = np.sort(rng.choice([0, 0, 0, 1, 2], n))  # one of 180 or so and two of 60
+    a, run = rng.integers(0, 60, (n, 2)).astype(float), rng.integers(-40, 41, (n, 2)).astype(float)
+    run[(run == 0).all(axis=1)] = 1.0
+    b, long = a + run, np.hypot(*run.T)
+    expected = set()
+    for i in range(n):
+        own = []
+        for j in np.flatnonzero(cell == cell[i]):
+            p, q = (i, j) if i < j else (j, i)
+            det = run[p][0] * run[q][1] - run[p][1] * run[q][0]
+            if det:
+                gap = a[q] - a[p]
+                s, t = (gap[0] * run[q][1] - gap[1] * run[q][0]) / det, (gap[0] * run[p][1] - gap[1] * run[p][0]) / det
+                x = a[p] + s * run[p]
+                if -1e-7 <= min(s, t) and max(s, t) <= 1 + 1e-7 and (np.floor(x / size) == (cell[i], 0)).all():
+                    own.append((x - a[i]) @ run[i] / (run[i] @ run[i]))
+        ends = [p for j in np.flatnonzero(cell == cell[i]) for p in (a[j], b[j]) if (np.floor(p / size) == (cell[i], 0)).all()]
+        feet = [(t, p) for p in ends if 0 < (t := (p - a[i]) @ run[i] / (run[i] @ run[i])) < 1]
+        for found in (own, [t for t, p in feet if np.hypot(*(a[i] + run[i] * t - p)) <= tol]):
+            t = np.sort([t for t in found if tol / long[i] < t < 1 - tol / long[i]])
+            if len(t):
+                new = np.flatnonzero(np.diff(t) * long[i] > cuts.SHARE * tol)
+                expected |= {(i, round(lo, 9), round(hi, 9)) for lo, hi in zip(t[[0, *new + 1]], t[[*new, -1]], strict=True)}
+    columns = dict(zip(cuts.COLUMNS, (cell, np.zeros(n, np.int64), np.arange(n), *a.T, *b.T, long), strict=True))
+    rows = pa.RecordBatch.from_pydict({"plan": ["a"] * n, **{k: np.ascontiguousarray(v) for k, v in columns.items()}})
+    for batch, held in ((n, 1 << 15), (7, 100), (150, 1)):
+        made = cuts.cut_runs(1, tol, size, held)(iter([rows.slice(k, batch) for k in range(0, n, batch)]))
+        assert {(r["seg"], round(r["lo"], 9), round(r["hi"], 9)) for out in made for r in out.to_pylist()} == expected
