@@ -30,25 +30,31 @@ def cut_runs(keys: int, tol: float, size: float, held: int = HELD) -> Callable:
     ``tol`` off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []  # of a cell that may go on
-        for batch in batches:
-            if not len(batch):
-                continue
-            starts = _starts(batch, keys + 2)
-            if waiting and not _same(waiting[-1], batch, keys + 2):
-                yield from _runs(pa.concat_batches(waiting), keys, tol, size, held)
-                waiting = []
-            if len(starts) > 1:
-                yield from _runs(pa.concat_batches([*waiting, batch.slice(0, starts[-1])]), keys, tol, size, held)
-                waiting = []
-            waiting.append(batch.slice(starts[-1]))
-        if waiting:
-            yield from _runs(pa.concat_batches(waiting), keys, tol, size, held)
+        for rows in whole_groups(batches, keys + 2):
+            yield from _runs(rows, keys, tol, size, held)
 
     return run
 
 
-def _starts(rows: pa.RecordBatch, first: int) -> np.ndarray:
+def whole_groups(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, so that rows with equal first columns, which follow each other, are in one batch."""
+    waiting: list[pa.RecordBatch] = []  # of a group that may go on
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = starts_of(batch, first)[-1]
+        if waiting and not _same(waiting[-1], batch, first):
+            yield pa.concat_batches(waiting)
+            waiting = []
+        if last:
+            yield pa.concat_batches([*waiting, batch.slice(0, last)])
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def starts_of(rows: pa.RecordBatch, first: int) -> np.ndarray:
     """Where the values of the first columns change."""
     new = np.zeros(len(rows), bool)
     new[0] = True
@@ -96,7 +102,7 @@ def _ranges(low: np.ndarray, high: np.ndarray, extra: np.ndarray, starts: np.nda
 
 
 def _runs(rows: pa.RecordBatch, keys: int, tol: float, size: float, held: int) -> Iterator[pa.RecordBatch]:
-    starts = _starts(rows, keys + 2)
+    starts = starts_of(rows, keys + 2)
     cx, cy, seg, ax, ay, bx, by, length = (rows.column(keys + k).to_numpy(zero_copy_only=False) for k in range(len(COLUMNS)))
     dx, dy = bx - ax, by - ay
     square = dx * dx + dy * dy

@@ -88,3 +88,25 @@ def test_facet_chains_are_the_search(spark):
     for r in sorted(chains.facet_chains(segs, spark.createDataFrame(openings, "o int, width double"), ["o"], 8).collect(), key=lambda r: r["place"]):
         found.setdefault(r["o"], []).append(complex(r["x"], r["y"]))
     assert found == expected and 20 < len(expected) < 60
+
+
+def test_few_strokes_of_openings_are_searched_in_one_shuffle(spark, monkeypatch):
+    """Openings with few strokes write no rounds; crowded ones do, and both ways give the same chains."""
+    from plinth.symbols import chains
+
+    rng, rows = random.Random(7), []
+    for i in range(40):
+        n = rng.randint(2, 9)
+        line = [(-500 + 1000 * k / n, rng.choice([0.0, 150.0]) if 0 < k < n else 0.0) for k in range(n + 1)]
+        drawn = [*zip(line, line[1:], strict=False), *[(rng.choice(line), rng.choice(line)) for _ in range(rng.randint(0, 4))]]
+        rng.shuffle(drawn)
+        rows += [(i, k, *map(float, a), b[0] + rng.uniform(-9, 9), float(b[1])) for k, (a, b) in enumerate(drawn) if rng.random() < 0.95]
+    segs = spark.createDataFrame([*rows, (None, 0, 0.0, 0.0, 9.0, 9.0), (41, 0, 0.0, 0.0, 9.0, 9.0)], "o int, seq int, ax double, ay double, bx double, by double")
+    openings = spark.createDataFrame([(i, 1000.0 if i != 5 else None) for i in range(41)], "o int, width double")
+    written = []
+    monkeypatch.setattr(chains, "settled", lambda df, write=chains.settled: written.append(1) or write(df))
+    told = lambda: sorted(map(tuple, chains.facet_chains(segs, openings, ["o"], 8).select("o", "place", "node", "x", "y").collect()))
+    found = told()
+    assert len(written) == 1 and len({r[0] for r in found}) > 10
+    monkeypatch.setattr(chains, "FEW", 7)
+    assert told() == found and len(written) > 5
