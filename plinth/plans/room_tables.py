@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import geometry as g
-from plinth.operators.joins import best_per, box_join
+from plinth.operators.joins import best_per, box_join, cells
 from plinth.operators.segments import face_areas
+from plinth.plans.owners import owners
 from plinth.plans.rooms import MIN_AREA, ON_DART, OUTSIDE, SLIVER
 
 #: Cells in which points meet boxes.
@@ -86,10 +87,25 @@ def opening_strokes(openings: DataFrame, strokes: DataFrame, keys: list[str], si
 
 def stroke_rooms(strokes: DataFrame, rooms: DataFrame, keys: list[str], size: float = CELL) -> DataFrame:
     """(key..., stroke, room, inside): the room that holds most points of a stroke (ties: the first), if it
-    holds half of them.  ``rooms(key..., room, ring)``; points meet rooms in cells of ``size``."""
+    holds half of them.  ``rooms(key..., room, ring)``; strokes meet rooms in the cells of ``size`` of their points.
+
+    A room that holds a point of a stroke is met in that point's cell and is tried on all points there, so
+    each cell sends on one room of a stroke; of rooms with the same ring only the first can be the best.
+    """
+    kinds = dict(strokes.dtypes) | {"room": dict(rooms.dtypes)["room"]}
+    axis = lambda points, k: F.transform(points, lambda p: p[k].cast("double")).alias(f"{k}s")
+    row = lambda df, kind, points: df.select(*keys, "_c.*", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in ("room", "stroke")], axis(points, "x"), axis(points, "y"))
+    first = rooms.where(F.size("ring") > 0).groupBy(*keys, "ring").agg(F.min("room").alias("room"))
     box = g.bbox(F.col("ring"))
-    boxes = rooms.select(*keys, "room", "ring", box["x0"].alias("x0"), box["y0"].alias("y0"), box["x1"].alias("x1"), box["y1"].alias("y1"))
-    met = box_join(_vertices(strokes, keys).hint("merge"), boxes, keys, size).where(g.point_in_polygon(F.col("px"), F.col("py"), F.col("ring")))
-    counts = met.groupBy(*keys, "stroke", "room").agg(F.count("*").alias("inside"), F.first("n").alias("n"))
-    best = best_per(counts, [*keys, "stroke"], [F.desc("inside"), F.asc("room")])
-    return best.where(F.col("inside") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))).select(*keys, "stroke", "room", "inside")
+    celled = first.withColumn("_b", box).withColumn("_c", F.explode(cells(F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size))).drop("_b")
+    within = F.array_distinct(F.transform("points", lambda p: F.struct(F.floor(p["x"] / size).alias("cx"), F.floor(p["y"] / size).alias("cy"))))
+    n = int(strokes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = strokes.select(*keys, "stroke", "points").repartition(n, *keys, "stroke").withColumn("_c", F.explode(within))
+    together = row(celled, 0, F.col("ring")).unionByName(row(drawn, 1, F.col("points")))
+    for k in [*keys, "cx", "cy"]:
+        together = together.where(F.col(k).isNotNull())
+    # few bytes and much work, so cells are dealt out by number and not merged by their size
+    together = together.repartition(n, *keys, "cx", "cy").sortWithinPartitions(*keys, "cx", "cy", "kind", "room")
+    told = together.mapInArrow(owners(len(keys)), ", ".join([*[f"`{k}` {kinds[k]}" for k in [*keys, "stroke", "room"]], "inside long"]))
+    best = told.groupBy(*keys, "stroke").agg(F.min(F.struct((-F.col("inside")).alias("less"), "room")).alias("_best"))
+    return best.select(*keys, "stroke", F.col("_best.room").alias("room"), (-F.col("_best.less")).alias("inside"))

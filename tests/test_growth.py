@@ -173,3 +173,54 @@ def test_runs_of_cuts_are_those_of_all_pairs():
     for batch, held in ((n, 1 << 15), (7, 100), (150, 1)):
         made = cuts.cut_runs(1, tol, size, held)(iter([rows.slice(k, batch) for k in range(0, n, batch)]))
         assert {(r["seg"], round(r["lo"], 9), round(r["hi"], 9)) for out in made for r in out.to_pylist()} == expected
+
+
+def test_of_rooms_one_over_the_other_few_are_tried(monkeypatch):
+    """A stroke that a room holds whole meets no later ones; the owner is that of all pairs, in batches of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plinth.functions.planar import point_in_polygon
+    from plinth.plans import owners
+
+    rng, size = np.random.default_rng(8), 50.0
+    rings = [[complex(x, y), complex(x + w, y), complex(x + w, y + 45), *([complex(x + w / 2, y + 20)] if k % 3 == 0 else []), complex(x, y + 45)] for k, (x, y, w) in enumerate(zip(*rng.integers(-30, 40, (2, 150)) + 0.25, rng.integers(10, 50, 150), strict=True))]
+    strokes = [[complex(*p) for p in rng.integers(-25, 90, (m, 2))] for m in rng.integers(1, 6, 80)]
+    expected = set()
+    for i, points in enumerate(strokes):
+        counts = [sum(point_in_polygon(p, ring) for p in points) for ring in rings]
+        if (most := max(counts)) >= max(1, len(points) // 2):
+            expected.add((i, counts.index(most), most))
+    rows = []
+    for kind, shapes in enumerate((rings, strokes)):
+        for k, shape in enumerate(shapes):
+            lo, hi = (f(p.real for p in shape) // size for f in (min, max)), (f(p.imag for p in shape) // size for f in (min, max))
+            (x0, x1), (y0, y1) = lo, hi
+            near = {(p.real // size, p.imag // size) for p in shape} if kind else {(i, j) for i in np.arange(x0, x1 + 1) for j in np.arange(y0, y1 + 1)}
+            rows += [{"plan": "a", "cx": int(i), "cy": int(j), "kind": kind, "room": None if kind else k, "stroke": k if kind else None, "xs": [p.real for p in shape], "ys": [p.imag for p in shape]} for i, j in near]
+    rows.sort(key=lambda r: (r["cx"], r["cy"], r["kind"], r["room"] or 0))
+    table = pa.RecordBatch.from_pylist(rows)
+    tried = []
+    monkeypatch.setattr(owners, "_in_ring", lambda *given, test=owners._in_ring: tried.append(len(given[0])) or test(*given))
+    for batch, held in ((len(rows), 1 << 16), (7, 1), (100, 500)):
+        tried.clear()
+        made = owners.owners(1, held)(iter([table.slice(k, batch) for k in range(0, len(rows), batch)]))
+        told = {}
+        for r in (r for out in made for r in out.to_pylist()):
+            told[r["stroke"]] = min(told.get(r["stroke"], (0, 0)), (-r["inside"], r["room"]))
+        assert {(i, room, -less) for i, (less, room) in told.items()} == expected and len(expected) > 40
+    # one stroke in a thousand rooms
+    crowd = [{**rows[0], "cx": 0, "cy": 0, "kind": 0, "room": k, "stroke": None, "xs": [0.0, 9.0, 9.0, 0.0], "ys": [0.0, 0.0, 9.0, 9.0]} for k in range(1000)]
+    crowd.append({**crowd[0], "kind": 1, "room": None, "stroke": 5, "xs": [3.0, 4.0], "ys": [3.0, 4.0]})
+    tried.clear()
+    (out,) = owners.owners(1)(iter([pa.RecordBatch.from_pylist(crowd)]))
+    assert out.to_pylist() == [{"plan": "a", "stroke": 5, "room": 0, "inside": 2}] and sum(tried) <= 2 * owners.ROOMS
+
+
+def test_rooms_with_one_ring_and_null_corners_or_points(spark):
+    from plinth.plans import room_tables
+
+    ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 9D, 'y', 0D), named_struct('x', 9D, 'y', 9D), named_struct('x', 0D, 'y', 9D))"
+    rooms = spark.sql(f"select 'a' as plan, id as room, case when id = 1 then null when id = 2 then slice({ring}, 1, 0) else {ring} end as ring from range(1, 9)")
+    strokes = spark.sql("select 'a' as plan, id as stroke, case id when 0 then array(named_struct('x', 1D, 'y', 1D)) when 1 then array(named_struct('x', 1D, 'y', 1D), named_struct('x', double(null), 'y', 1D)) when 2 then null else array(named_struct('x', 99D, 'y', 1D)) end as points from range(4)")
+    assert sorted(map(tuple, room_tables.stroke_rooms(strokes, rooms, ["plan"], 5.0).collect())) == [("a", 0, 3, 1), ("a", 1, 3, 1)]
